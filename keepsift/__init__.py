@@ -1,3 +1,10 @@
 """keepsift: culling of large asset collections as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with the job; workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

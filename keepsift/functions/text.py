@@ -67,7 +67,7 @@ def retry_after(header: Column) -> Column:
     """Leading integer of the header, at least 1; 60 when there is none."""
     digits = F.regexp_extract(header, r"^\s*([+-]?\d+)", 1)
     n = digits.try_cast("bigint")
-    return F.coalesce(F.greatest(F.lit(1), n), F.lit(K.DEFAULT_RETRY_AFTER)).cast("bigint")
+    return F.when(n.isNull(), F.lit(K.DEFAULT_RETRY_AFTER)).otherwise(F.greatest(F.lit(1), n)).cast("bigint")
 
 
 def http_error_class(status: Column) -> Column:
@@ -212,6 +212,14 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(body, r"^\s+|\s+$", "")
 
 
+def strict_json(body: Column) -> Column:
+    """Variant of a text that is exactly one JSON value. The parser forgives text after a value,
+    inside brackets it does not; a second value would be the second element."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def parse_score_answer(text: Column) -> Column:
     """Struct of six rounded scores, reasoning and error (NULL when the answer is valid).
 
@@ -219,7 +227,7 @@ def parse_score_answer(text: Column) -> Column:
     value is a number or a string is read from the variant type, so quoted numbers fail.
     """
     body = strip_fences(text)
-    v = F.try_parse_json(body)
+    v = strict_json(body)
 
     def kind(key):
         return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
@@ -253,7 +261,8 @@ def parse_tag_answer(text: Column, filenames: Column) -> Column:
 
     Every value is read on its own, so one malformed entry does not drop the others.
     """
-    root = F.from_json(strip_fences(text), "map<string,variant>")
+    body = strip_fences(text)
+    root = F.when(strict_json(body).isNotNull(), F.from_json(body, "map<string,variant>"))
 
     def words(name):
         items = F.try_variant_get(F.element_at(root, name), "$", "array<variant>")

@@ -248,7 +248,7 @@ def batch_tag(
 
 
 def _unreadable(status: Column, body: Column) -> Column:
-    return (status == 200) & F.try_parse_json(X.strip_fences(body)).isNull()
+    return (status == 200) & X.strict_json(X.strip_fences(body)).isNull()
 
 
 def summarise_sample(

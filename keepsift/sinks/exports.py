@@ -181,12 +181,13 @@ def copy_files(plan: DataFrame) -> DataFrame:
     return plan.mapInPandas(run, "image_id string, copied boolean, error string")
 
 
-def bundle_manifest(files: DataFrame) -> DataFrame:
+def bundle_manifest(files: DataFrame, cache_dir: str = ".preview_cache") -> DataFrame:
     """(path, archive_name) of a portable bundle: the session and report at the top, all sidecars
-    outside hidden folders."""
+    that do not lie below a cache folder."""
     rel = F.col("relative_path")
     top = rel.isin("session.json", "results.json")
-    xmp = F.lower(rel).endswith(".xmp") & ~rel.rlike(r"(?:^|/)\.[^/]*/")
+    cached = F.concat(F.lit("/"), rel).contains(f"/{cache_dir}/")
+    xmp = F.lower(rel).endswith(".xmp") & ~cached
     return files.where(top | xmp).select("path", rel.alias("archive_name"))
 
 

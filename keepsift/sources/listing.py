@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsift import constants as K
 from keepsift.functions import paths as P
@@ -156,7 +157,10 @@ def _jpeg_size(data: bytes) -> dict:
     return {"width": 0, "height": 0}
 
 
-@F.pandas_udf("struct<width:bigint,height:bigint>")
+SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
+
+
+@F.pandas_udf(SIZE)
 def jpeg_size(content: pd.Series) -> pd.DataFrame:
     """Size from the first frame header of a JPEG; 0 x 0 when there is none."""
     empty = {"width": 0, "height": 0}

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keepsift import constants as K
 from keepsift.functions.numbers import js_round
@@ -200,8 +199,7 @@ def tagging_prompt(filenames: Column) -> Column:
 
 # --- answers -----------------------------------------------------------------
 
-WEIGHTS_TYPE = T.StructType([T.StructField(d, T.DoubleType()) for d in K.DIMENSIONS])
-SCORE_ANSWER = T.StructType(WEIGHTS_TYPE.fields + [T.StructField("reasoning", T.StringType())])
+SCORE_ANSWER = ", ".join(f"{d} double" for d in K.DIMENSIONS) + ", reasoning variant"
 
 
 def strip_fences(text: Column) -> Column:
@@ -220,39 +218,40 @@ def strict_json(body: Column) -> Column:
     return F.when(alone, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
-def parse_score_answer(text: Column) -> Column:
-    """Struct of six rounded scores, reasoning and error (NULL when the answer is valid).
+def parse_score_answers(answers: DataFrame, text: str = "body") -> DataFrame:
+    """Add six rounded scores, `reasoning` and `error` (NULL when the answer is valid).
 
-    Numbers must be JSON numbers in 0..100 and reasoning a non-blank JSON string. Whether a
-    value is a number or a string is read from the variant type, so quoted numbers fail.
+    Scores must be JSON numbers in 0..100 (quoted ones read as NULL) and reasoning a non-blank
+    JSON string. Steps are columns, so that the text is parsed once.
     """
-    body = strip_fences(text)
-    v = strict_json(body)
-
-    def kind(key):
-        return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
-
-    def number(key):
-        is_number = kind(key).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-        return F.when(is_number, F.try_variant_get(v, f"$.{key}", "double"))
-
-    reasoning = F.when(kind("reasoning") == "STRING", F.try_variant_get(v, "$.reasoning", "string"))
-    reasoning = F.regexp_replace(reasoning, r"^\s+|\s+$", "")
+    trimmed = F.regexp_replace(F.try_variant_get("_p.reasoning", "$", "string"), r"^\s+|\s+$", "")
+    step = (
+        answers.withColumn("_body", strip_fences(F.col(text)))
+        .withColumns({"_v": strict_json(F.col("_body")), "_p": F.from_json("_body", SCORE_ANSWER)})
+        .withColumns(
+            {
+                "_root": F.schema_of_variant("_v"),
+                "_why": F.when(F.schema_of_variant("_p.reasoning") == "STRING", trimmed),
+            }
+        )
+    )
     error = (
-        F.when(F.coalesce(body, F.lit("")) == "", "response text is empty")
-        .when(v.isNull(), "invalid JSON")
-        .when(~F.schema_of_variant(v).startswith("OBJECT"), "root value is not an object")
+        F.when(F.coalesce("_body", F.lit("")) == "", "response text is empty")
+        .when(F.col("_v").isNull(), "invalid JSON")
+        .when(~F.startswith("_root", F.lit("OBJECT")), "root value is not an object")
     )
     for d in K.DIMENSIONS:
-        n = number(d)
+        n = F.col(f"_p.{d}")
         error = error.when(n.isNull(), f'key "{d}" is missing or not a number').when(
             ~n.between(0, 100), f'key "{d}" is out of range'
         )
-    error = error.when(F.coalesce(reasoning, F.lit("")) == "", 'key "reasoning" is missing or empty')
-    return F.struct(
-        *[F.when(error.isNull(), js_round(number(d)).cast("int")).alias(d) for d in K.DIMENSIONS],
-        F.when(error.isNull(), reasoning).alias("reasoning"),
-        error.alias("error"),
+    error = error.when(F.coalesce("_why", F.lit("")) == "", 'key "reasoning" is missing or empty')
+    ok = F.col("error").isNull()
+    return step.withColumn("error", error).select(
+        *answers.columns,
+        *[F.when(ok, js_round(F.col(f"_p.{d}")).cast("int")).alias(d) for d in K.DIMENSIONS],
+        F.when(ok, F.col("_why")).alias("reasoning"),
+        "error",
     )
 
 
@@ -270,7 +269,7 @@ def parse_tag_answer(text: Column, filenames: Column) -> Column:
         trimmed = F.transform(strings, lambda v: F.lower(F.trim(F.try_variant_get(v, "$", "string"))))
         return F.filter(trimmed, lambda w: w != "")
 
-    pairs = F.transform(F.array_distinct(filenames), lambda f: F.struct(f.alias("key"), words(f).alias("value")))
+    pairs = F.transform(F.array_distinct(filenames), lambda f: F.named_struct(F.lit("key"), f, F.lit("value"), words(f)))
     return F.map_from_entries(F.filter(pairs, lambda p: F.size(p["value"]) > 0))
 
 

@@ -89,23 +89,23 @@ def batch_call(
 def scores_from_answers(answers: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Score columns, total, reasoning and tokens from (image_id, status, body, ...). A failed
     request or a bad answer becomes a zero row with the reason."""
-    parsed = answers.withColumn("_p", X.parse_score_answer(F.col("body")))
+    parsed = X.parse_score_answers(answers)
     cls = X.http_error_class(F.col("status"))
     failure = (
         F.when(F.col("status") == 0, "Request timed out twice")
         .when(cls != "ok", F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-        .when(F.col("_p.error").isNotNull(), F.col("_p.error"))
+        .when(F.col("error").isNotNull(), F.col("error"))
     )
-    rows = parsed.withColumn("failure", failure)
     ok = F.col("failure").isNull()
-    rows = rows.withColumns({d: F.when(ok, F.col(f"_p.{d}")).otherwise(0) for d in K.DIMENSIONS})
+    rows = parsed.withColumn("failure", failure)
+    rows = rows.withColumns({d: F.when(ok, F.col(d)).otherwise(0) for d in K.DIMENSIONS})
     keep = [c for c in answers.columns if c not in ("status", "body", "tokens_in", "tokens_out")]
     return rows.select(
         *keep,
         *K.DIMENSIONS,
         weighted_total(F.col, lambda d: F.lit(float(weights[d]))).alias("total"),
         F.when(ok, F.lit(None)).otherwise("rejected").cast("string").alias("tier"),
-        F.when(ok, F.col("_p.reasoning")).otherwise(F.concat(F.lit("Scoring failed: "), "failure")).alias("reasoning"),
+        F.when(ok, F.col("reasoning")).otherwise(F.concat(F.lit("Scoring failed: "), "failure")).alias("reasoning"),
         F.when(ok, F.col("tokens_in")).otherwise(0).cast("bigint").alias("tokens_in"),
         F.when(ok, F.col("tokens_out")).otherwise(0).cast("bigint").alias("tokens_out"),
         "failure",

@@ -46,7 +46,7 @@ def upsert_profiles(profiles: DataFrame, new: DataFrame, required: Sequence[str]
     """Replace by id or append. Rows without a required field are refused."""
     valid = new
     for c in required:
-        valid = valid.where(F.col(c).isNotNull() & (F.col(c) != ""))
+        valid = valid.where(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
     return profiles.join(valid.select("id"), "id", "left_anti").unionByName(valid)
 
 

@@ -46,7 +46,8 @@ def similar_pairs(
     if not 0 <= threshold <= MAX_THRESHOLD:
         raise ValueError(f"threshold must be within 0..{MAX_THRESHOLD}")
     by = list(by)
-    nodes = distinct_fingerprints(df, fp, by).select(*by, "fp")
+    # Stored once: every probe reads the short list, not what it was derived from.
+    nodes = store(distinct_fingerprints(df, fp, by).select(*by, "fp"), "fingerprints")
     plan = _Bands(threshold, bands)
     left = right = nodes.withColumn("used", F.lit(0))
     found, keys = [], list(by)
@@ -99,27 +100,32 @@ class _Bands:
     def masks(self, band: int, bits: int) -> list[int]:
         return [sum(1 << b for b in c) for k in range(bits + 1) for c in combinations(range(self.width[band]), k)]
 
+    def _probes(self, used: int, side: int) -> Column:
+        """All (slice, shift, slice mask, flipped bits) a row tries, as one literal array."""
+        out = []
+        for band, radius in self.radii(used).items():
+            if radius < 0:
+                continue
+            for m in self.masks(band, (radius + 1) // 2 if side == 0 else radius // 2):
+                out.append(f"struct({band}, {self.offset[band]}, {(1 << self.width[band]) - 1}L, {m}L)")
+        return F.expr(f"array({', '.join(out)})")
+
     def probe(self, df: DataFrame, level: int, side: int) -> DataFrame:
         """Rows times their probe keys at this level: k = slice value with up to half the radius flipped."""
-        parts = []
-        for used in self.used_sets(level):
-            here = df if level == 1 else df.where(F.col("used") == used)
-            for band, radius in self.radii(used).items():
-                if radius < 0:
-                    continue
-                flips = self.masks(band, (radius + 1) // 2 if side == 0 else radius // 2)
-                mask = F.explode(F.array(*[F.lit(m).cast("bigint") for m in flips]))
-                parts.append(
-                    here.select("*", mask.alias(f"m{level}"))
-                    .withColumn(f"u{level}", F.col("used"))
-                    .withColumn(f"b{level}", F.lit(band))
-                    .withColumn(
-                        f"k{level}",
-                        F.lit(band * 2**40).bitwiseOR(self.slice_of(F.col("fp"), band).bitwiseXOR(F.col(f"m{level}"))),
-                    )
-                    .withColumn("used", F.lit(used | 1 << band))
-                )
-        return reduce(DataFrame.unionByName, parts)
+        sets = self.used_sets(level)
+        probes = self._probes(sets[0], side)
+        for used in sets[1:]:
+            probes = F.when(F.col("used") == used, self._probes(used, side)).otherwise(probes)
+        rows = df.select("*", F.inline(probes).alias("_band", "_shift", "_ones", f"m{level}"))
+        value = F.expr("shiftrightunsigned(fp, _shift)").bitwiseAND(F.col("_ones")).bitwiseXOR(F.col(f"m{level}"))
+        return rows.withColumns(
+            {
+                f"u{level}": F.col("used"),
+                f"b{level}": F.col("_band"),
+                f"k{level}": F.shiftleft(F.col("_band").cast("bigint"), 40).bitwiseOR(value),
+                "used": F.col("used").bitwiseOR(F.expr("shiftleft(1, _band)")),
+            }
+        ).drop("_band", "_shift", "_ones")
 
     def match(self, left: DataFrame, right: DataFrame, keys, by, level: int) -> DataFrame:
         a, b = left.alias("a"), right.alias("b")
@@ -129,7 +135,8 @@ class _Bands:
             cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
         for lv in range(1, level + 1):
             cond = cond & self._canonical(lv) & self._first(diff, lv)
-        return a.join(b, cond).select(
+        # Size estimates do not see the probes multiply the rows, so broadcasting is ruled out.
+        return a.join(b.hint("merge"), cond).select(
             *[F.col(f"a.{c}").alias(c) for c in by],
             F.col("a.fp").alias("fp_a"),
             F.col("b.fp").alias("fp_b"),

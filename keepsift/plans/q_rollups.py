@@ -10,6 +10,7 @@ from keepsift.operators import tiers as T
 from keepsift.plans import views as V
 from keepsift.plans.q_filters import _EXT, _IGNORED, _SUPPORTED, IGNORE, listing
 from keepsift.plans.registry import query
+from keepsift.session import store
 from keepsift.plans.views import js_round_sql, table
 
 # Tiers of the whole session, and per folder.
@@ -24,6 +25,11 @@ def tiered(spark, d, by=()):
     return T.assign_tiers(V.scores(spark, d), by=by)
 
 
+def stored_tiers(spark, d, by=()):
+    """Tiered scores as the table a finished session leaves behind."""
+    return store(tiered(spark, d, by), "tiered")
+
+
 def _pct(expr):
     return js_round_sql(f"({expr})::DOUBLE / count(*) * 100") + "::BIGINT"
 

@@ -140,8 +140,8 @@ def _(spark, d):
     FROM dims)""",
 )
 def _(spark, d):
-    p = V.answers(spark, d).select("image_id", X.parse_score_answer(F.col("body")).alias("p"))
-    return p.select("image_id", "p.quality", F.col("p.faceEyes").alias("face_eyes"), "p.reasoning", "p.error")
+    p = X.parse_score_answers(V.answers(spark, d))
+    return p.select("image_id", "quality", F.col("faceEyes").alias("face_eyes"), "reasoning", "error")
 
 
 @query(

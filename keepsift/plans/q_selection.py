@@ -6,7 +6,7 @@ from keepsift.functions.text import micros
 from keepsift.operators import caching, naming, ordering as O, quota, rollups as R, tiers as T
 from keepsift.operators.ranking import newest_n
 from keepsift.plans import views as V
-from keepsift.plans.q_rollups import tiered
+from keepsift.plans.q_rollups import stored_tiers, tiered
 from keepsift.plans.q_scalars import NOW, now
 from keepsift.plans.registry import query
 from keepsift.plans.views import js_round_sql, table
@@ -31,9 +31,9 @@ def _(spark, d):
     return T.assign_tiers(rows).select("l_orderkey", "l_linenumber", "tier")
 
 
-@query("top_percent", "tiered", "SELECT doc_id, total FROM (SELECT *, row_number() OVER (ORDER BY total DESC, image_id) AS rn, count(*) OVER () AS n FROM tiered WHERE tier IN ('S','A')) WHERE rn <= greatest(1, ceil(n * (28 / 100.0::DOUBLE)))".replace(" n ", " n2 ").replace("AS n FROM", "AS n2 FROM").replace("(n *", "(n2 *"))
+@query("top_percent", "tiered", "SELECT doc_id, total FROM (SELECT *, row_number() OVER (ORDER BY total DESC, image_id) AS rn, count(*) OVER () AS n FROM tiered WHERE tier IN ('S','A')) WHERE rn <= greatest(1, ceil(n * (28 / 100.0::DOUBLE)))")
 def _(spark, d):
-    return T.top_percent(T.keepers(tiered(spark, d)), 28).select("doc_id", "total")
+    return T.top_percent(T.keepers(stored_tiers(spark, d)), 28).select("doc_id", "total")
 
 
 _FILL = """SELECT doc_id, CASE WHEN tier IN ({tiers}) AND row_number() OVER (PARTITION BY {part} tier IN ({tiers}) ORDER BY total DESC, image_id) <= greatest(0, {target} - count(*) FILTER (tier IN ('S','A')) OVER (PARTITION BY {group})) THEN 'A' ELSE tier END AS tier FROM {view}"""
@@ -41,12 +41,12 @@ _FILL = """SELECT doc_id, CASE WHEN tier IN ({tiers}) AND row_number() OVER (PAR
 
 @query("fill_shortfall", "tiered", _FILL.format(tiers="'B'", part="", group="1", target=500, view="tiered"))
 def _(spark, d):
-    return T.fill_shortfall(tiered(spark, d), 500, "fillWithB").select("doc_id", "tier")
+    return T.fill_shortfall(stored_tiers(spark, d), 500, "fillWithB").select("doc_id", "tier")
 
 
 @query("fill_shortfall_rejected", "tiered_by_folder", _FILL.format(tiers="'B','rejected'", part="folder,", group="folder", target=35, view="tiered_by_folder"))
 def _(spark, d):
-    return T.fill_shortfall(tiered(spark, d, ["folder"]), 35, "fillWithRejected", by=["folder"]).select("doc_id", "tier")
+    return T.fill_shortfall(stored_tiers(spark, d, ["folder"]), 35, "fillWithRejected", by=["folder"]).select("doc_id", "tier")
 
 
 @query("fill_shortfall_stop", "tiered", "SELECT doc_id, tier FROM tiered")
@@ -110,7 +110,6 @@ def _(spark, d):
     return O.evenly_spaced_sample(V.assets(spark, d), [F.col("filename"), F.col("path")], ["folder"]).select("doc_id", "sample_no")
 
 
-V.VIEWS_SQL["outnames"] = r"""WITH RECURSIVE_PLACEHOLDER"""
 _NAMES = r"""WITH f AS (SELECT doc_id, path, CASE WHEN doc_id % 37 = 5 THEN regexp_replace(filename, '(\.[^.]*)$', '_' || (doc_id % 4 + 1) || '\1') ELSE filename END AS filename FROM assets),
 e AS (SELECT DISTINCT regexp_replace(filename, '(\.[^.]*)$', CASE WHEN doc_id % 3 = 0 THEN '' ELSE '_' || (doc_id % 7) END || '\1') AS filename FROM assets WHERE doc_id % 29 = 4),
 m AS (SELECT *, regexp_replace(filename, '\.[^.]*$', '') AS base, regexp_extract(filename, '(\.[^.]*)$', 1) AS ext, row_number() OVER (PARTITION BY filename ORDER BY path) AS rk, filename IN (SELECT filename FROM e) AS ex FROM f),
@@ -118,8 +117,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY path) AS r FRO
 t AS (SELECT filename, regexp_extract(filename, '^(.*)_([1-9]\d*)(\.[^.]*)$', 1) AS base, regexp_extract(filename, '^(.*)_([1-9]\d*)(\.[^.]*)$', 3) AS ext, try_cast(regexp_extract(filename, '^(.*)_([1-9]\d*)(\.[^.]*)$', 2) AS BIGINT) AS k FROM (SELECT filename FROM e UNION SELECT filename FROM f)),
 free AS (SELECT base, ext, k, row_number() OVER (PARTITION BY base, ext ORDER BY k) AS nth FROM (SELECT DISTINCT base, ext, unnest(range(1, 400)) AS k FROM r) c WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.base = c.base AND t.ext = c.ext AND t.k = c.k))
 SELECT doc_id, filename AS out_name FROM m WHERE NOT ex AND rk = 1 UNION ALL SELECT r.doc_id, r.base || '_' || free.k || r.ext FROM r JOIN free ON free.base = r.base AND free.ext = r.ext AND free.nth = r.r"""
-del V.VIEWS_SQL["outnames"]
-
 
 def _files(spark, d):
     i = F.col("doc_id")
@@ -147,7 +144,7 @@ def _(spark, d):
 @query("export_keepers_flat", "tiered", """WITH k AS (SELECT image_id, path, filename, row_number() OVER (PARTITION BY filename ORDER BY path) AS rk FROM tiered WHERE tier IN ('S','A'))
 SELECT image_id, path AS src_path, '/out/' || CASE WHEN rk = 1 THEN filename ELSE regexp_replace(filename, '(\\.[^.]*)$', '_' || (rk - 1) || '\\1') END AS dest_path FROM k""")
 def _(spark, d):
-    return naming.export_keepers(tiered(spark, d), V.ROOT, "/out", preserve=False)
+    return naming.export_keepers(stored_tiers(spark, d), V.ROOT, "/out", preserve=False)
 
 
 @query("tag_blocks", "tiered", "SELECT doc_id, ((row_number() OVER (ORDER BY total DESC, image_id) - 1) // 5)::BIGINT AS block_no FROM tiered WHERE tier IN ('S','A')")

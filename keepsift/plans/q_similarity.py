@@ -1 +1,106 @@
-"""Queries."""
+"""Near-duplicates of embeddings and texts."""
+
+from pyspark.sql import functions as F
+
+from keepsift.functions.fingerprints import to_hex
+from keepsift.operators import grouping as G
+from keepsift.operators.components import connected_components
+from keepsift.operators.similarity import similar_pairs
+from keepsift.plans import views as V
+from keepsift.plans.registry import query
+from keepsift.session import store
+
+_HEX = "lpad(lower(to_hex({})), 16, '0')"
+
+
+def _pairs_sql(view, t, by=None):
+    scope = f"{by}, " if by else ""
+    same = f"a.{by} = b.{by} AND " if by else ""
+    return f"""SELECT {'a.' + by + ',' if by else ''} a.fp AS fa, b.fp AS fb, bit_count(xor(a.fp, b.fp))::INTEGER AS distance FROM (SELECT DISTINCT {scope} fp FROM {view} WHERE fp IS NOT NULL) a
+    JOIN (SELECT DISTINCT {scope} fp FROM {view} WHERE fp IS NOT NULL) b ON {same} a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= {t}"""
+
+
+def _hex_pairs(pairs, *by):
+    # Unsigned order of the two ends, as the check has it.
+    a, b = to_hex(F.col("fp_a")), to_hex(F.col("fp_b"))
+    return pairs.select(*by, F.least(a, b).alias("fp_a"), F.greatest(a, b).alias("fp_b"), "distance")
+
+
+def _out(sql, by=""):
+    return f"SELECT {by} {_HEX.format('fa')} AS fp_a, {_HEX.format('fb')} AS fp_b, distance FROM ({sql})"
+
+
+@query("similar_pairs", "vectors", _out(_pairs_sql("vectors", 18)))
+def _(spark, d):
+    return _hex_pairs(similar_pairs(V.vectors(spark, d), 18))
+
+
+@query("similar_pairs_wide", "vectors", _out(_pairs_sql("vectors", 20)))
+def _(spark, d):
+    return _hex_pairs(similar_pairs(V.vectors(spark, d), 20))
+
+
+@query("similar_pairs_in_folder", "vectors", _out(_pairs_sql("vectors", 20, "folder"), "folder,"))
+def _(spark, d):
+    return _hex_pairs(similar_pairs(V.vectors(spark, d), 20, by=["folder"]), "folder")
+
+
+@query("similar_texts", "text_prints", _out(_pairs_sql("text_prints", 10)))
+def _(spark, d):
+    return _hex_pairs(similar_pairs(V.text_prints(spark, d), 10))
+
+
+def _components_sql(view, t, ids, by=None):
+    """Labels of all assets: smallest fingerprint reached from its own."""
+    scope = f"{by}" if by else "''"
+    return f"""WITH RECURSIVE n AS (SELECT DISTINCT {scope} AS sc, fp FROM {view} WHERE fp IS NOT NULL),
+    e AS (SELECT a.sc, a.fp AS x, b.fp AS y FROM n a JOIN n b ON a.sc = b.sc AND a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {t}),
+    reach(sc, fp, root) AS (SELECT sc, fp, fp FROM n UNION SELECT r.sc, e.y, r.root FROM reach r JOIN e ON e.sc = r.sc AND e.x = r.fp),
+    lab AS (SELECT sc, fp, min(root) AS root FROM reach GROUP BY sc, fp),
+    m AS (SELECT v.*, CASE WHEN v.fp IS NULL THEN 'unique-' || {ids} ELSE {"'' ||" if not by else "v." + by + " || '/' ||"} {_HEX.format('lab.root')} END AS cluster_id FROM {view} v LEFT JOIN lab ON lab.fp = v.fp AND lab.sc = {("v." + by) if by else "''"})"""
+
+
+@query("connected_components", "vectors", _components_sql("vectors", 20, "image_id") + " SELECT DISTINCT " + _HEX.format("lab.fp") + " AS node, " + _HEX.format("lab.root") + " AS root FROM lab WHERE fp IN (SELECT x FROM e)")
+def _(spark, d):
+    edges = similar_pairs(V.vectors(spark, d), 20).select(to_hex(F.col("fp_a")).alias("a"), to_hex(F.col("fp_b")).alias("b"))
+    return connected_components(edges)
+
+
+@query("group_duplicates", "vectors", _components_sql("vectors", 18, "image_id") + " SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY filename, path) = 1 AS is_representative FROM m")
+def _(spark, d):
+    return G.group_duplicates(V.vectors(spark, d), 18).select("vec_id", "cluster_id", "is_representative")
+
+
+@query("group_duplicates_in_folder", "vectors", _components_sql("vectors", 20, "image_id", "folder") + " SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY filename, path) = 1 AS is_representative FROM m")
+def _(spark, d):
+    return G.group_duplicates(V.vectors(spark, d), 20, by=["folder"]).select("vec_id", "cluster_id", "is_representative")
+
+
+@query("group_duplicates_disabled", "vectors", "SELECT vec_id, 'unique-' || image_id AS cluster_id, true AS is_representative FROM vectors")
+def _(spark, d):
+    return G.group_duplicates(V.vectors(spark, d), disabled=True).select("vec_id", "cluster_id", "is_representative")
+
+
+def text_groups(spark, d):
+    prints = store(V.text_prints(spark, d), "prints")
+    a = V.assets(spark, d).select("doc_id", "image_id", "filename", "path").join(prints, "doc_id")
+    return G.group_duplicates(a)
+
+
+V.VIEWS_SQL["text_assets"] = "SELECT a.doc_id, image_id, filename, path, fp FROM assets a JOIN text_prints USING (doc_id)"
+V.NEEDS["text_assets"] = ["assets", "text_prints"]
+
+
+@query("group_text_duplicates", "text_assets", _components_sql("text_assets", 10, "image_id") + " SELECT doc_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY filename, path) = 1 AS is_representative FROM m")
+def _(spark, d):
+    return text_groups(spark, d).select("doc_id", "cluster_id", "is_representative")
+
+
+@query("cluster_rows", "text_assets", _components_sql("text_assets", 10, "image_id") + " SELECT cluster_id, arg_min(image_id, filename || '|' || path) AS representative_id, count(*) AS size, count(*) - 1 AS suppressed FROM m GROUP BY cluster_id")
+def _(spark, d):
+    return G.cluster_rows(text_groups(spark, d))
+
+
+@query("representatives", "text_assets", _components_sql("text_assets", 10, "image_id") + " SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY cluster_id ORDER BY filename, path) AS rn FROM m) WHERE rn = 1")
+def _(spark, d):
+    return G.representatives(text_groups(spark, d)).select("doc_id")

@@ -50,13 +50,16 @@ def assets(spark, d) -> DataFrame:
     )
 
 
-def dims(spark, d) -> DataFrame:
-    doc = table(spark, d, "documents")
-    cols = []
+def dim_columns(length: str = "n_chars"):
+    out = []
     for name, k in zip(K.DIMENSIONS, FACTORS):
-        v = (F.col("doc_id") * k + F.col("n_chars")) % 101
-        cols.append(F.when(F.col("doc_id") % 9 == 0, F.floor(v / 4)).otherwise(v).cast("bigint").alias(name))
-    return doc.select("doc_id", *cols)
+        v = (F.col("doc_id") * k + F.col(length)) % 101
+        out.append(F.when(F.col("doc_id") % 9 == 0, F.floor(v / 4)).otherwise(v).cast("bigint").alias(name))
+    return out
+
+
+def dims(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", *dim_columns())
 
 
 def faces(spark, d) -> DataFrame:
@@ -81,11 +84,11 @@ def faces(spark, d) -> DataFrame:
     )
 
 
-def scores(spark, d, parts: bool = True) -> DataFrame:
+def scores(spark, d) -> DataFrame:
     """Scored assets with the general preset; the rest of the score columns is made up by rule."""
     general = dict(zip(K.DIMENSIONS, K.GENRE_PRESETS["general"]))
     i = F.col("doc_id")
-    rows = assets(spark, d).join(dims(spark, d), "doc_id")
+    rows = assets(spark, d).select("*", *dim_columns("length"))
     return rows.select(
         "doc_id", "image_id", "folder", "filename", "path", "length", *K.DIMENSIONS,
         weighted_total(F.col, lambda n: F.lit(float(general[n]))).alias("total"),

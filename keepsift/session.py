@@ -18,6 +18,7 @@ def build_session(app: str = "keepsift", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)

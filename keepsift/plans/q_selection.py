@@ -236,13 +236,16 @@ def _(spark, d):
     return O.selection_check(V.assets(spark, d), 50, ["folder"])
 
 
-@query("quota_fold", "usage_events", """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM usage_events WHERE quota IS NOT NULL),
+_QUOTA_SQL = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM usage_events WHERE quota IS NOT NULL),
 st(user_id, rn, seq, month, cnt, last_us, ok, err, rem) AS (
 SELECT user_id, 0::BIGINT, -1::BIGINT, '', 0::BIGINT, 0::BIGINT, true, NULL::VARCHAR, 0::BIGINT FROM (SELECT DISTINCT user_id FROM e)
 UNION ALL SELECT user_id, rn, seq, CASE WHEN ok THEN month_key ELSE month END, CASE WHEN ok THEN c0 + n ELSE cnt END, CASE WHEN ok THEN ts_us ELSE last_us END, ok, CASE WHEN ok THEN NULL WHEN tamper THEN 'CLOCK_TAMPER' ELSE 'QUOTA_EXCEEDED' END,
   CASE WHEN ok THEN quota - c0 - n WHEN tamper THEN 0 ELSE greatest(0, quota - c0) END FROM (
   SELECT *, NOT tamper AND c0 + n <= quota AS ok FROM (
   SELECT e.*, st.month, st.cnt, st.last_us, CASE WHEN e.month_key <> st.month THEN 0 ELSE st.cnt END AS c0, e.month_key = st.month AND e.ts_us < st.last_us - 3600000000 AS tamper FROM st JOIN e ON e.user_id = st.user_id AND e.rn = st.rn + 1)))
-SELECT user_id, seq, ok AS success, rem AS remaining, err AS error FROM st WHERE rn > 0 UNION ALL SELECT user_id, seq, true, 9007199254740991, NULL FROM usage_events WHERE quota IS NULL""")
+SELECT user_id, seq, ok AS success, rem AS remaining, err AS error FROM st WHERE rn > 0 UNION ALL SELECT user_id, seq, true, 9007199254740991, NULL FROM usage_events WHERE quota IS NULL"""
+
+
+@query("quota_fold", "usage_events", _QUOTA_SQL)
 def _(spark, d):
     return quota.quota_fold(V.usage_events(spark, d)).select("user_id", "seq", "success", "remaining", "error")

@@ -139,7 +139,10 @@ def users(spark, d) -> DataFrame:
 
 def usage_events(spark, d) -> DataFrame:
     """Usage log in order of event_id: some clocks run two hours or a month behind."""
-    e = table(spark, d, "events")
+    return usage_columns(table(spark, d, "events"))
+
+
+def usage_columns(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
     late = F.when(i % 11 == 5, F.lit(2 * 3600)).when(i % 50 == 7, F.lit(31 * 86400)).otherwise(F.lit(0))
     ts_us = micros(F.col("ts")) - late.cast("bigint") * 1000000

@@ -12,9 +12,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from keepsift import constants as K
 from keepsift.functions.numbers import eta_seconds
-from keepsift.operators.quota import TOLERANCE_US, UNLIMITED
+from keepsift.operators.quota import TOLERANCE_US, UNLIMITED, quota_fold
+from keepsift.operators.ranking import latest
 from keepsift.operators.sets import upsert_scores
 from keepsift.operators.tiers import assign_tiers
+from keepsift.session import store
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -108,6 +110,42 @@ def batch_events(progress: DataFrame, folders: DataFrame) -> DataFrame:
     )
 
 
+def quota_batches(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Quota by micro-batch with the exact, skew-proof fold of `operators.quota`.
+
+    Each user's record enters a batch as one accepted event before the new ones, and leaves it
+    as the last accepted event. `table` receives outcomes below `outcomes/` and records below
+    `records/`, one folder per batch, so a repeated batch replaces its own output.
+    """
+    spark = events.sparkSession
+    cols = ["user_id", "seq", "ts_us", "month_key", "n", "quota"]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        new = batch.select(*cols)
+        if batch_id > 0:
+            old = spark.read.schema(new.schema).parquet(f"{table}/records/batch={batch_id - 1}")
+            work = new.unionByName(old)
+        else:
+            old, work = None, new
+        done = store(quota_fold(work), "quota")
+        out = done if old is None else done.join(old.select("user_id", "seq"), ["user_id", "seq"], "left_anti")
+        out.write.mode("overwrite").parquet(f"{table}/outcomes/batch={batch_id}")
+        accepted = done.where(F.col("success") & F.col("quota").isNotNull())
+        kept = latest(
+            accepted.select("user_id", "seq", "ts_us", "month_key", (F.col("quota") - F.col("remaining")).alias("n"), "quota"),
+            ["user_id"],
+            ["seq"],
+        )
+        kept.write.mode("overwrite").parquet(f"{table}/records/batch={batch_id}")
+
+    return (
+        events.writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 class _Quota(StatefulProcessor):
     """One record (month, count, last accepted time) per user."""
 
@@ -147,8 +185,9 @@ def quota_stream(events: DataFrame) -> DataFrame:
     """Outcome per usage event, the streaming form of `operators.quota.quota_fold`.
 
     events(user_id, seq, ts_us, month_key, n, quota). Needs the RocksDB state store
-    (`use_state_store`). Order counts within a micro-batch; bound its size at the source, so
-    that a hot user is worked off in steps. For a backlog use the batch form.
+    (`use_state_store`) and events that arrive in order: a user's rows of one micro-batch are
+    sorted per Arrow batch only. Where order may be mixed, a user is hot or a backlog waits,
+    use `quota_batches`.
     """
     return events.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=_Quota(),

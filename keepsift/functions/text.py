@@ -112,6 +112,12 @@ def micros(ts: Column) -> Column:
     return (day * 86400 + clock) * 1000000 + (whole * 1000000).cast("bigint")
 
 
+def from_micros(us: Column) -> Column:
+    """Zone-free timestamp of microseconds since 1970; does not depend on the session time zone."""
+    seconds = us.cast("decimal(20,0)") / F.lit(1000000).cast("decimal(20,0)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     return (micros(end) - micros(start)) / F.lit(1000000.0)
 

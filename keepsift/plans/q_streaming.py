@@ -4,9 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from keepsift.operators.rollups import folder_rollup  # noqa: F401
+from keepsift.functions.text import micros
 from keepsift.plans import views as V
-from keepsift.plans.q_rollups import tiered  # noqa: F401
 from keepsift.plans.q_selection import _QUOTA_SQL
 from keepsift.plans.registry import query
 from keepsift.plans.views import js_round_sql, table
@@ -78,7 +77,7 @@ def _(spark, d):
         F.col("event_type").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), (i * 0.5).alias("elapsed_s"), (i % 900 + 1).alias("done"), F.lit(1000).alias("total")
     )
     rows = _to_parquet(live.throttled_eta(progress), run_dir(spark, "eta"), "append")
-    return rows.select("session_id", F.unix_timestamp("at").alias("at_s"), "done", "eta_seconds")
+    return rows.select("session_id", F.floor(micros(F.col("at").cast("timestamp_ntz")) / 1000000).alias("at_s"), "done", "eta_seconds")
 
 
 @query("idempotent_resume", "", "SELECT DISTINCT event_type AS session_id, user_id::VARCHAR AS image_id FROM events")

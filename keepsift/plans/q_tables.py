@@ -4,11 +4,8 @@ from pyspark.sql import functions as F
 
 from keepsift import constants as K
 from keepsift.operators import sets as S
-from keepsift.operators.ordering import evenly_spaced_sample  # noqa: F401
-from keepsift.operators.rollups import tier_counts  # noqa: F401
 from keepsift.plans import views as V
-from keepsift.plans.q_filters import listing
-from keepsift.plans.q_rollups import stored_tiers, tiered
+from keepsift.plans.q_rollups import tiered
 from keepsift.plans.registry import query
 from keepsift.plans.views import table
 from keepsift.sinks import exports as X
@@ -140,13 +137,13 @@ def _(spark, d):
 
 @query("list_cache_entries", "assets", "SELECT regexp_replace(filename, '\\.[^.]*$', '') || '-' || doc_id AS cache_key, length AS size_bytes, CASE WHEN doc_id % 3 = 0 THEN length * 1000000 ELSE 1700000000000000 + doc_id * 1000000 END::BIGINT AS cached_us, doc_id % 3 > 0 AS from_mtime FROM assets WHERE filename LIKE '%.jpg'")
 def _(spark, d):
-    from keepsift.functions.text import micros
+    from keepsift.functions.text import from_micros, micros
 
     i = F.col("doc_id")
     a = V.assets(spark, d)
     name = F.concat(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit("-"), i.cast("string"), F.regexp_extract("filename", r"(\.[^.]*)$", 1))
     files = a.select(name.alias("filename"), "folder", "length", (i * 1000000 + 1700000000000000).alias("modified_us"))
-    notes = a.where(i % 3 == 0).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("cache_key"), F.timestamp_micros(F.col("length") * 1000000).cast("timestamp_ntz").alias("cached_at"))
+    notes = a.where(i % 3 == 0).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("cache_key"), from_micros(F.col("length") * 1000000).alias("cached_at"))
     return L.list_cache_entries(files, notes).select("cache_key", "size_bytes", micros(F.col("cached_at")).alias("cached_us"), "from_mtime")
 
 

@@ -26,4 +26,4 @@ def query(name: str, views: str = "", sql: str | None = None):
 
 def load() -> None:
     """Import all modules that register queries."""
-    from keepsift.plans import q_filters, q_inference, q_joins, q_rollups, q_scalars, q_selection, q_similarity, q_streaming, q_tables  # noqa: F401
+    from keepsift.plans import q_cull, q_filters, q_inference, q_joins, q_rollups, q_scalars, q_selection, q_similarity, q_streaming, q_tables  # noqa: F401

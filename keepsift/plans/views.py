@@ -9,7 +9,7 @@ from keepsift import constants as K
 from keepsift.functions import fingerprints as H
 from keepsift.functions import paths as P
 from keepsift.functions.numbers import weighted_total
-from keepsift.functions.text import micros
+from keepsift.functions.text import from_micros, micros, month_key
 from keepsift.operators.inference import name_keywords
 from keepsift.operators.rollups import face_rollup
 
@@ -151,7 +151,7 @@ def usage_columns(e: DataFrame) -> DataFrame:
         "user_id", i.alias("seq"), ts_us.alias("ts_us"),
         F.when(i % 97 == 0, F.lit(600)).otherwise(1 + i % 40).cast("bigint").alias("n"), quota.cast("bigint").alias("quota"),
     )
-    month = F.date_format(F.timestamp_micros("ts_us").cast("timestamp"), "yyyy-MM")
+    month = month_key(from_micros(F.col("ts_us")))
     return rows.withColumn("month_key", month)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from keepsift import constants as K
 from keepsift.functions import paths as P
+from keepsift.functions.text import from_micros
 from keepsift.operators.filters import filter_extensions, filter_hidden, filter_ignored, filter_prefixes, valid_jpeg
 from keepsift.operators.ordering import order_by_basename
 from keepsift.session import store
@@ -194,6 +195,6 @@ def list_cache_entries(files: DataFrame, sidecars: DataFrame) -> DataFrame:
         "cache_key",
         "folder",
         F.col("length").alias("size_bytes"),
-        F.coalesce("cached_at", F.timestamp_micros("modified_us").cast("timestamp_ntz")).alias("cached_at"),
+        F.coalesce("cached_at", from_micros(F.col("modified_us"))).alias("cached_at"),
         F.col("cached_at").isNull().alias("from_mtime"),
     )

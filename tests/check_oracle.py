@@ -64,7 +64,8 @@ def compare(spark, con, folder, name):
 
 if __name__ == "__main__":
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    tz = os.environ.get("CHECK_TZ", "UTC")
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.sql.session.timeZone": tz})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = []

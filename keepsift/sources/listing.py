@@ -38,8 +38,8 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True, tasks: in
         deeper = level.where("is_dir")
         if not recursive or deeper.isEmpty():
             break
-        # Hidden and skipped folders are pruned before they are listed.
-        level = deeper.where(~F.col("path").rlike(r"/(?:\.[^/]*|" + "|".join(K.SKIPPED_DIRS).replace(".", r"\.") + ")$"))
+        # Hidden folders are pruned before they are listed.
+        level = deeper.where(~F.col("path").rlike(r"/\.[^/]*$"))
     return from_manifest(reduce(DataFrame.unionByName, found).drop("is_dir"), base)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsift.session import spread
+
 
 def from_hex(text: Column) -> Column:
     """16 hex digits as a signed 64-bit number."""
@@ -50,26 +52,25 @@ def word_hash(word: Column) -> Column:
 
 
 def simhash(df: DataFrame, id_col: str, text_col: str, out: str = "fp") -> DataFrame:
-    """(id, fp): SimHash of the distinct-case-folded words of the whole text.
+    """(id, fp): SimHash of the case-folded words of the whole text.
 
-    Equal words of a text are counted first, so a long repetitive text shuffles few rows, and
-    the 64 sums combine on the map side. A text without words gets a NULL fingerprint.
+    All words of a text leave one row, so the sums collapse on the map side and only one row of
+    counters per text is shuffled. A counter holds bit i in its lower and bit i + 32 in its upper
+    half. A text without words gets a NULL fingerprint.
     """
-    words = (
-        df.select(F.col(id_col), F.explode(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+")).alias("w"))
-        .where(F.col("w") != "")
-        .groupBy(id_col, "w")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("h", word_hash(F.col("w")))
-    )
-    one = F.lit(1).cast("bigint")
-    votes = words.groupBy(id_col).agg(
-        *[
-            F.sum(F.when(F.shiftright("h", i).bitwiseAND(one) == 1, F.col("c")).otherwise(-F.col("c"))).alias(f"s{i}")
-            for i in range(64)
-        ]
+    words = spread(df.select(id_col, text_col), id_col).select(
+        F.col(id_col), F.explode(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+")).alias("w")
+    ).where("w <> ''")
+    hashed = words.select(id_col, word_hash(F.col("w")).alias("h"))
+    halves = F.lit((1 << 32) + 1)
+    ones = hashed.groupBy(id_col).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(halves)).alias(f"c{i}") for i in range(32)],
     )
     bits = F.lit(0).cast("bigint")
     for i in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"s{i}") > 0, F.shiftleft(one, i)).otherwise(F.lit(0).cast("bigint")))
-    return df.select(id_col).join(votes.select(id_col, bits.alias(out)), id_col, "left")
+        c = F.col(f"c{i % 32}")
+        n_set = c.bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftrightunsigned(c, 32)
+        bit = F.when(n_set * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+        bits = bits.bitwiseOR(bit)
+    return df.select(id_col).join(ones.select(id_col, bits.alias(out)), id_col, "left")

@@ -22,6 +22,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
     mark = _fingerprint(now)
+    if mark[0] == 0:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         now = store(_small_star(_large_star(now)), "stars")
         seen, mark = mark, _fingerprint(now)

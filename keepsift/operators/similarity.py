@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsift import constants as K
+from keepsift.functions.fingerprints import to_hex
+from keepsift.operators.components import connected_components
 from keepsift.session import store
 
 MAX_THRESHOLD = 20
@@ -72,6 +74,74 @@ def similar_pairs(
     return reduce(DataFrame.unionByName, found)
 
 
+def fingerprint_clusters(
+    df: DataFrame,
+    threshold: int = K.DEFAULT_DUPLICATE_THRESHOLD,
+    fp: str = "fp",
+    by: Sequence[str] = (),
+    bands: int = 4,
+    split_work: int = SPLIT_KEY_ROWS**2,
+) -> DataFrame:
+    """(node, root) for every distinct fingerprint: root is the smallest node of its transitive group.
+
+    The groups of `similar_pairs`, without listing the pairs of a dense group:
+    - Stars first. Fingerprints that share a slice are compared with the smallest and the largest
+      one of the slice only. These few true pairs already join most of a dense group.
+    - Then only pairs between different groups matter. Per probe key the largest group is set
+      aside: its rows need comparing with the others, not among themselves; a key that holds a
+      single group is dropped. What is left goes out as distinct pairs of groups.
+    - A key on which that is still more than `split_work` comparisons probes again with its other
+      slices, as in `similar_pairs`.
+    """
+    if not 0 <= threshold <= MAX_THRESHOLD:
+        raise ValueError(f"threshold must be within 0..{MAX_THRESHOLD}")
+    by = list(by)
+    plan = _Bands(threshold, bands)
+    scope = [F.col(c).cast("string") for c in by]
+    node = F.concat_ws("/", *scope, to_hex(F.col("fp")))
+    nodes = store(distinct_fingerprints(df, fp, by).select(*by, "fp", node.alias("node")), "fingerprints")
+
+    stars = connected_components(plan.stars(nodes, by))
+    rows = store(
+        nodes.join(stars, "node", "left").select(*by, "fp", "node", F.coalesce("root", "node").alias("comp")), "starred"
+    )
+    edges = None
+    keys, level_rows = list(by), rows.withColumn("used", F.lit(0))
+    for level in range(1, bands + 1):
+        probes = plan.probe(level_rows, level, 0)
+        keys = [*keys, f"k{level}"]
+        per_group = probes.groupBy(*keys, "comp").count()
+        mixed = per_group.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_groups"),
+            F.max_by("comp", "count").alias("_top"),
+            (F.sum("count") * (F.sum("count") - F.max("count"))).alias("_work"),
+        ).where(F.col("_groups") > 1)
+        mixed = mixed.select(*keys, "_top", (F.col("_work") > (split_work if level < bands else 2**62)).alias("_hot"))
+        met = probes.join(mixed.hint("merge"), keys)
+        if level < bands:
+            # Read twice and asked whether anything is left: written once.
+            met = store(met, "met")
+        cold = met.where(~F.col("_hot"))
+        a, b = cold.where(F.col("comp") != F.col("_top")).alias("a"), cold.alias("b")
+        cond = (F.col("a.comp") != F.col("b.comp")) & (
+            F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= threshold
+        )
+        for k in keys:
+            cond = cond & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        found = a.join(b.hint("merge"), cond).select(
+            F.least("a.comp", "b.comp").alias("a"), F.greatest("a.comp", "b.comp").alias("b")
+        ).distinct()
+        edges = found if edges is None else edges.unionByName(found)
+        if level == bands:
+            break
+        hot = met.where("_hot")
+        if hot.isEmpty():
+            break
+        level_rows = hot.drop("_top", "_hot")
+    joined = connected_components(edges).select(F.col("node").alias("comp"), "root")
+    return rows.join(joined, "comp", "left").select("node", F.coalesce("root", "comp").alias("root"))
+
+
 class _Bands:
     """Slices, radii and probe masks for one threshold."""
 
@@ -97,6 +167,23 @@ class _Bands:
     def slice_of(self, fp: Column, band: int) -> Column:
         return F.shiftrightunsigned(fp, self.offset[band]).bitwiseAND(F.lit((1 << self.width[band]) - 1))
 
+    def stars(self, nodes: DataFrame, by: Sequence[str]) -> DataFrame:
+        """True pairs (a, b) between the rows that share a slice and the ends of that slice."""
+        slices = ", ".join(f"struct({i}, {self.offset[i]}, {(1 << self.width[i]) - 1}L)" for i in range(self.n))
+        value = F.expr("shiftrightunsigned(fp, _shift)").bitwiseAND(F.col("_ones"))
+        rows = nodes.select("*", F.inline(F.expr(f"array({slices})")).alias("_band", "_shift", "_ones"))
+        rows = rows.select(*by, "fp", "node", "_band", value.alias("_value"))
+        keys = [*by, "_band", "_value"]
+        ends = rows.groupBy(*keys).agg(
+            F.min(F.struct("fp", "node")).alias("_lo"), F.max(F.struct("fp", "node")).alias("_hi")
+        )
+        end = F.explode(F.array("_lo", "_hi")).alias("_end")
+        pairs = rows.join(ends.where("_lo.fp <> _hi.fp"), keys).select("fp", "node", end)
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("_end.fp"))) <= self.threshold
+        return pairs.where((F.col("node") != F.col("_end.node")) & near).select(
+            F.col("node").alias("a"), F.col("_end.node").alias("b")
+        )
+
     def masks(self, band: int, bits: int) -> list[int]:
         return [sum(1 << b for b in c) for k in range(bits + 1) for c in combinations(range(self.width[band]), k)]
 

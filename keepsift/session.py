@@ -50,3 +50,10 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition by key only where the scan has fewer partitions than the cluster has slots,
+    as with a few large unsplittable files before heavy per-row work."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df

@@ -6,7 +6,7 @@ import pytest
 
 from keepsift.operators.components import connected_components
 from keepsift.operators.grouping import cluster_rows, group_duplicates
-from keepsift.operators.similarity import similar_pairs
+from keepsift.operators.similarity import fingerprint_clusters, similar_pairs
 
 MASK = (1 << 64) - 1
 
@@ -48,6 +48,29 @@ def test_pairs_stay_in_their_folder(spark):
     assert sorted((r.folder, r.fp_a, r.fp_b) for r in got) == [("x", 1, 3), ("y", 1, 5)]
 
 
+@pytest.mark.parametrize("threshold, work", [(0, 10**9), (3, 10**9), (10, 10**9), (10, 400), (6, 100), (18, 10**9)])
+def test_clusters_equal_the_pairs(spark, threshold, work):
+    fps = prints(2)
+    root = {x: x for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in brute(fps, threshold):
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            root[ra] = rb
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = {r.node: r.root for r in fingerprint_clusters(df, threshold, split_work=work).collect()}
+    name = {x: f"{x & MASK:016x}" for x in fps}
+    groups = {}
+    for x in fps:
+        groups.setdefault(find(x), []).append(name[x])
+    assert got == {m: min(g) for g in groups.values() for m in g}
+
+
 def test_components_equal_union_find(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(rnd.randint(100, 220), rnd.randint(100, 220)) for _ in range(90)] + [(500, 500 + i) for i in range(1, 60)]

@@ -59,12 +59,12 @@ def simhash(df: DataFrame, id_col: str, text_col: str, out: str = "fp") -> DataF
     half. A text without words gets a NULL fingerprint.
     """
     words = spread(df.select(id_col, text_col), id_col).select(
-        F.col(id_col), F.explode(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+")).alias("w")
-    ).where("w <> ''")
-    hashed = words.select(id_col, word_hash(F.col("w")).alias("h"))
+        id_col, F.explode_outer(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+")).alias("w")
+    )
+    hashed = words.select(id_col, F.when(F.col("w") != "", word_hash(F.col("w"))).alias("h"))
     halves = F.lit((1 << 32) + 1)
     ones = hashed.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("h").alias("n"),
         *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(halves)).alias(f"c{i}") for i in range(32)],
     )
     bits = F.lit(0).cast("bigint")
@@ -73,4 +73,4 @@ def simhash(df: DataFrame, id_col: str, text_col: str, out: str = "fp") -> DataF
         n_set = c.bitwiseAND(F.lit((1 << 32) - 1)) if i < 32 else F.shiftrightunsigned(c, 32)
         bit = F.when(n_set * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
         bits = bits.bitwiseOR(bit)
-    return df.select(id_col).join(ones.select(id_col, bits.alias(out)), id_col, "left")
+    return ones.select(id_col, F.when(F.col("n") > 0, bits).alias(out))

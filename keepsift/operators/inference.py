@@ -65,8 +65,9 @@ def batch_call(
     requests: DataFrame, call: Callable[[dict], Answer], concurrency: int | None = None, sleep=time.sleep
 ) -> DataFrame:
     """Add the answer columns to every request row. `concurrency` bounds the tasks that call out
-    at once. Rows pass through batch by batch; after a 401 a task makes no further calls."""
-    spread = requests.repartition(concurrency) if concurrency else requests
+    at once; rows are spread by their first column, so a repeated task sees the same rows. They
+    pass through batch by batch; after a 401 a task makes no further calls."""
+    spread = requests.repartition(concurrency, requests.columns[0]) if concurrency else requests
     schema = T.StructType(requests.schema.fields + ANSWER_FIELDS)
     names = [f.name for f in ANSWER_FIELDS]
 
@@ -267,8 +268,8 @@ def summarise_sample(
             text = ""
         yield pd.DataFrame({"context": [text]})
 
-    # At most eight rows.
-    summary = store(sample.coalesce(1).mapInPandas(run, "context string"), "context")
+    # At most eight rows (and a shuffle before them, so that only they share a task).
+    summary = store(sample.repartition(1).mapInPandas(run, "context string"), "context")
     return assets.withColumn("context", F.coalesce(summary.scalar(), F.lit("")))
 
 

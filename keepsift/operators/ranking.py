@@ -25,14 +25,14 @@ def running(
 ) -> DataFrame:
     """Add row number (from 1), running sums and running maxima, current row included.
 
-    `order` must be a total order within a group. While every group of `by` fits `split_rows`
-    this is one window. Otherwise, and always without `by`, rows are range-partitioned on
-    (by, order), so a hot group spreads over many tasks; each piece gets its local values and
-    the carry from the pieces before it. At most one group runs across a partition border, so
+    `order` must be a total order within a group. While every group of `by` (or, without `by`,
+    the whole input) fits `split_rows` this is one window; a count checks that first. Otherwise
+    rows are range-partitioned on (by, order), so a hot group spreads over many tasks; each piece
+    gets its local values and the carry from the pieces before it. `parts` forces that many pieces. At most one group runs across a partition border, so
     the carries number no more than the partitions and are safe to broadcast.
     """
     by, sums, maxima = list(by), dict(sums or {}), dict(maxima or {})
-    if by and _largest_group(df, by) <= split_rows:
+    if not parts and _largest_group(df, by) <= split_rows:
         return _local(df, by, order, sums, maxima, number)
 
     keys = [F.col(c) for c in by] + list(order)
@@ -63,8 +63,9 @@ def running(
 
 
 def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    top = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return top or 0
+    if not by:
+        return df.count()
+    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
 def _local(df, group, order, sums, maxima, number) -> DataFrame:
@@ -84,43 +85,58 @@ def top_cuts(
     tie: str = "image_id",
     by: Sequence[str] = (),
     extra: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """Where the first `take` rows by (score desc, tie asc) end, per group and label.
 
     `takes` gives each label a row count as an expression over `n`, the group size, and the
     columns of `extra` (one row per group, or a single row). The result has one row per group
     with a struct (score, tie) per label: NULL selects nothing, a NULL tie takes all rows of the
-    score. Use it with `is_within`.
+    score. Use it with `with_cuts` and `is_within`.
 
-    Rows are counted per score, and only rows with the score at the cut are looked at again, by
-    prefix of the tie. Nothing but counts is shuffled. The tie should be spread evenly over its
-    first characters, as asset ids (SHA-256) are.
+    Rows are only counted: per score, and, where a cut falls between equal scores, those rows
+    again by prefix of the tie. The rows themselves are not shuffled. The tie should be spread
+    evenly over its first characters, as asset ids (SHA-256) are.
     """
     by = list(by)
-    down = Window.partitionBy(*by).orderBy(F.desc("_s"))
-    hist = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    hist = hist.select(
-        "*",
-        F.sum("_c").over(Window.partitionBy(*by)).alias("n"),
-        F.coalesce(F.sum("_c").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"),
-    )
+    counted = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    hist = store(counted, "counts")
+    upto = running(hist, [F.desc("_s")], by, sums={"_upto": F.col("_c")}, number=None, **options)
+    sizes = hist.groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
     if extra is not None:
-        hist = hist.join(extra, by, "left") if by else hist.join(F.broadcast(extra.limit(1)), how="left")
+        sizes = sizes.join(extra, by, "left") if by else _literals(sizes, extra)
+    hist = upto.join(sizes, by) if by else _literals(upto, sizes)
     wanted = F.explode(
         F.array(*[F.struct(F.lit(k).alias("label"), c.cast("bigint").alias("take")) for k, c in takes.items()])
     )
     cuts = (
         hist.select("*", wanted.alias("_t"))
-        .withColumn("_need", F.least("_t.take", "n") - F.col("_above"))
+        .withColumn("_need", F.least("_t.take", "n") - (F.col("_upto") - F.col("_c")))
         .where((F.col("_need") > 0) & (F.col("_need") <= F.col("_c")))
         .select(*by, F.col("_t.label").alias("label"), "_s", "_need", (F.col("_need") == F.col("_c")).alias("_all"))
     )
-    if not by:
-        cuts = F.broadcast(cuts)  # one row per label
+    # One row per group and label, stored so that the joins below know how small it is.
+    cuts = store(cuts, "cuts")
     split = cuts.where(~F.col("_all")).drop("_all")
-    ties = df.select(*by, F.col(score).alias("_s"), F.col(tie).cast("string").alias("_tie")).join(
-        split if by else F.broadcast(split), [*by, "_s"]
+    if split.isEmpty():
+        exact = cuts.select(*by, "label", F.lit(None).cast("string").alias("_tie")).limit(0)
+    else:
+        exact = _tie_cuts(df, split, score, tie, by)
+    full = cuts.join(exact, [*by, "label"], "left")
+    one = full.groupBy(*by).agg(
+        *[
+            F.max(F.when(F.col("label") == k, F.struct(F.col("_s").alias("score"), F.col("_tie").alias("tie")))).alias(
+                k
+            )
+            for k in takes
+        ]
     )
+    return store(one, "cuts") if by else one
+
+
+def _tie_cuts(df: DataFrame, split: DataFrame, score: str, tie: str, by: Sequence[str]) -> DataFrame:
+    """(by, label, _tie): the `_need`-th smallest tie among the rows with the score of a cut."""
+    ties = df.select(*by, F.col(score).alias("_s"), F.col(tie).cast("string").alias("_tie")).join(split, [*by, "_s"])
     ties = ties.withColumn("_pre", F.substring("_tie", 1, 4))
     up = Window.partitionBy(*by, "label").orderBy("_pre").rowsBetween(Window.unboundedPreceding, -1)
     place = (
@@ -130,22 +146,29 @@ def top_cuts(
         .where((F.col("_rest") > 0) & (F.col("_rest") <= F.col("_c")))
         .select(*by, "label", "_pre", "_rest")
     )
+    if not by:
+        place = F.broadcast(place)  # one row per label
     inner = Window.partitionBy(*by, "label", "_pre").orderBy("_tie")
-    exact = (
-        ties.join(place if by else F.broadcast(place), [*by, "label", "_pre"])
+    return (
+        ties.join(place, [*by, "label", "_pre"])
         .withColumn("_rn", F.row_number().over(inner))
         .where(F.col("_rn") == F.col("_rest"))
         .select(*by, "label", "_tie")
     )
-    full = cuts.join(exact, [*by, "label"], "left")
-    return full.groupBy(*by).agg(
-        *[
-            F.max(F.when(F.col("label") == k, F.struct(F.col("_s").alias("score"), F.col("_tie").alias("tie")))).alias(
-                k
-            )
-            for k in takes
-        ]
-    )
+
+
+def _literals(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a single row as constants; no join."""
+    row = one_row.first()
+    new = {}
+    for f in one_row.schema.fields:
+        value = row[f.name] if row is not None else None
+        if value is not None and hasattr(value, "asDict"):
+            parts = [F.lit(value[g.name]).cast(g.dataType).alias(g.name) for g in f.dataType.fields]
+            new[f.name] = F.struct(*parts)
+        else:
+            new[f.name] = F.lit(value).cast(f.dataType)
+    return df.withColumns(new)
 
 
 def is_within(cut: Column, score: str = "total", tie: str = "image_id") -> Column:
@@ -155,8 +178,8 @@ def is_within(cut: Column, score: str = "total", tie: str = "image_id") -> Colum
 
 
 def with_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach the cuts of its group to each row; without groups the cuts are one row."""
-    return df.join(cuts, list(by), "left") if by else df.join(F.broadcast(cuts), how="left")
+    """Attach the cuts of its group to each row; without groups they are constants."""
+    return df.join(cuts, list(by), "left") if by else _literals(df, cuts)
 
 
 def top_rows(df, take: Column, score="total", tie="image_id", by=(), extra=None) -> DataFrame:

@@ -160,3 +160,10 @@ def test_names_equal_copying_one_by_one(spark, split):
     out = {r.path: r.out_name for r in got.collect()}
     assert out == copy_one_by_one(files, existing)
     assert len(set(out.values()) | set(existing)) == len(files) + len(existing)
+
+
+def test_profiles_and_history(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"id": "1", "name": "n", "genre": "event", "weights": dict.fromkeys(K.DIMENSIONS, 10)}) + "\n")
+    (tmp_path / "h.json").write_text(json.dumps({"sessionId": "s", "imageCount": 3, "topScore": 91.5}) + "\n")
+    assert S.read_profiles(spark, str(tmp_path / "p.json")).first().weights.quality == 10
+    assert S.read_history(spark, str(tmp_path / "h.json")).first().topScore == 91.5

@@ -120,3 +120,19 @@ def test_threshold_zero_missing_and_empty(spark):
 def test_threshold_range(spark):
     with pytest.raises(ValueError):
         similar_pairs(spark.createDataFrame([(1,)], "fp long"), 21)
+
+
+def test_fingerprint_may_be_a_function(spark):
+    from pyspark.sql import functions as F
+
+    rows = assets(spark, ["00" * 8, "00" * 8, "ff" * 8])
+    got = group_duplicates(rows.drop("fp"), 3, lambda df: F.crc32(F.encode("hex", "utf-8")))
+    assert got.where("is_representative").count() == 2
+
+
+def test_simhash_of_texts(spark):
+    from keepsift.functions.fingerprints import simhash
+
+    df = spark.createDataFrame([(1, "Red fox, red dog"), (2, "red FOX red dog"), (3, " .. "), (4, None)], "id long, text string")
+    got = {r.id: r.fp for r in simhash(df, "id", "text").collect()}
+    assert got[1] == got[2] is not None and got[3] is None and got[4] is None

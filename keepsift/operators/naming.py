@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepsift.functions import paths as P
 from keepsift.operators.ranking import running
 from keepsift.operators.tiers import keepers
+from keepsift.session import store
 
 
 def _numbered(names: DataFrame) -> DataFrame:
@@ -37,7 +38,8 @@ def dedupe_filenames(files: DataFrame, existing: DataFrame | None = None, **opti
     here = existing.select("filename").distinct() if existing is not None else spark.createDataFrame([], "filename string")
     first = files.groupBy("filename").agg(F.min("path").alias("path"))
     kept = first.join(here, "filename", "left_anti").select("path", F.lit(True).alias("_keeps"))
-    marked = files.withColumns(parts).join(kept, "path", "left")
+    # Stored, as the steps below read it several times.
+    marked = store(files.withColumns(parts).join(kept, "path", "left"), "names")
     keeps = marked.where(F.col("_keeps")).select(*files.columns, F.col("filename").alias("out_name"))
     rest = marked.where(F.col("_keeps").isNull()).drop("_keeps")
 

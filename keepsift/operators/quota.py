@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsift import constants as K
-from keepsift.operators.ranking import running
+from keepsift.operators.ranking import SPLIT_ROWS, groups_fit, running
+from keepsift.session import store
 
 UNLIMITED = 2**53 - 1
 TOLERANCE_US = K.CLOCK_TOLERANCE_SECONDS * 1_000_000
@@ -37,7 +38,9 @@ def quota_fold(events: DataFrame, **options) -> DataFrame:
         F.lit(UNLIMITED).cast("bigint").alias("remaining"),
         F.lit(None).cast("string").alias("error"),
     )
-    limited = events.where(F.col("quota").isNotNull()).withColumn("_small", F.col("n") <= F.col("quota"))
+    limited = store(events.where(F.col("quota").isNotNull()).withColumn("_small", F.col("n") <= F.col("quota")), "usage")
+    if "parts" not in options and groups_fit(limited, ["user_id"], options.get("split_rows", SPLIT_ROWS)):
+        options = {**options, "fits": True}  # so do all groups within a user
 
     # Month of the small event before: number the small events and look one number back.
     small = running(limited.where("_small"), [F.col("seq")], ["user_id"], number="_no", **options)
@@ -47,6 +50,7 @@ def quota_fold(events: DataFrame, **options) -> DataFrame:
     )
     flagged = limited.join(starts, ["user_id", "seq"], "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
     # Run number, and the month its first event set (first by seq, so the newest start wins).
+    # Stored, as the steps below read it several times.
     seg = running(
         flagged,
         [F.col("seq")],
@@ -56,6 +60,7 @@ def quota_fold(events: DataFrame, **options) -> DataFrame:
         number=None,
         **options,
     ).withColumn("_same", F.coalesce(F.col("_open.month_key") == F.col("month_key"), F.lit(False)))
+    seg = store(seg.drop("_open", "_start"), "runs")
 
     inside = running(
         seg.where("_small"), [F.col("seq")], ["user_id", "_run"], maxima={"_high": F.col("ts_us")}, number=None, **options

@@ -22,17 +22,19 @@ def running(
     number: str | None = "row_no",
     split_rows: int = SPLIT_ROWS,
     parts: int | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Add row number (from 1), running sums and running maxima, current row included.
 
     `order` must be a total order within a group. While every group of `by` (or, without `by`,
     the whole input) fits `split_rows` this is one window; a count checks that first. Otherwise
     rows are range-partitioned on (by, order), so a hot group spreads over many tasks; each piece
-    gets its local values and the carry from the pieces before it. `parts` forces that many pieces. At most one group runs across a partition border, so
+    gets its local values and the carry from the pieces before it. `parts` forces that many pieces; `fits=True` says that the
+    sizes are known to fit. At most one group runs across a partition border, so
     the carries number no more than the partitions and are safe to broadcast.
     """
     by, sums, maxima = list(by), dict(sums or {}), dict(maxima or {})
-    if not parts and _largest_group(df, by) <= split_rows:
+    if fits or (not parts and groups_fit(df, by, split_rows)):
         return _local(df, by, order, sums, maxima, number)
 
     keys = [F.col(c) for c in by] + list(order)
@@ -62,10 +64,11 @@ def running(
     return out.withColumns(new).select(*df.columns, *new)
 
 
-def _largest_group(df: DataFrame, by: Sequence[str]) -> int:
+def groups_fit(df: DataFrame, by: Sequence[str], split_rows: int = SPLIT_ROWS) -> bool:
+    """Whether no group of `by` (or the input, without `by`) has more than `split_rows` rows."""
     if not by:
-        return df.count()
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        return df.count() <= split_rows
+    return (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= split_rows
 
 
 def _local(df, group, order, sums, maxima, number) -> DataFrame:

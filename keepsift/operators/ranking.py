@@ -29,9 +29,9 @@ def running(
     `order` must be a total order within a group. While every group of `by` (or, without `by`,
     the whole input) fits `split_rows` this is one window; a count checks that first. Otherwise
     rows are range-partitioned on (by, order), so a hot group spreads over many tasks; each piece
-    gets its local values and the carry from the pieces before it. `parts` forces that many pieces; `fits=True` says that the
-    sizes are known to fit. At most one group runs across a partition border, so
-    the carries number no more than the partitions and are safe to broadcast.
+    gets its local values and the carry from the pieces before it. At most one group runs across
+    a partition border, so the carries number no more than the partitions and are safe to
+    broadcast. `parts` forces that many pieces; `fits=True` says that the sizes are known to fit.
     """
     by, sums, maxima = list(by), dict(sums or {}), dict(maxima or {})
     if fits or (not parts and groups_fit(df, by, split_rows)):
@@ -98,17 +98,24 @@ def top_cuts(
     score. Use it with `with_cuts` and `is_within`.
 
     Rows are only counted: per score, and, where a cut falls between equal scores, those rows
-    again by prefix of the tie. The rows themselves are not shuffled. The tie should be spread
-    evenly over its first characters, as asset ids (SHA-256) are.
+    again by prefix of the tie. The rows themselves are not shuffled; only those with the score
+    and the prefix of a cut are, a small part where ids are spread evenly, as SHA-256 ids are.
     """
     by = list(by)
     counted = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
     hist = store(counted, "counts")
+    if by:
+        sizes = hist.groupBy(*by).agg(F.sum("_c").alias("n"))
+        sizes = sizes.join(extra, by, "left") if extra is not None else sizes
+    else:
+        scores, n = hist.agg(F.count(F.lit(1)), F.coalesce(F.sum("_c"), F.lit(0))).first()
+        options = {"fits": scores <= SPLIT_ROWS, **options}
     upto = running(hist, [F.desc("_s")], by, sums={"_upto": F.col("_c")}, number=None, **options)
-    sizes = hist.groupBy(*by).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
-    if extra is not None:
-        sizes = sizes.join(extra, by, "left") if by else _literals(sizes, extra)
-    hist = upto.join(sizes, by) if by else _literals(upto, sizes)
+    if by:
+        hist = upto.join(sizes, by)
+    else:
+        hist = upto.withColumn("n", F.lit(n).cast("bigint"))
+        hist = _literals(hist, extra) if extra is not None else hist
     wanted = F.explode(
         F.array(*[F.struct(F.lit(k).alias("label"), c.cast("bigint").alias("take")) for k, c in takes.items()])
     )
@@ -147,17 +154,15 @@ def _tie_cuts(df: DataFrame, split: DataFrame, score: str, tie: str, by: Sequenc
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_rest", F.col("_need") - F.coalesce(F.sum("_c").over(up), F.lit(0)))
         .where((F.col("_rest") > 0) & (F.col("_rest") <= F.col("_c")))
-        .select(*by, "label", "_pre", "_rest")
-    )
-    if not by:
-        place = F.broadcast(place)  # one row per label
-    inner = Window.partitionBy(*by, "label", "_pre").orderBy("_tie")
-    return (
-        ties.join(place, [*by, "label", "_pre"])
-        .withColumn("_rn", F.row_number().over(inner))
-        .where(F.col("_rn") == F.col("_rest"))
-        .select(*by, "label", "_tie")
+        .select(*by, "label", "_pre", "_rest", "_c")
     )
+    # One row per cut. Its count tells whether one task may sort the rows of a prefix; ids that
+    # are not spread over their first characters can make it large.
+    place = store(place, "prefixes")
+    fits = (place.agg(F.max("_c")).first()[0] or 0) <= SPLIT_ROWS
+    inner = ties.drop("_need").join(place.drop("_c"), [*by, "label", "_pre"])
+    numbered = running(inner, [F.col("_tie")], [*by, "label", "_pre"], number="_rn", split_rows=SPLIT_ROWS, fits=fits or None)
+    return numbered.where(F.col("_rn") == F.col("_rest")).select(*by, "label", "_tie")
 
 
 def _literals(df: DataFrame, one_row: DataFrame) -> DataFrame:

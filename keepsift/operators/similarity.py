@@ -15,8 +15,9 @@ from keepsift.operators.components import connected_components
 from keepsift.session import store
 
 MAX_THRESHOLD = 20
-# Rows of one probe key beyond which the key is split by further bands.
-SPLIT_KEY_ROWS = 200_000
+# Rows of one probe key beyond which the key is split by further slices, and comparisons per key.
+SPLIT_KEY_ROWS = 30_000
+SPLIT_KEY_WORK = SPLIT_KEY_ROWS**2
 
 
 def distinct_fingerprints(df: DataFrame, fp: str = "fp", by: Sequence[str] = ()) -> DataFrame:
@@ -80,7 +81,7 @@ def fingerprint_clusters(
     fp: str = "fp",
     by: Sequence[str] = (),
     bands: int = 4,
-    split_work: int = SPLIT_KEY_ROWS**2,
+    split_work: int = SPLIT_KEY_WORK,
 ) -> DataFrame:
     """(node, root) for every distinct fingerprint: root is the smallest node of its transitive group.
 

@@ -32,7 +32,7 @@ def list_files(spark: SparkSession, root: str, recursive: bool = True, tasks: in
     found = []
     while True:
         dirs = level.where("is_dir").select("path")
-        spread = dirs.repartition(tasks) if tasks else dirs
+        spread = dirs.repartition(tasks or spark.sparkContext.defaultParallelism, "path")
         level = store(spread.mapInPandas(_list_dirs, LISTING), "listing")
         found.append(level.where("NOT is_dir"))
         deeper = level.where("is_dir")

@@ -45,6 +45,16 @@ def test_top_rows_equal_sorting(spark, rows, k):
     assert got == set(ordered.groupby("folder").head(k)["image_id"])
 
 
+def test_cut_inside_many_equal_scores_and_prefixes(spark, monkeypatch):
+    from keepsift.operators import ranking
+
+    # Ids that share their prefix, and more equal scores than one task may sort.
+    monkeypatch.setattr(ranking, "SPLIT_ROWS", 50)
+    df = spark.range(600).select(F.format_string("same%05d", (F.col("id") * 7) % 600).alias("image_id"), F.lit(5.0).alias("total"))
+    got = sorted(r.image_id for r in top_rows(df, F.lit(333)).collect())
+    assert got == [f"same{i:05d}" for i in range(333)]
+
+
 @PROPERTY
 @given(ROWS)
 def test_tiers_partition_the_pool(spark, rows):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsift.llm import exact_dedup, secrets, sharding, topk
+from keepsift.llm import exact_dedup, secrets, sharding, substring_dedup, suffix_dedup, topk
 from keepsift.llm.sql import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,16 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("spans")
+
+
+@query
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 @query
 def op8_sharding(spark, sf_dir):
     placed = sharding.interleaved_shards(documents(spark, sf_dir))

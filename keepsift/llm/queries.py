@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsift.llm import exact_dedup, secrets, sharding, substring_dedup, suffix_dedup, topk
+import public_tokenizers
+
+from keepsift.llm import bpe, exact_dedup, jaccard_join, packing, quality, secrets, sharding, substring_dedup, suffix_dedup, topk
 from keepsift.llm.sql import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,19 +24,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("spans")
+
+
+@query
+def op2_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.bpe_encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.bpe_decode(encoded, path))
+
+
+@query
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_groups(documents(spark, sf_dir)).drop("class_id")
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 @query
-def op1_substring_dedup(spark, sf_dir):
-    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("spans")
+def op5_quality_classifier(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    graded = labels.select("doc_id", quality.grade_of(labels["quality"], labels["toxic"]).alias("grade"))
+    return quality.grade_documents(docs, quality.fit(docs, graded))
 
 
 @query
 def op6_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("spans")
+
+
+@query
+def op7_best_fit_packing(spark, sf_dir):
+    # The rank file has the vocabulary of byte_bpe_50k.json; the tests compare the ids.
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.best_fit_packing(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
 @query

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from keepsift.llm.secrets import BASE, MORE
-from keepsift.llm.sharding import ROW_BYTES, SHARDS
+from keepsift.llm.substring_dedup import WINDOW
+from keepsift.llm.suffix_dedup import PASSAGE
 
 ORACLE: dict[str, str] = {}
 
@@ -16,6 +17,41 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g ON d.norm = g.norm
 """
 
+WORDS = "w AS (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)"
+
+
+def _repeats(k: int) -> str:
+    """Words left when those in windows of k words that occur more than once are gone."""
+    return f"""
+WITH {WORDS.format(text="coalesce(text, '')")},
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM w WHERE len(w) >= {k}),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM i),
+r AS (SELECT doc_id, i FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {k})) AS i FROM r),
+e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT e.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS kept FROM e ANTI JOIN c USING (doc_id, i) GROUP BY e.doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
+ORACLE["op1_substring_dedup"] = _repeats(WINDOW)
+ORACLE["op6_suffix_dedup"] = _repeats(PASSAGE)
+
+ORACLE["op3_jaccard_join"] = f"""
+WITH RECURSIVE {WORDS.format(text=FOLDED)},
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a),
+c AS (SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+  FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id))
+SELECT doc_id, n_shingles, component_id FROM c
+"""
+
 _KINDS = [*BASE, *MORE]
 
 

@@ -39,9 +39,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of several texts that lie one after another in `data`, text i between offsets i and i + 1."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = _IN_WORD):
         self.data = data
-        inside = _IN_WORD[data]
+        inside = in_word[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]

@@ -67,3 +67,15 @@ def exact_dedup(
     apart = met.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     met = met.join(apart, ["digest", "norm"]).withColumn("text_sha256", sha256(F.col("norm")))
     return out.unionByName(met.select(*columns))
+
+
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that stay, all columns as they are; of rows that repeat id and text one stays."""
+    kept = store(exact_dedup(df, id_col, text_col).where("kept").select("doc_id", "text_sha256"), "kept")
+    marked = df.withColumn("_id", integral(df, id_col)).withColumn("_sha", sha256(lower_ascii(df[text_col])))
+    repeated = kept.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        marked = marked.dropDuplicates(["_id", "_sha"])
+        kept = kept.distinct()
+    wanted = marked["_id"].eqNullSafe(kept["doc_id"]) & (marked["_sha"] == kept["text_sha256"])
+    return marked.join(kept, wanted, "left_semi").select(*df.columns)

@@ -172,27 +172,39 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
     return fit_ordinal(row, lists.flatten().to_numpy(zero_copy_only=False), grade, grades)
 
 
-def grade_documents(df: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per input row: doc_id, expected_grade, tail_1 ... tail_<top>, keep, and the columns in `carry`.
+def grade_documents(df: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, expected_grade, tail_1 and so on, keep.
 
     tail_j is the chance of grade j or more; a document is kept if the highest tail is at least `least`.
 
-    Defined cases: a NULL text is empty; a model without training rows, or with one grade only, grades nothing:
-    expected grade and tails are NULL and all rows are kept. NULL ids and repeated rows stay rows of their own.
+    Defined cases: a NULL text is empty and graded as such. A model without training rows, or with one grade only,
+    grades nothing: expected_grade is NULL and all rows are kept. NULL ids and repeated rows stay rows of their own;
+    an empty table gives no rows; other columns are ignored.
     """
     top = len(model.thresholds)
-    carried = [df[c] for c in carry or []]
+    rows = df.select(integral(df, id_col).alias("doc_id"), df[text_col].cast("string").alias("text"))
+    if not top:
+        return rows.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(True).alias("keep"))
+    names = ["doc_id", "expected_grade", *[f"tail_{t + 1}" for t in range(top)], "keep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in chunks(b.column(1)):
-                part = [b.column(c).slice(i, j - i) for c in range(b.num_columns)]
                 tails = model.tails(model.scores(data, offsets))
-                yield pa.RecordBatch.from_arrays([part[0], pa.array(tails.sum(1)), *[pa.array(tails[:, t]) for t in range(top)], pa.array(tails[:, -1] >= least), *part[2:]], names)
+                columns = [pa.array(tails.sum(1)), *[pa.array(tails[:, t]) for t in range(top)], pa.array(tails[:, -1] >= least)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *columns], names)
 
-    names = ["doc_id", "expected_grade", *[f"tail_{t + 1}" for t in range(top)], "keep", *(carry or [])]
-    rows = df.select(integral(df, id_col).alias("_id"), df[text_col].cast("string").alias("_text"), *[c.alias(f"_c{i}") for i, c in enumerate(carried)])
-    if not top:
-        return rows.select(F.col("_id").alias("doc_id"), F.lit(None).cast("double").alias("expected_grade"), F.lit(True).alias("keep"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])
-    kinds = ["long", "double", *["double"] * top, "boolean", *[df.schema[c].dataType.simpleString() for c in carry or []]]
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, ["long", *["double"] * (top + 1), "boolean"], strict=True)))
+
+
+def good_documents(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The input rows that `grade_documents` keeps, all columns as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in chunks(b.column(at)):
+                tails = model.tails(model.scores(data, offsets))
+                yield b.slice(i, j - i).filter(pa.array(tails[:, -1] >= least))
+
+    return df.mapInArrow(run, df.schema) if len(model.thresholds) else df

@@ -15,6 +15,7 @@ from keepsift.session import store
 
 #: Strings that one stretch of a pattern may stand for before it counts as unknown text.
 MOST_STRINGS = 64
+_SPANS = "array<struct<start:int,place:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -156,7 +157,7 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
             F.char_length(b).alias("gap"), F.char_length(m["whole"]).alias("long"), F.char_length(m["tested"]).alias("tested")
         ),
     )
-    none = F.array().cast("array<struct<start:int,place:int,end:int>>")
+    none = F.array().cast(_SPANS)
 
     def add(acc, x):
         start = acc["at"] + x["gap"]
@@ -186,6 +187,24 @@ def _quick(rule: Rule) -> Rule:
     return rule
 
 
+def _spotted(df: DataFrame, rules: Sequence[Rule], id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text, _<kind> ...): the input row, and per rule its spans."""
+    scanning = {r.kind for r in rules if not trigram_query(r.pattern)}
+    rows = df.select(F.struct(*df.columns).alias("row"), integral(df, id_col).alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    found = candidates(df, rules, id_col, text_col)
+    if found is None:
+        rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
+    else:
+        found = store(found, "candidates")
+        rows = rows.join(found, same(rows, found, "doc_id"), "left").select("row", rows["doc_id"], "text", "kinds")
+    for i, rule in enumerate(rules):
+        spans = _spans(F.col("text"), _quick(rule), i)
+        if rule.kind not in scanning:
+            spans = F.when(F.array_contains("kinds", rule.kind), spans).otherwise(F.array().cast(_SPANS))
+        rows = rows.withColumn(f"_{rule.kind}", spans)
+    return rows.drop("kinds")
+
+
 def scan_secrets(
     df: DataFrame, base: Sequence[Rule] = BASE, more: Sequence[Rule] = MORE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -199,22 +218,8 @@ def scan_secrets(
     id share candidates, but each row's own text decides. Empty tables give no rows; other columns are ignored.
     """
     rules = [*base, *more]
-    rows = df.select(integral(df, id_col).alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    scanning = {r.kind for r in rules if not trigram_query(r.pattern)}
-    found = candidates(df, rules, id_col, text_col)
-    if found is None:
-        rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
-    else:
-        found = store(found, "candidates")
-        rows = rows.join(found, same(rows, found, "doc_id"), "left").select(rows["doc_id"], "text", "kinds")
-    none = F.array().cast("array<struct<start:int,place:int,end:int>>")
-    for i, rule in enumerate(rules):
-        spans = _spans(F.col("text"), _quick(rule), i)
-        rows = rows.withColumn(
-            f"_{rule.kind}", spans if rule.kind in scanning else F.when(F.array_contains("kinds", rule.kind), spans).otherwise(none)
-        )
     kinds = [r.kind for r in rules]
-    rows = rows.select(
+    rows = _spotted(df.select(id_col, text_col), rules, id_col, text_col).select(
         "doc_id",
         *[F.size(f"_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in base],
         F.array_sort(F.concat(*[F.col(f"_{r.kind}") for r in base])).alias("_base"),
@@ -230,3 +235,27 @@ def scan_secrets(
             "_all", lambda s: F.struct(F.element_at(names, s["place"] + 1).alias("kind"), s["start"], s["end"])
         ).alias("found"),
     )
+
+
+def redact_secrets(
+    df: DataFrame, rules: Sequence[Rule] = (*BASE, *MORE), mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The input rows with `mask` in the text for every stretch that spans of any rule cover; other columns as they are.
+
+    Texts without spans stay as they are, NULL included. Spans that overlap are one stretch.
+    """
+    rows = _spotted(df, rules, id_col, text_col)
+    spans = F.array_sort(F.concat(*[F.col(f"_{r.kind}") for r in rules]))
+
+    def hide(acc, s):
+        after = s["start"] >= acc["at"]
+        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        out = F.when(after, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    shown = F.aggregate(
+        spans, begin, hide, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
+    )
+    text = F.when(F.size(spans) > 0, shown).otherwise(F.col(f"row.`{text_col}`"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])

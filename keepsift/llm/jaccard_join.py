@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from keepsift.llm.common import integral
 from keepsift.llm.words import Words, chunks, mixed, ngrams, powers
@@ -22,8 +23,12 @@ NUMERATOR, DENOMINATOR = 3, 4
 MOST_MATCHES = 4
 #: What a candidate costs to verify, in postings read.
 VERIFY_COST = 20
-#: A token is common if a part of the corpus holds it in this share of its texts, and all parts together as well.
-COMMON_SHARE = 0.0005
+#: Common tokens that are known to every task, the most frequent ones: a bound on what is sent out (16 bytes each).
+MOST_COMMON = 1 << 18
+#: Texts of one task that have to hold a token before it is reported, and of all before it counts as common.
+SEEN_BY_TASK, LEAST_COMMON = 2, 4
+#: Members of a component that stand for it before a document that shares a minimum with it.
+DELEGATES = 4
 #: Tokens that a task counts at once when it looks for common ones.
 COUNTED = 4_000_000
 #: Hashes that choose the first partner of a document.
@@ -79,18 +84,18 @@ def linked(overlap: int, n_a: int, n_b: int) -> bool:
     return DENOMINATOR * overlap >= NUMERATOR * (n_a + n_b - overlap)
 
 
-def _profiles(size: int, share: float):
+def _profiles(size: int):
     """Per text: size, digest of the set, minima and bit map; and the tokens common in what a task has counted."""
     names = ["kind", "id", "n", "digest", "minima", "bits"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        texts, seen = 0, set()
+        seen = set()
 
         def common():
             token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n >= max(3, share * texts)
+            often = n >= SEEN_BY_TASK
             k = int(often.sum())
             none = [None] * k
             data = [[1] * k, token[often].view(np.int64), n[often], none, none, none]
@@ -117,10 +122,9 @@ def _profiles(size: int, share: float):
                 arrays = [pa.array([0] * len(n), pa.int32()), b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *[pa.array(x, t) for x, t in zip((digests, minima, bits), kinds[3:], strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, names)
                 held += fresh
-                texts += len(fresh)
                 if sum(map(len, held)) >= COUNTED:
                     yield common()
-                    held, texts, seen = [], 0, set()
+                    held, seen = [], set()
         yield common()
 
     return run, "kind int, id long, n long, digest binary, minima array<long>, bits binary"
@@ -233,15 +237,35 @@ def _links(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, size: int) -> D
     return store(met.mapInArrow(*_verify(size)), "links")
 
 
-def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", common_share: float = COMMON_SHARE) -> DataFrame:
+def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, group): the component of every class by the links so far."""
+    joined = connected_components(links).withColumnRenamed("node", "id")
+    return classes.select("id").distinct().join(joined, "id", "left").select("id", F.coalesce("root", "id").alias("group"))
+
+
+def _strays(keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): documents outside the largest component that shares a minimum with them, and delegates of that component."""
+    placed = store(keys.join(groups, "id"), "minima")
+    sizes = placed.groupBy("seed", "minimum", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("seed", "minimum").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.count(F.lit(1)).alias("groups"))
+    placed = placed.join(largest.where("groups > 1"), ["seed", "minimum"])
+    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"] for i in range(DELEGATES)]
+    delegates = placed.where("group = largest").groupBy("seed", "minimum").agg(F.array_distinct(F.array(*chosen)).alias("delegates"))
+    met = placed.where("group <> largest").join(delegates, ["seed", "minimum"])
+    return met.select(F.explode("delegates").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", most_common: int = MOST_COMMON) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id (smallest id with the same set), component_id.
 
     Two documents link when the Jaccard similarity of their sets of word shingles is 3/4 or more; a component is what
     links reach. Equal sets are one class. Three steps find all links that matter:
 
-    1. Every class is paired with the smallest id that shares one of six minima; the pairs that link join dense
-       groups of near copies without listing their pairs.
-    2. Prefixes: tokens are ordered rare first (common tokens are found by counting all texts). A document's prefix is
+    1. Every class is paired with the smallest id that shares one of six minima; what does not link with the largest
+       component around it is paired with four more of its members. The pairs that link join dense groups of near
+       copies without listing their pairs.
+    2. Prefixes: tokens are ordered rare first; tasks count the tokens of all texts, and the most frequent ones, a
+       bounded number, are known to all. The order is the same for all and any order is right. A prefix is
        lengthened to that number of matches, up to four, for which reading its postings and verifying the candidates
        is estimated to cost least; a candidate must share as many prefix tokens. Only documents of different
        components of step 1 meet, and a token's largest component meets the others but not itself.
@@ -252,7 +276,7 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     give no rows; other columns are ignored. Tokens are 64-bit hashes of shingles.
     """
     rows = df.select(integral(df, id_col).alias("id"), df[text_col].cast("string").alias("text"))
-    profiled = store(rows.mapInArrow(*_profiles(size, common_share)), "profiles")
+    profiled = store(rows.mapInArrow(*_profiles(size)), "profiles")
     documents = profiled.where("kind = 0")
     classes = store(
         documents.where("n > 0 AND id IS NOT NULL")
@@ -261,24 +285,29 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
         "classes",
     )
     texts = rows.where("id IS NOT NULL")
-    n_classes = classes.count()
 
     # Step 1.
     keys = classes.select("id", F.posexplode("minima").alias("seed", "minimum"))
     centres = keys.groupBy("seed", "minimum").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("met")).where("met > 1")
     stars = keys.join(centres, ["seed", "minimum"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     star_links = _links(texts, classes, stars, size)
-    joined = connected_components(star_links)
-
-    # Step 2. At most (tokens of a text) / common_share tokens reach that share of all texts.
-    counted = profiled.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, common_share * n_classes))
-    table = counted.toArrow()
+    strays = _strays(keys, _grouped(classes, star_links))
+    star_links = star_links.unionByName(_links(texts, classes, strays, size))
+    of_class = store(_grouped(classes, star_links), "groups")
+
+    # Step 2.
+    counted = profiled.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COMMON)
+    counted = store(counted, "common")
+    above = F.sum("tokens").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    # One row for each number of texts.
+    cut = counted.groupBy("n").agg(F.count(F.lit(1)).alias("tokens")).withColumn("above", above).where(F.col("above") <= most_common)
+    least = cut.agg(F.min("n")).first()[0]
+    table = counted.where(F.col("n") >= (2**62 if least is None else least)).select("id", "n").toArrow()
     common, times = table["id"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(common)
     postings = texts.mapInArrow(*_postings(size, common[order], times[order]))
     met = postings.repartition("token").sortWithinPartitions("token").mapInArrow(_met, postings.schema)
-    of_class = classes.select("id").distinct().join(joined.withColumnRenamed("node", "id"), "id", "left")
-    met = store(met.join(of_class.select("id", F.coalesce("root", "id").alias("group")), "id").distinct(), "postings")
+    met = store(met.join(of_class, "id").distinct(), "postings")
     held = met.groupBy("token", "group").agg(F.count(F.lit(1)).alias("rows"))
     largest = held.groupBy("token").agg(F.max_by("group", F.struct("rows", "group")).alias("largest"), F.count(F.lit(1)).alias("groups"))
     tokens = store(met.join(largest.where("groups > 1").drop("groups"), "token"), "tokens")

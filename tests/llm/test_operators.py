@@ -196,11 +196,11 @@ def random_documents(seed, n=150):
     return [*rows, (5000, None), (5001, ""), (5002, "Few words"), (5003, "few WORDS"), (5004, rows[0][1].upper()), (rows[3][0], rows[3][1])]
 
 
-@pytest.mark.parametrize("share", [jaccard_join.COMMON_SHARE, 0.05])
+@pytest.mark.parametrize("most_common", [jaccard_join.MOST_COMMON, 10])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_jaccard(spark, seed, share):
+def test_jaccard(spark, seed, most_common):
     rows = random_documents(seed)
-    got = jaccard_join.jaccard_groups(table(spark, rows), common_share=share)
+    got = jaccard_join.jaccard_groups(table(spark, rows), most_common=most_common)
     assert result(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows), key=repr)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsift.llm import bpe
-from keepsift.llm.common import integral
+from keepsift.llm.common import integral, small_batches
 from keepsift.session import store
 
 LENGTH, END_ID = 1024, 2
@@ -37,7 +37,7 @@ def _plain_ids(text: str, path: str, pattern: str) -> np.ndarray:
     try:
         return encoder(path, pattern).encode_to_numpy(text, disallowed_special=())
     except ValueError:  # its regular expressions give up on very long runs of white space
-        return np.array(bpe.ranks(path).encode([text], bpe.compiled(pattern))[0], np.uint32)
+        return bpe.ranks(path).encode([text], bpe.compiled(pattern))[0].astype(np.uint32)
 
 
 def token_ids(text: str, path: str, pattern: str, special: str = SPECIAL) -> np.ndarray:
@@ -100,6 +100,7 @@ def pieces(df: DataFrame, path: str, pattern: str, length: int, end_id: int, id_
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
+    small_batches(df)
     rows = df.select(integral(df, id_col).alias("doc_id"), df[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

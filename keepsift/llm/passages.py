@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsift.llm.common import integral, same
+from keepsift.llm.common import integral, same, small_batches
 from keepsift.llm.words import Words, chunks, ngrams, sliding_min
 from keepsift.session import store
 
@@ -222,6 +222,7 @@ def _windows(k: int):
 
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, mark, text): the mark is a hash of the text, so rows that share an id or have none stay apart."""
+    small_batches(df)
     text = F.coalesce(df[text_col], F.lit(""))
     return df.select(integral(df, id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 

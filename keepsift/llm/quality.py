@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsift.llm.common import integral
+from keepsift.llm.common import integral, small_batches
 from keepsift.llm.words import Words, chunks, mixed
 
 #: Labelled rows that a fit reads at most: those with the smallest hash of their id.
@@ -147,6 +147,7 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", grades: int = 3) -> Model:
     """Fit on at most `sample` labelled rows; `labels` has doc_id and grade. Of several grades of an id the lowest counts."""
+    small_batches(df)
     rated = labels.select(integral(labels, "doc_id").alias("doc_id"), labels["grade"].cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
     rated = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = df.select(integral(df, id_col).alias("doc_id"), df[text_col].alias("text"))
@@ -181,6 +182,7 @@ def grade_documents(df: DataFrame, model: Model, least: float = 0.5, id_col: str
     grades nothing: expected_grade is NULL and all rows are kept. NULL ids and repeated rows stay rows of their own;
     an empty table gives no rows; other columns are ignored.
     """
+    small_batches(df)
     top = len(model.thresholds)
     rows = df.select(integral(df, id_col).alias("doc_id"), df[text_col].cast("string").alias("text"))
     if not top:
@@ -199,6 +201,7 @@ def grade_documents(df: DataFrame, model: Model, least: float = 0.5, id_col: str
 
 def good_documents(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The input rows that `grade_documents` keeps, all columns as they are."""
+    small_batches(df)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

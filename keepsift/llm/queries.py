@@ -32,8 +32,7 @@ def op1_substring_dedup(spark, sf_dir):
 @query
 def op2_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.bpe_encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.bpe_decode(encoded, path))
+    return bpe.digests(bpe.bpe_round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN))
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from keepsift.llm.common import integral
+from keepsift.llm.common import integral, small_batches
 from keepsift.llm.words import Words, chunks, mixed, ngrams, powers
 from keepsift.operators.components import connected_components
 from keepsift.session import store
@@ -267,7 +267,8 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     2. Prefixes: tokens are ordered rare first; tasks count the tokens of all texts, and the most frequent ones, a
        bounded number, are known to all. The order is the same for all and any order is right. A prefix is
        lengthened to that number of matches, up to four, for which reading its postings and verifying the candidates
-       is estimated to cost least; a candidate must share as many prefix tokens. Only documents of different
+       is estimated to cost least; a candidate must share as many prefix tokens, and its places of the last shared
+       one must leave room for enough others. Only documents of different
        components of step 1 meet, and a token's largest component meets the others but not itself.
     3. Candidates are ruled out by bit maps where these prove too little overlap, and verified on whole sets.
 
@@ -275,6 +276,7 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     ids have component NULL and link with nothing. Rows that repeat an id are one document for links. Empty tables
     give no rows; other columns are ignored. Tokens are 64-bit hashes of shingles.
     """
+    small_batches(df)
     rows = df.select(integral(df, id_col).alias("id"), df[text_col].cast("string").alias("text"))
     profiled = store(rows.mapInArrow(*_profiles(size)), "profiles")
     documents = profiled.where("kind = 0")
@@ -324,11 +326,14 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     )
     probe = f"n_r - ceil({NUMERATOR} * n_r / {DENOMINATOR}) + need_r"
     index = f"n_s - ceil({2 * NUMERATOR} * n_s / {NUMERATOR + DENOMINATOR}) + need_r"
-    pairs = pairs.where(f"place_r < {probe} AND place_s < {index}").groupBy(F.col("id_s").alias("a"), F.col("id_r").alias("b")).agg(
-        F.count(F.lit(1)).alias("matches"), F.max("need_r").alias("need")
-    )
+    pairs = pairs.where(f"place_r < {probe} AND place_s < {index}").groupBy(
+        F.col("id_s").alias("a"), F.col("id_r").alias("b"), "n_s", "n_r"
+    ).agg(F.count(F.lit(1)).alias("matches"), F.max("need_r").alias("need"), F.max("place_s").alias("last_s"), F.max("place_r").alias("last_r"))
+    # All shared tokens up to the last match have been counted; after it there are at most as many as either has left.
+    enough = f"{NUMERATOR + DENOMINATOR} * (matches + least(n_s - last_s, n_r - last_r) - 1) >= {NUMERATOR} * (n_s + n_r)"
+    pairs = pairs.where(f"matches >= need AND {enough}").select("a", "b")
     # Step 3.
-    cross = _links(texts, classes, pairs.where("matches >= need").select("a", "b"), size)
+    cross = _links(texts, classes, pairs, size)
     components = connected_components(star_links.unionByName(cross)).withColumnRenamed("node", "class_id")
     class_of = classes.select(F.col("digest").alias("of"), F.col("id").alias("class_id"))
     out = documents.select("id", "n", "digest").join(class_of, (F.col("digest") == F.col("of")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")

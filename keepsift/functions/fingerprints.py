@@ -22,18 +22,24 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def hamming_hex(a: Column, b: Column) -> Column:
-    """Bits that differ between two hex texts of even length, up to 64 digits.
+    """Bits that differ between the first 64 digits of two hex texts.
 
-    The shorter text is padded with zero bytes on the right. Odd lengths give NULL.
+    The shorter text is padded with zero bytes on the right; a last single digit is a byte of its own.
     """
-    even = (F.length(a) % 2 == 0) & (F.length(b) % 2 == 0)
-    pad_a, pad_b = F.rpad(a, 64, "0"), F.rpad(b, 64, "0")
+
+    def padded(text: Column) -> Column:
+        t = F.substring(text, 1, 64)
+        n = F.length(t)
+        whole = F.concat(F.substring(t, F.lit(1), n - 1), F.lit("0"), F.substring(t, n, F.lit(1)))
+        return F.rpad(F.when(n % 2 == 1, whole).otherwise(t), 64, "0")
+
+    pad_a, pad_b = padded(a), padded(b)
     dist = F.lit(0)
     for start in range(1, 64, 16):
         dist = dist + hamming(
             from_hex(F.substring(pad_a, start, 16)), from_hex(F.substring(pad_b, start, 16))
         )
-    return F.when(even & (F.length(a) <= 64) & (F.length(b) <= 64), dist)
+    return dist
 
 
 def sign_bits(vector: Column, dims: int = 64) -> Column:

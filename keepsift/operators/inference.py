@@ -61,26 +61,37 @@ def ask(call: Callable[[dict], Answer], row: dict, sleep: Callable[[float], None
         sleep(pause)
 
 
+def once(call: Callable[[dict], Answer], row: dict, sleep: Callable[[float], None]) -> tuple[Answer, int, int]:
+    """One request without any retry."""
+    return call(row), 0, 0
+
+
 def batch_call(
-    requests: DataFrame, call: Callable[[dict], Answer], concurrency: int | None = None, sleep=time.sleep
+    requests: DataFrame,
+    call: Callable[[dict], Answer],
+    concurrency: int | None = None,
+    sleep=time.sleep,
+    policy=ask,
+    stops: tuple[int, ...] = (401,),
 ) -> DataFrame:
     """Add the answer columns to every request row. `concurrency` bounds the tasks that call out
     at once; rows are spread by their first column, so a repeated task sees the same rows. They
-    pass through batch by batch; after a 401 a task makes no further calls."""
+    pass through batch by batch; after a status in `stops` a task makes no further calls and its
+    other rows get that status."""
     spread = requests.repartition(concurrency, requests.columns[0]) if concurrency else requests
     schema = T.StructType(requests.schema.fields + ANSWER_FIELDS)
     names = [f.name for f in ANSWER_FIELDS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stopped = False
+        stopped = None
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
-                if stopped:
-                    out.append((401, "", 0, 0, 0, 0))
+                if stopped is not None:
+                    out.append((stopped, "", 0, 0, 0, 0))
                     continue
-                got, retries, waited = ask(call, row, sleep)
-                stopped = got.status == 401
+                got, retries, waited = policy(call, row, sleep)
+                stopped = got.status if got.status in stops else None
                 out.append((got.status, got.body, got.tokens_in, got.tokens_out, retries, waited))
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
@@ -89,9 +100,11 @@ def batch_call(
 
 def scores_from_answers(answers: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Score columns, total, reasoning and tokens from (image_id, status, body, ...). A failed
-    request or a bad answer becomes a zero row with the reason."""
-    parsed = X.parse_score_answers(answers)
+    request or a bad answer becomes a zero row with the reason. A refused key gives no row at all,
+    so the asset stays without a score and a resumed run asks for it again."""
     cls = X.http_error_class(F.col("status"))
+    parsed = X.parse_score_answers(answers.where((F.col("status") == 0) | (cls != "auth")))
+    # Stored values, fixed text.
     failure = (
         F.when(F.col("status") == 0, "Request timed out twice")
         .when(cls != "ok", F.concat(F.lit("HTTP "), F.col("status").cast("string")))
@@ -193,14 +206,14 @@ def name_scores(assets: DataFrame, filename: str = "filename") -> DataFrame:
     scored = assets.withColumns({d: name_score(F.col(filename), d) for d in K.DIMENSIONS})
     return scored.withColumn(
         "reasoning",
-        F.concat(F.lit("Scored based on image content of "), F.col(filename), F.lit(" using mock AI")),
+        F.concat(F.lit("File name class of "), F.col(filename)),
     )
 
 
 def name_keywords(filename: Column) -> Column:
     out = F.array(*map(F.lit, K.NAME_KEYWORDS_DEFAULT))
     for pattern, words in reversed(K.NAME_KEYWORDS):
-        out = F.when(F.lower(filename).rlike(pattern), F.array(*map(F.lit, words))).otherwise(out)
+        out = F.when(filename.rlike(pattern), F.array(*map(F.lit, words))).otherwise(out)
     return out
 
 
@@ -222,23 +235,20 @@ def batch_tag(
 ) -> DataFrame:
     """(image_id, keywords) for the best keepers.
 
-    A block that fails is retried file by file, except after an auth or rate-limit error, which
-    gives no result. Answers are stored first.
+    A block that fails is asked again file by file. After an auth or rate-limit error a task asks
+    no more and what there is so far counts. Nothing waits. Answers are stored first.
     """
-    def once(row):
-        got = call(row)
-        # Tagging never waits: a rate limit ends the block.
-        return Answer(400, "rate limited") if got.status == 429 else got
-
+    stops = (401, 429)
     requests = tag_requests(scores, percent)
-    first = store(batch_call(requests, once, concurrency, sleep), "tag-answers")
+    first = store(batch_call(requests, call, concurrency, sleep, once, stops), "tag-answers")
+    failed = (~F.col("status").isin(200, *stops)) | _unreadable(F.col("status"), F.col("body"))
     retry = (
-        first.where((F.col("status") == 0) | (F.col("status") >= 500) | _unreadable(F.col("status"), F.col("body")))
+        first.where(failed)
         .select("block_no", F.explode("items").alias("_i"))
         .select("block_no", F.array("_i").alias("items"))
         .withColumn("prompt", X.tagging_prompt(F.col("items.filename")))
     )
-    singles = store(batch_call(retry, once, concurrency, sleep), "tag-singles")
+    singles = store(batch_call(retry, call, concurrency, sleep, once, stops), "tag-singles")
     answers = first.unionByName(singles).where("status = 200")
     tags = answers.select(
         F.explode("items").alias("i"), X.parse_tag_answer(F.col("body"), F.col("items.filename")).alias("tags")

@@ -84,15 +84,22 @@ def top_score(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def face_rollup(assets: DataFrame, faces: DataFrame, limit: int = 0) -> DataFrame:
-    """Per asset: face count, eyes, blink, expression. Assets without faces get the defaults.
+    """Per asset: face count, eyes, blink, expression. Assets without faces get the defaults, and
+    so do those whose detection failed; `face_error` then tells why.
 
     Boxes stay in their own table (`face_boxes`): one asset's faces need not fit an array.
     """
+    error = F.col("error") if "error" in faces.columns else F.lit(None).cast("string")
+    faces = faces.withColumn("_error", error)
+    for c in ("left_open", "right_open", "emotion"):
+        faces = faces.withColumn(c, F.when(F.col("_error").isNull(), F.col(c)))
+    found = F.col("_error").isNull()
     per = faces.groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.bool_and(A.eyes_open(F.col("left_open"), F.col("right_open"))).alias("_open"),
-        F.bool_or(A.blinks(F.col("left_open"), F.col("right_open"))).alias("_blink"),
-        F.bool_and(A.is_neutral(F.col("emotion"))).alias("_neutral"),
+        F.count_if(found).alias("_n"),
+        F.max("_error").alias("_error"),
+        F.bool_and(F.when(found, A.eyes_open(F.col("left_open"), F.col("right_open")))).alias("_open"),
+        F.bool_or(F.when(found, A.blinks(F.col("left_open"), F.col("right_open")))).alias("_blink"),
+        F.bool_and(F.when(found, A.is_neutral(F.col("emotion")))).alias("_neutral"),
     )
     n = F.coalesce("_n", F.lit(0)).cast("bigint")
     return assets.join(per, "image_id", "left").select(
@@ -103,6 +110,7 @@ def face_rollup(assets: DataFrame, faces: DataFrame, limit: int = 0) -> DataFram
         F.coalesce("_blink", F.lit(False)).alias("blink_detected"),
         F.coalesce("_neutral", F.lit(True)).alias("expression_neutral"),
         ((n > limit) if limit > 0 else F.lit(False)).alias("exceeds_face_limit"),
+        F.col("_error").alias("face_error"),
     )
 
 

@@ -56,16 +56,15 @@ def delete_profiles(profiles: DataFrame, ids: DataFrame) -> DataFrame:
 
 def session_state(events: DataFrame) -> DataFrame:
     """Latest value per session and field of session_events(session_id, seq, field, value).
-    A session whose newest event clears it is left out."""
-    wide = events.groupBy("session_id").agg(
-        *[
-            F.max_by("value", F.when(F.col("field") == f, F.col("seq"))).alias(f)
-            for f in ("status", "context", "total_images", "scored_count")
-        ],
-        F.max(F.when(F.col("field") == "cleared", F.col("seq"))).alias("_cleared"),
-        F.max("seq").alias("_last"),
-    )
-    return wide.where(F.col("_cleared").isNull() | (F.col("_cleared") < F.col("_last"))).drop("_cleared", "_last")
+    Clearing a session removes all that came before; a session with nothing after it is left out."""
+    fields = ("status", "context", "total_images", "scored_count")
+    newest = [F.max(F.when(F.col("field") == f, F.struct("seq", "value"))).alias(f) for f in fields]
+    cleared = F.max(F.when(F.col("field") == "cleared", F.col("seq"))).alias("_cleared")
+    wide = events.groupBy("session_id").agg(*newest, cleared, F.max("seq").alias("_last"))
+    after = F.coalesce(F.col("_cleared"), F.lit(-(2**63)))
+    wide = wide.where(F.col("_last") > after)
+    # The newest value of a field counts if it came after the newest clearing.
+    return wide.select("session_id", *[F.when(F.col(f)["seq"] > after, F.col(f)["value"]).alias(f) for f in fields])
 
 
 def append_history(history: DataFrame, entry: DataFrame, keep: int) -> DataFrame:

@@ -75,6 +75,20 @@ def similar_pairs(
     return reduce(DataFrame.unionByName, found)
 
 
+def scope_texts(by: Sequence[str]) -> list[Column]:
+    """Scope values as texts that can be joined by "/" without mixing up scopes; NULL is a scope too."""
+    out = []
+    for c in by:
+        text = F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        out.append(F.coalesce(F.replace(text, F.lit("/"), F.lit("\\/")) if len(by) > 1 else text, F.lit("\\N")))
+    return out
+
+
+def node_text(by: Sequence[str], fp: Column) -> Column:
+    """The name of a fingerprint within its scope, as `fingerprint_clusters` gives it."""
+    return F.concat_ws("/", *scope_texts(by), to_hex(fp))
+
+
 def fingerprint_clusters(
     df: DataFrame,
     threshold: int = K.DEFAULT_DUPLICATE_THRESHOLD,
@@ -98,8 +112,8 @@ def fingerprint_clusters(
         raise ValueError(f"threshold must be within 0..{MAX_THRESHOLD}")
     by = list(by)
     plan = _Bands(threshold, bands)
-    scope = [F.col(c).cast("string") for c in by]
-    node = F.concat_ws("/", *scope, to_hex(F.col("fp")))
+    df = df.withColumns(dict(zip(by, scope_texts(by), strict=True))) if by else df
+    node = F.concat_ws("/", *by, to_hex(F.col("fp")))
     nodes = store(distinct_fingerprints(df, fp, by).select(*by, "fp", node.alias("node")), "fingerprints")
 
     stars = connected_components(plan.stars(nodes, by))

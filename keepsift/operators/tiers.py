@@ -22,21 +22,24 @@ def tier_sizes(n: Column) -> dict[str, Column]:
 def assign_tiers(scores: DataFrame, by: Sequence[str] = (), exceeds: str | None = "exceeds_face_limit") -> DataFrame:
     """Set `tier` by percentile of `total` within each scope `by` (the whole session by default).
 
-    Rows over the face limit stay rejected and do not count. Ties go to the smaller image_id.
-    Totals below the floor are rejected afterwards.
+    Rows over the face limit do not count and keep the tier they have, "rejected" if none. Ties
+    go to the smaller image_id. Totals below the floor are rejected afterwards.
     """
     out = F.col(exceeds) if exceeds and exceeds in scores.columns else F.lit(False)
     cuts = top_cuts(scores.where(~out), tier_sizes(F.col("n")), by=by)
     cuts = cuts.select(*by, *[F.col(t).alias(f"_cut_{t}") for t in ("S", "A", "B")])
+    before = F.coalesce(F.col("_before"), F.lit("rejected"))
     tier = (
-        F.when(out | (F.col("total") < K.QUALITY_FLOOR), "rejected")
+        F.when(out, before)
+        .when(F.col("total") < K.QUALITY_FLOOR, "rejected")
         .when(is_within(F.col("_cut_S")), "S")
         .when(is_within(F.col("_cut_A")), "A")
         .when(is_within(F.col("_cut_B")), "B")
         .otherwise("rejected")
     )
     cols = [c for c in scores.columns if c != "tier"]
-    return with_cuts(scores.drop("tier"), cuts, by).select(*cols, tier.alias("tier"))
+    had = F.col("tier") if "tier" in scores.columns else F.lit(None).cast("string")
+    return with_cuts(scores.withColumn("_before", had).drop("tier"), cuts, by).select(*cols, tier.alias("tier"))
 
 
 def keepers(scores: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def retier_after_rescore(scores: DataFrame, fresh: DataFrame, by: Sequence[str]
     return assign_tiers(rescore_merge(scores, fresh), by=by)
 
 
-def apply_overrides(scores: DataFrame, overrides: DataFrame, undo_limit: int = K.UNDO_LIMIT) -> DataFrame:
+def apply_overrides(scores: DataFrame, overrides: DataFrame) -> DataFrame:
     """Manual tiers win over computed ones.
 
     `overrides(image_id, tier, seq, undone)` is a log; the newest entry per asset that is not

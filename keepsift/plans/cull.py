@@ -34,13 +34,15 @@ def cull(
     fingerprint="fp",
     stored: DataFrame | None = None,
     overrides: DataFrame | None = None,
+    recursive: bool | None = None,
 ) -> Cull:
     """Scan, drop near-duplicates, set over-limit assets aside, score the rest, tier, fill up.
 
     `files` is a listing with image_id and folder, `faces` one row per face. `score` adds the six
     dimensions, reasoning and whatever else it has to the assets it is given: it sees only
     representatives within the face limit that have no score in `stored` yet. What it returns is
-    written down before it is read again.
+    written down before it is read again. Sub-folders are read if they are processed one by one,
+    or if `recursive` says so. A face row with an `error` counts as a failed detection.
     """
     scanned = scan_assets(
         files,
@@ -48,7 +50,7 @@ def cull(
         settings.prefix_filter,
         settings.prefix_any_case,
         settings.ignore_patterns,
-        recursive=True,
+        recursive=settings.process_subfolders if recursive is None else recursive,
     )
     members = store(
         group_duplicates(
@@ -73,8 +75,9 @@ def cull(
     if overrides is not None:
         tiers = apply_overrides(tiers, overrides)
     if settings.num_to_select > 0 and settings.shortfall_strategy != "stop":
-        tiers = fill_shortfall(store(tiers, "tiers"), settings.num_to_select, settings.shortfall_strategy)
+        tiers = fill_shortfall(store(tiers, "tiers"), settings.num_to_select, settings.shortfall_strategy, settings.tier_scope)
     tiers = store(tiers, "tiers")
-    verdicts = tiers.select("image_id", "total", "tier", "exceeds_face_limit")
-    labelled = members.join(verdicts, "image_id", "left").withColumn("face_error", F.lit(None).cast("string"))
+    failed = F.col("face_error") if "face_error" in tiers.columns else F.lit(None).cast("string")
+    verdicts = tiers.select("image_id", "total", "tier", "exceeds_face_limit", failed.alias("face_error"))
+    labelled = members.join(verdicts, "image_id", "left")
     return Cull(members, tiers, shortfall_reasons(labelled))

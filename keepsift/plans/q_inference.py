@@ -7,10 +7,12 @@ from keepsift.functions import text as X
 from keepsift.operators import inference as I
 from keepsift.operators import joins as J
 from keepsift.operators import tiers as T
+from keepsift.operators.rollups import face_rollup
 from keepsift.plans import views as V
 from keepsift.plans.q_rollups import stored_tiers
 from keepsift.plans.registry import query
 from keepsift.plans.views import table, weighted_sql
+from keepsift.session import store
 
 GENERAL = dict(zip(K.DIMENSIONS, K.GENRE_PRESETS["general"]))
 
@@ -39,11 +41,14 @@ def _(spark, d):
     return I.name_scores(named(spark, d)).select("doc_id", *K.DIMENSIONS)
 
 
-@query("name_keywords", "named", "SELECT doc_id, CASE WHEN regexp_matches(lower(filename), 'portrait|face') THEN 'portrait;natural light;smile;person;close-up' WHEN regexp_matches(lower(filename), 'landscape|nature') THEN 'landscape;nature;scenic;mountain;outdoor' ELSE 'photography;image;photo;capture;session' END AS keywords FROM named")
+@query("name_keywords", "named", "SELECT doc_id, CASE WHEN regexp_matches(filename, 'portrait|face') THEN 'portrait;natural light;smile;person;close-up' WHEN regexp_matches(filename, 'landscape|nature') THEN 'landscape;nature;scenic;mountain;outdoor' ELSE 'photography;image;photo;capture;session' END AS keywords FROM named")
 def _(spark, d):
     return named(spark, d).select("doc_id", F.array_join(I.name_keywords(F.col("filename")), ";").alias("keywords"))
 
 
+LIMITED: set[str] = set()  # asked once already, per worker
+
+
 def mock_call(row) -> I.Answer:
     """Scores by file name; `fate` makes some requests fail."""
     import json
@@ -54,6 +59,11 @@ def mock_call(row) -> I.Answer:
         return I.Answer(503)
     if fate == 5:
         return I.Answer(404)
+    if fate == 4:
+        return I.Answer(400)
+    if fate == 1 and row["image_id"] not in LIMITED:
+        LIMITED.add(row["image_id"])
+        return I.Answer(429, retry_after=6)
     if fate == 7:
         return I.Answer(0)
     if fate == 9:
@@ -64,11 +74,11 @@ def mock_call(row) -> I.Answer:
     return I.Answer(200, body, 800, 200)
 
 
-_OK = "fate NOT IN (3,5,7,9)"
+_OK = "fate NOT IN (3,4,5,7,9)"
 
 
-@query("batch_score", "named", f"""SELECT doc_id, CASE WHEN {_OK} THEN total ELSE 0 END::DOUBLE AS total, CASE WHEN {_OK} THEN 'Scored ' || filename ELSE 'Scoring failed: ' || CASE fate WHEN 3 THEN 'HTTP 503' WHEN 5 THEN 'HTTP 404' WHEN 7 THEN 'Request timed out twice' ELSE 'invalid JSON' END END AS reasoning,
-CASE WHEN NOT {_OK} THEN 'rejected' END AS tier, CASE WHEN {_OK} THEN 800 ELSE 0 END::BIGINT AS tokens_in, CASE fate WHEN 3 THEN 3 WHEN 7 THEN 1 ELSE 0 END AS retries, CASE fate WHEN 3 THEN 7 ELSE 0 END::BIGINT AS waited_s
+@query("batch_score", "named", f"""SELECT doc_id, CASE WHEN {_OK} THEN total ELSE 0 END::DOUBLE AS total, CASE WHEN {_OK} THEN 'Scored ' || filename ELSE 'Scoring failed: ' || CASE fate WHEN 3 THEN 'HTTP 503' WHEN 4 THEN 'HTTP 400' WHEN 5 THEN 'HTTP 404' WHEN 7 THEN 'Request timed out twice' ELSE 'invalid JSON' END END AS reasoning,
+CASE WHEN NOT {_OK} THEN 'rejected' END AS tier, CASE WHEN {_OK} THEN 800 ELSE 0 END::BIGINT AS tokens_in, CASE fate WHEN 3 THEN 3 WHEN 7 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS retries, CASE fate WHEN 3 THEN 7 WHEN 1 THEN 6 ELSE 0 END::BIGINT AS waited_s
 FROM (SELECT *, {weighted_sql(K.GENRE_PRESETS['general'])} AS total FROM (SELECT *, {_SCORED} FROM named)) WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def _(spark, d):
     seen = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("image_id"))
@@ -76,6 +86,18 @@ def _(spark, d):
     return out.select("doc_id", "total", "reasoning", "tier", "tokens_in", "retries", "waited_s")
 
 
+@query("batch_score_resumed", "named", f"""SELECT doc_id, CASE WHEN fate NOT IN (3,4,5,7,9) THEN total ELSE 0 END::DOUBLE AS total FROM (SELECT *, {weighted_sql(K.GENRE_PRESETS['general'])} AS total FROM (SELECT *, {_SCORED} FROM named))""")
+def _(spark, d):
+    # The key is refused on the way; what a second run asks for is exactly what has no score.
+    def refused(row):
+        return I.Answer(401) if row["doc_id"] % 10 == 9 else mock_call(row)
+
+    assets = named(spark, d)
+    first = store(I.batch_score(assets, None, refused, GENERAL, concurrency=8, sleep=lambda s: None), "first")
+    second = I.batch_score(assets, first, mock_call, GENERAL, concurrency=8, sleep=lambda s: None)
+    return first.unionByName(second).select("doc_id", "total")
+
+
 @query("resolve_attempts", "attempts", """WITH c AS (SELECT *, CASE WHEN status = 0 THEN 'timeout' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 401 THEN 'auth' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' ELSE 'other' END AS cls FROM attempts),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY attempt_no) AS nth FROM c),
 e AS (SELECT image_id, min(attempt_no) AS fin FROM r WHERE cls IN ('ok','auth','other') OR (cls = 'server' AND nth = 4) OR (cls = 'timeout' AND nth = 2) GROUP BY image_id)
@@ -92,12 +114,12 @@ def _(spark, d):
 
 
 def mock_tags(row) -> I.Answer:
-    """Tags every file; blocks with an even number are unreadable as a whole."""
+    """Tags every file; blocks with an even number fail as a whole, unreadable or refused."""
     import json
 
     names = [i["filename"] if isinstance(i, dict) else i.filename for i in row["items"]]
     if len(names) > 1 and row["block_no"] % 2 == 0:
-        return I.Answer(200, "sorry")
+        return I.Answer(200, "sorry") if row["block_no"] % 4 == 0 else I.Answer(400, "one picture only")
     return I.Answer(200, json.dumps({n: [f" Tag {n}", "", 5] for n in names if not n.startswith("DSC_")}))
 
 
@@ -116,8 +138,21 @@ def _(spark, d):
     return out.select("doc_id", "context")
 
 
+_DETECTED = "SELECT doc_id, CASE WHEN n_chars % 100 + 1 < 64 THEN 0 WHEN doc_id % 10 = 9 THEN 0 ELSE doc_id % 3 END AS faces, n_chars % 100 + 1 >= 64 AND doc_id % 10 = 9 AS failed FROM documents"
+
+
+@query("detected_rollup", "", f"SELECT doc_id::VARCHAR AS image_id, faces > 0 AS has_faces, faces AS face_count, faces = 0 AS eyes_open, faces > 0 AS blink_detected, faces = 0 AS expression_neutral, faces > 1 AS exceeds_face_limit, CASE WHEN failed THEN 'bad' END AS face_error FROM ({_DETECTED})")
+def _(spark, d):
+    assets = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_id"))
+    return face_rollup(assets, _detected(spark, d), 1)
+
+
 @query("detect_faces", "", "SELECT d.doc_id::VARCHAR AS image_id, count(*) FILTER (error IS NULL) AS faces, count(*) FILTER (error IS NOT NULL) AS failed FROM (SELECT doc_id, error FROM (SELECT doc_id, n_chars % 100 + 1 AS w, length(text) AS len, unnest(CASE WHEN doc_id % 10 = 9 THEN ['bad'] ELSE [NULL, NULL][1:(doc_id % 3)] END) AS error FROM documents) WHERE w >= 64) d GROUP BY ALL")
 def _(spark, d):
+    return _detected(spark, d).groupBy("image_id").agg(F.count_if(F.col("error").isNull()).alias("faces"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def _detected(spark, d):
     # A detector that finds doc_id % 3 faces and breaks on every tenth image; the id leads the bytes.
     def detect(content):
         i = int(content[:12])
@@ -130,7 +165,7 @@ def _(spark, d):
         i.cast("string").alias("image_id"), F.encode(F.concat(F.lpad(i.cast("string"), 12, "0"), "text"), "utf-8").alias("content"),
         (F.col("n_chars") % 100 + 1).cast("int").alias("width"), F.lit(600).alias("height"),
     )
-    return I.detect_faces(rows, detect).groupBy("image_id").agg(F.count_if(F.col("error").isNull()).alias("faces"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return I.detect_faces(rows, detect)
 
 
 @query("rescore_images", "scores", f"""WITH m AS (SELECT s.doc_id, image_id, exceeds_face_limit, CASE WHEN l.doc_id IS NOT NULL THEN 60.0 ELSE total END::DOUBLE AS total FROM scores s LEFT JOIN (SELECT * FROM labels WHERE toxic = 0) l ON l.doc_id = s.doc_id),

@@ -30,7 +30,7 @@ def score_events(spark, d):
     )
 
 
-LOG = "session_id string, image_id string, total double, seq bigint, tokens_in bigint, tokens_out bigint, _batch int"
+LOG = "session_id string, image_id string, total double, seq bigint, tokens_in bigint, tokens_out bigint, _started bigint, _batch int"
 
 
 def finish(q):
@@ -70,20 +70,24 @@ def _(spark, d):
 
 @query("throttled_eta", "", f"""WITH e AS (SELECT event_type AS session_id, ts, epoch_us(ts) // 5000000 AS w, event_id FROM events),
 l AS (SELECT session_id, w, arg_max(event_id, ts) AS id FROM e GROUP BY ALL)
-SELECT session_id, (w + 1) * 5 AS at_s, id % 900 + 1 AS done, {js_round_sql('id * 0.5::DOUBLE / (id % 900 + 1) * (1000 - (id % 900 + 1))')}::BIGINT AS eta_seconds FROM l WHERE (w + 1) * 5000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 10000000 FROM events)""")
+SELECT session_id, (w + 1) * 5 AS at_s, id % 900 + 1 AS done, {js_round_sql('id * 0.5::DOUBLE / (id % 900 + 1) * (1000 - (id % 900 + 1))')}::BIGINT AS eta_seconds FROM l""")
 def _(spark, d):
     i = F.col("event_id")
     progress = event_stream(spark, d).select(
         F.col("event_type").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), (i * 0.5).alias("elapsed_s"), (i % 900 + 1).alias("done"), F.lit(1000).alias("total")
     )
-    rows = _to_parquet(live.throttled_eta(progress), run_dir(spark, "eta"), "append")
-    return rows.select("session_id", F.floor(micros(F.col("at").cast("timestamp_ntz")) / 1000000).alias("at_s"), "done", "eta_seconds")
+    from keepsift.operators.ranking import latest
+
+    rows = _to_parquet(live.throttled_eta(progress), run_dir(spark, "eta"), "update")
+    return latest(rows, ["session_id", "at"], ["_batch"]).select("session_id", F.floor(micros(F.col("at").cast("timestamp_ntz")) / 1000000).alias("at_s"), "done", "eta_seconds")
 
 
 @query("idempotent_resume", "", "SELECT DISTINCT event_type AS session_id, user_id::VARCHAR AS image_id FROM events")
 def _(spark, d):
     s = event_stream(spark, d).select(F.col("event_type").alias("session_id"), F.col("user_id").cast("string").alias("image_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return _to_parquet(live.first_scores(s, "60 days"), run_dir(spark, "first"), "append").select("session_id", "image_id")
+    out = run_dir(spark, "first")
+    finish(live.first_scores(s, out + "/log", out + "/checkpoint"))
+    return spark.read.parquet(out + "/log").select("session_id", "image_id")
 
 
 @query("retier_per_batch", "", """WITH s AS (SELECT event_type AS session_id, user_id::VARCHAR AS image_id, arg_max(event_id % 101, event_id)::DOUBLE AS total FROM events GROUP BY ALL),

@@ -6,7 +6,7 @@ from keepsift import constants as K
 from keepsift.operators import sets as S
 from keepsift.plans import views as V
 from keepsift.plans.q_rollups import tiered
-from keepsift.plans.registry import query
+from keepsift.plans.registry import positions, query
 from keepsift.plans.views import table
 from keepsift.sinks import exports as X
 from keepsift.sources import listing as L
@@ -68,9 +68,11 @@ def _(spark, d):
     return S.delete_profiles(_profiles(spark, d), gone).select("id", "name")
 
 
-@query("session_status", "", """WITH e AS (SELECT user_id AS session_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'status' WHEN 'click' THEN 'context' WHEN 'purchase' THEN 'total_images' WHEN 'signup' THEN 'scored_count' ELSE CASE WHEN event_id % 7 = 0 THEN 'cleared' ELSE 'status' END END AS field, 'v' || event_id AS value FROM events)
+@query("session_status", "", """WITH e AS (SELECT user_id AS session_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'status' WHEN 'click' THEN 'context' WHEN 'purchase' THEN 'total_images' WHEN 'signup' THEN 'scored_count' ELSE CASE WHEN event_id % 7 = 0 THEN 'cleared' ELSE 'status' END END AS field, 'v' || event_id AS value FROM events),
+c AS (SELECT session_id, max(seq) AS gone FROM e WHERE field = 'cleared' GROUP BY session_id),
+k AS (SELECT e.* FROM e LEFT JOIN c USING (session_id) WHERE gone IS NULL OR seq > gone)
 SELECT session_id, arg_max(value, seq) FILTER (field = 'status') AS status, arg_max(value, seq) FILTER (field = 'context') AS context, arg_max(value, seq) FILTER (field = 'total_images') AS total_images, arg_max(value, seq) FILTER (field = 'scored_count') AS scored_count
-FROM e GROUP BY session_id HAVING coalesce(max(seq) FILTER (field = 'cleared') < max(seq), true)""")
+FROM k GROUP BY session_id""")
 def _(spark, d):
     t, i = F.col("event_type"), F.col("event_id")
     field = F.when(t == "view", "status").when(t == "click", "context").when(t == "purchase", "total_images").when(t == "signup", "scored_count").otherwise(F.when(i % 7 == 0, "cleared").otherwise("status"))
@@ -99,9 +101,14 @@ _CSV = f"""CASE WHEN regexp_matches(filename, '[,"]') THEN '"' || filename || '"
 CASE WHEN len(keywords) > 0 THEN '"' || array_to_string(keywords, '; ') || '"' ELSE '' END || ',"' || replace(reasoning, '"', '""') || '"'"""
 
 
-@query("export_results_csv", "tiered", f"SELECT {_CSV} AS line FROM tiered UNION ALL SELECT '{X.CSV_HEADER}'")
+_CSV_NULLS = _CSV.replace("|| tier ||", "|| CASE WHEN doc_id % 5 = 1 THEN '' ELSE tier END ||")
+
+
+@query("export_results_csv", "tiered", f"SELECT row_number() OVER (ORDER BY header DESC, t, image_id) AS position, line FROM (SELECT false AS header, -total AS t, image_id, {_CSV_NULLS} AS line FROM tiered UNION ALL SELECT true, 0, '', '{X.CSV_HEADER}')")
 def _(spark, d):
-    return X.csv_rows(tiered(spark, d))
+    # Some rows have no tier yet: their cell is empty. The position shows the order of the lines.
+    rows = tiered(spark, d).withColumn("tier", F.when(F.col("doc_id") % 5 != 1, F.col("tier")))
+    return positions(X.csv_rows(rows))
 
 
 def _esc(x):
@@ -152,21 +159,6 @@ def _(spark, d):
     return L.asset_columns(V.assets(spark, d).drop("image_id")).select("doc_id", "image_id", "is_raw")
 
 
-@query("settings_rows", "dims", "SELECT doc_id, 5 AS concurrency, CASE WHEN doc_id % 2 = 0 THEN 'event' ELSE 'general' END AS genre, 20 AS tag_top_percent FROM dims")
-def _(spark, d):
-    # Defaults, overridden field by field.
-    from dataclasses import replace
-
-    from keepsift.settings import Settings
-
-    base = Settings()
-    event = replace(base, genre="event")
-    even = F.col("doc_id") % 2 == 0
-    return table(spark, d, "documents").select(
-        "doc_id", F.lit(base.concurrency).alias("concurrency"), F.when(even, event.genre).otherwise(base.genre).alias("genre"), F.lit(base.tag_top_percent).alias("tag_top_percent")
-    )
-
-
 @query("provider_defaults", "scores", "SELECT doc_id, CASE provider " + " ".join(f"WHEN '{p}' THEN '{m}'" for p, (u, m) in K.PROVIDER_DEFAULTS.items()) + " END AS model FROM scores")
 def _(spark, d):
     from keepsift.sources.dimensions import provider_defaults

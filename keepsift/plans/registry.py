@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from keepsift.plans.views import with_views
 
@@ -24,6 +25,13 @@ def query(name: str, views: str = "", sql: str | None = None):
     return add
 
 
+def positions(ordered: DataFrame) -> DataFrame:
+    """Ordered rows with their position from 1, so that a comparison sees the order."""
+    rows = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    schema = T.StructType([*ordered.schema.fields, T.StructField("position", T.LongType())])
+    return ordered.sparkSession.createDataFrame(rows, schema)
+
+
 def load() -> None:
     """Import all modules that register queries."""
     from keepsift.plans import q_cull, q_filters, q_inference, q_joins, q_rollups, q_scalars, q_selection, q_similarity, q_streaming, q_tables  # noqa: F401

@@ -207,7 +207,7 @@ def answers(spark, d) -> DataFrame:
 
 def rolled_faces(spark, d) -> DataFrame:
     ids = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"))
-    return face_rollup(ids, faces(spark, d), FACE_LIMIT)
+    return face_rollup(ids, faces(spark, d), FACE_LIMIT).drop("face_error")
 
 
 # --- the same views for the checks --------------------------------------------

@@ -43,19 +43,21 @@ def export_results_json(scores: DataFrame, path: str) -> None:
     results_rows(scores).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+# Fixed text of the report.
 CSV_HEADER = "﻿Filename,Tier,Total Score,Quality,Aesthetic,Composition,Sharpness,Exposure,FaceEyes,Keywords,Reasoning"
 
 
 def csv_line() -> Column:
-    return F.concat_ws(
-        ",",
+    """One line of the report; a missing value is an empty cell."""
+    cells = [
         X.csv_name(F.col("filename")),
         F.col("tier"),
-        F.format_string("%.2f", F.col("total")),
+        F.when(F.col("total").isNotNull(), F.format_string("%.2f", F.col("total"))),
         *[F.col(d).cast("string") for d in K.DIMENSIONS],
         X.csv_keywords(F.col("keywords")),
         X.csv_quote(F.col("reasoning")),
-    )
+    ]
+    return F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells])
 
 
 def csv_rows(scores: DataFrame) -> DataFrame:
@@ -85,7 +87,10 @@ XMP_TAIL = '\n    </rdf:Description>\n  </rdf:RDF>\n</x:xmpmeta>\n<?xpacket end=
 
 
 def sidecar_xml(tier: Column, reasoning: Column, keywords: Column, include_description: bool) -> Column:
-    """Rating and colour label, with description and keyword bag where there are any."""
+    """Rating and colour label, with description and keyword bag where there are any.
+
+    All markup here is fixed text of the document format.
+    """
     told = F.trim(F.coalesce(reasoning, F.lit("")))
     description = F.when(
         F.lit(include_description) & (told != ""),
@@ -191,13 +196,18 @@ def bundle_manifest(files: DataFrame, cache_dir: str = ".preview_cache") -> Data
     return files.where(top | xmp).select("path", rel.alias("archive_name"))
 
 
-def summary(sessions: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per session: identity, counts per tier and shortfall reasons."""
+def summary(sessions: DataFrame, scores: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
+    """Per session: identity, counts per tier and, from `shortfall_reasons(..., by=["session_id"])`, why
+    there are fewer keepers than hoped; NULL where a session has none."""
     counts = tier_counts(scores, ["session_id"]).select(
         "session_id", F.struct(*[F.col(f"n_{t}").alias(t) for t in K.TIERS]).alias("tier_counts")
     )
-    return sessions.join(counts, "session_id", "left")
+    out = sessions.join(counts, "session_id", "left")
+    if reasons is None:
+        return out
+    why = F.struct(*[c for c in reasons.columns if c != "session_id"]).alias("shortfall_reasons")
+    return out.join(reasons.select("session_id", why), "session_id", "left")
 
 
-def write_summary(sessions: DataFrame, scores: DataFrame, path: str) -> None:
-    summary(sessions, scores).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_summary(sessions: DataFrame, scores: DataFrame, path: str, reasons: DataFrame | None = None) -> None:
+    summary(sessions, scores, reasons).write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -18,6 +22,8 @@ from keepsift.operators.sets import upsert_scores
 from keepsift.operators.tiers import assign_tiers
 from keepsift.session import store
 
+#: Before the number of any event.
+RECORD_SEQ = -(2**62)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,12 +35,36 @@ def read_scores(spark: SparkSession, folder: str, schema, files_per_batch: int |
     return reader.parquet(folder)
 
 
+class BatchLog:
+    """A log to which a stream appends batches.
+
+    A batch has a folder of its own below the stream's run, so a repeated batch replaces itself and streams
+    with other checkpoints never touch it. The run is the id that Spark keeps in the checkpoint.
+    """
+
+    def __init__(self, path: str, checkpoint: str):
+        self.path, self.checkpoint, self.started_us = path, checkpoint, time.time_ns() // 1000
+
+    def folder(self, spark: SparkSession, batch_id: int) -> str:
+        first = spark.read.text(f"{self.checkpoint}/metadata").first()[0]
+        return f"{self.path}/run={json.loads(first)['id']}/batch={batch_id}"
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """Rows with the start of their stream and their batch, by which later batches are newer."""
+        rows = batch.withColumn("_started", F.lit(self.started_us)).withColumn("_batch", F.lit(batch_id))
+        rows.write.mode("overwrite").parquet(self.folder(batch.sparkSession, batch_id))
+
+
+LOG_ORDER = ("_started", "_batch")
+
+
 def score_stream(scores: DataFrame, log_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append arriving scores to a log at once. A batch writes to a folder of its own, so a
-    repeated batch replaces itself; `stored_scores` reads the latest row per asset."""
+    """Append arriving scores to a log at once; `stored_scores` reads the latest row per asset.
+    Several streams may append to one log."""
+    log = BatchLog(log_path, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        log.write(batch, batch_id)
 
     return (
         scores.writeStream.foreachBatch(write)
@@ -44,7 +74,7 @@ def score_stream(scores: DataFrame, log_path: str, checkpoint: str, trigger: dic
     )
 
 
-def stored_scores(spark: SparkSession, log_path: str, schema, key=("session_id", "image_id"), newest=("_batch", "seq")) -> DataFrame:
+def stored_scores(spark: SparkSession, log_path: str, schema, key=("session_id", "image_id"), newest=(*LOG_ORDER, "seq")) -> DataFrame:
     full = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(log_path)
     return upsert_scores(full, key, newest)
 
@@ -61,7 +91,9 @@ def live_progress(scores: DataFrame) -> DataFrame:
 def throttled_eta(progress: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Latest estimate per session and five-second window.
 
-    progress(session_id, ts, elapsed_s, done, total): a window is given out once, after it closed.
+    progress(session_id, ts, elapsed_s, done, total). In output mode append a window is given out once, after it
+    closed, and the last ones wait for later rows. In mode update it is given out whenever it changed, so the last
+    windows of a session come out too; the newest row of a window counts.
     """
     w = F.window("ts", f"{K.PROGRESS_SECONDS} seconds")
     last = F.max_by(F.struct("elapsed_s", "done", "total"), F.col("ts"))
@@ -74,20 +106,37 @@ def throttled_eta(progress: DataFrame, delay: str = "10 seconds") -> DataFrame:
     )
 
 
-def first_scores(scores: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each asset once per session, however often its score arrives within the delay."""
-    return scores.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "image_id"])
+def first_scores(scores: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Append each asset once per session, however often and however late its score arrives again.
+
+    A batch drops what the log holds already, itself aside, so a repeated batch gives the same rows. Only the keys
+    of the log are read.
+    """
+    log, key = BatchLog(log_path, checkpoint), ["session_id", "image_id"]
+    keys = T.StructType([*scores.select(*key).schema.fields, T.StructField("_batch", T.IntegerType()), T.StructField("run", T.StringType())])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = log.folder(spark, batch_id).rsplit("/run=", 1)[1].split("/")[0]
+        try:
+            seen = spark.read.schema(keys).parquet(log_path).where(~((F.col("run") == run) & (F.col("_batch") == batch_id)))
+        except AnalysisException:  # nothing stored yet
+            seen = spark.createDataFrame([], keys)
+        new = batch.dropDuplicates(key).join(seen.select(*key), key, "left_anti")
+        log.write(store(new, "first"), batch_id)
+
+    return scores.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def retier_per_batch(
     scores: DataFrame, log_path: str, schema, checkpoint: str, sink: Callable[[DataFrame, int], None], by=()
 ) -> StreamingQuery:
     """After every micro-batch, tier everything scored so far and hand it to `sink`."""
-    spark = scores.sparkSession
+    spark, log = scores.sparkSession, BatchLog(log_path, checkpoint)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        sink(assign_tiers(stored_scores(spark, log_path, schema).drop("_batch", "seq"), by=by), batch_id)
+        log.write(batch, batch_id)
+        sink(assign_tiers(stored_scores(spark, log_path, schema).drop(*LOG_ORDER, "seq"), by=by), batch_id)
 
     return (
         scores.writeStream.foreachBatch(each)
@@ -113,30 +162,34 @@ def batch_events(progress: DataFrame, folders: DataFrame) -> DataFrame:
 def quota_batches(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Quota by micro-batch with the exact, skew-proof fold of `operators.quota`.
 
-    Each user's record enters a batch as one accepted event before the new ones, and leaves it
-    as the last accepted event. `table` receives outcomes below `outcomes/` and records below
-    `records/`, one folder per batch, so a repeated batch replaces its own output.
+    A user's record (month, count, time of the last accepted event) is where the fold of the batch starts: it stands
+    before all events of the batch, whatever their number, so an event that arrives late finds the count that there
+    is. Only users of the batch are folded. `table` receives outcomes below `outcomes/` and records below `records/`
+    of the stream's run, one folder per batch, so a repeated batch replaces its own output.
     """
     spark = events.sparkSession
     cols = ["user_id", "seq", "ts_us", "month_key", "n", "quota"]
+    outcomes, records = BatchLog(f"{table}/outcomes", checkpoint), BatchLog(f"{table}/records", checkpoint)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(*cols)
+        new = store(batch.select(*cols), "usage-batch")
+        old = None
+        work = new
         if batch_id > 0:
-            old = spark.read.schema(new.schema).parquet(f"{table}/records/batch={batch_id - 1}")
-            work = new.unionByName(old)
-        else:
-            old, work = None, new
+            old = spark.read.schema(new.schema).parquet(records.folder(spark, batch_id - 1))
+            met = old.join(new.select("user_id").distinct(), "user_id", "left_semi")
+            work = new.unionByName(met.withColumn("seq", F.lit(RECORD_SEQ)))
         done = store(quota_fold(work), "quota")
-        out = done if old is None else done.join(old.select("user_id", "seq"), ["user_id", "seq"], "left_anti")
-        out.write.mode("overwrite").parquet(f"{table}/outcomes/batch={batch_id}")
+        outcomes.write(done.where(F.col("seq") != RECORD_SEQ), batch_id)
         accepted = done.where(F.col("success") & F.col("quota").isNotNull())
         kept = latest(
             accepted.select("user_id", "seq", "ts_us", "month_key", (F.col("quota") - F.col("remaining")).alias("n"), "quota"),
             ["user_id"],
             ["seq"],
         )
-        kept.write.mode("overwrite").parquet(f"{table}/records/batch={batch_id}")
+        if old is not None:
+            kept = kept.unionByName(old.join(new.select("user_id").distinct(), "user_id", "left_anti"))
+        records.write(kept, batch_id)
 
     return (
         events.writeStream.foreachBatch(each)
@@ -156,10 +209,11 @@ class _Quota(StatefulProcessor):
         state = self.record.get() if self.record.exists() else None
         month, count, last = state if state else (None, 0, None)
         changed = False
-        # One batch of rows at a time; only the record stays in memory.
-        for pdf in rows:
+        # All rows that a user has in one micro-batch, in order; the source's rate limit bounds them.
+        held = list(rows)
+        for pdf in [pd.concat(held).sort_values("seq")] if held else []:
             out = []
-            for r in pdf.sort_values("seq").itertuples(index=False):
+            for r in pdf.itertuples(index=False):
                 quota = None if pd.isna(r.quota) else int(r.quota)
                 if quota is None:
                     out.append((r.user_id, r.seq, True, UNLIMITED, None))
@@ -185,9 +239,8 @@ def quota_stream(events: DataFrame) -> DataFrame:
     """Outcome per usage event, the streaming form of `operators.quota.quota_fold`.
 
     events(user_id, seq, ts_us, month_key, n, quota). Needs the RocksDB state store
-    (`use_state_store`) and events that arrive in order: a user's rows of one micro-batch are
-    sorted per Arrow batch only. Where order may be mixed, a user is hot or a backlog waits,
-    use `quota_batches`.
+    (`use_state_store`). The rows of one micro-batch may come in any order; a user's rows of one
+    micro-batch are held together. Where a user is hot or a backlog waits, use `quota_batches`.
     """
     return events.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=_Quota(),

@@ -50,7 +50,7 @@ def test_hamming(spark):
         H.hamming_hex(F.lit("f"), F.lit("ff")),
         H.to_hex(H.from_hex(F.lit("deadbeefdeadbeef"))),
     )
-    assert got == (1, 0, 1, None, "deadbeefdeadbeef")
+    assert got == (1, 0, 1, 4, "deadbeefdeadbeef")
 
 
 def test_paths(spark):

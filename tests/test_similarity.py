@@ -136,3 +136,22 @@ def test_simhash_of_texts(spark):
     df = spark.createDataFrame([(1, "Red fox, red dog"), (2, "red FOX red dog"), (3, " .. "), (4, None)], "id long, text string")
     got = {r.id: r.fp for r in simhash(df, "id", "text").collect()}
     assert got[1] == got[2] is not None and got[3] is None and got[4] is None
+
+
+def test_scopes_are_kept_apart(spark):
+    from keepsift.operators.grouping import group_duplicates
+
+    rows = [("1", "x.jpg", "p1", 5, "a/b", "c"), ("2", "y.jpg", "p2", 5, "a", "b/c"), ("3", "z.jpg", "p3", 5, None, "c"), ("4", "w.jpg", "p4", 5, None, "c")]
+    df = spark.createDataFrame(rows, "image_id string, filename string, path string, fp bigint, s1 string, s2 string")
+    got = {r.image_id: r.cluster_id for r in group_duplicates(df, 2, by=("s1", "s2")).collect()}
+    assert len(got) == 4 and got["1"] != got["2"] and got["3"] == got["4"]
+
+
+def test_hamming_of_odd_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from keepsift.functions.fingerprints import hamming_hex
+
+    cases = [("fff", "ff0f", 0), ("f", "0f", 0), ("f", "f0", 8), ("", "ff", 8), ("0" * 66, "0" * 64 + "ff", 0), ("f" * 65, "0" * 64, 256)]
+    df = spark.createDataFrame(cases, "a string, b string, want int")
+    assert df.where(hamming_hex(F.col("a"), F.col("b")) != F.col("want")).count() == 0

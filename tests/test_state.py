@@ -107,7 +107,7 @@ def test_scores_arrive_in_batches(spark, tmp_path):
     write_parts(spark, rows, SCORES, str(tmp_path / "in"), 3)
     stream = live.read_scores(spark, str(tmp_path / "in"), SCORES, 1)
     seen = []
-    q = live.retier_per_batch(stream, str(tmp_path / "log"), SCORES + ", _batch int", str(tmp_path / "ck"), lambda t, b: seen.append({r.image_id: (r.total, r.tier) for r in t.collect()}))
+    q = live.retier_per_batch(stream, str(tmp_path / "log"), SCORES + ", _started bigint, _batch int", str(tmp_path / "ck"), lambda t, b: seen.append({r.image_id: (r.total, r.tier) for r in t.collect()}))
     q.awaitTermination()
     assert q.exception() is None and len(seen) == 3 and all(len(s) == 20 for s in seen)
     last = spark.createDataFrame([(f"{i % 20:02d}", float(i)) for i in range(40, 60)], "image_id string, total double")
@@ -154,3 +154,103 @@ def test_name_scorer(spark, name, check):
 def test_name_keywords(spark):
     words = spark.range(1).select(I.name_keywords(F.lit("wedding_groom.jpg"))).first()[0]
     assert "wedding" in words and "groom" in words
+
+
+def test_refused_key_leaves_the_rest_unscored(spark):
+    from keepsift.operators.joins import unscored_assets
+
+    df = spark.createDataFrame([(f"{i:02d}", f"{i}.jpg") for i in range(6)], "image_id string, filename string").coalesce(1)
+    general = dict(zip(K.DIMENSIONS, K.GENRE_PRESETS["general"]))
+
+    def call(row):
+        return I.Answer(401) if row["image_id"] >= "01" else I.Answer(404)
+
+    scored = I.batch_score(df, None, call, general, sleep=lambda s: None)
+    assert [r.image_id for r in scored.collect()] == ["00"]
+    assert unscored_assets(df, scored).count() == 5
+
+
+def test_tags_fall_back_to_single_files_and_stop(spark):
+    import json
+
+    rows = [(f"{i}", f"{i}.jpg", 100.0 - i, "S") for i in range(5)]
+    df = spark.createDataFrame(rows, "image_id string, filename string, total double, tier string")
+
+    def call(row):
+        names = [i["filename"] for i in row["items"]]
+        if len(names) > 1:
+            return I.Answer(400, "one file only")
+        return I.Answer(200, json.dumps({names[0]: ["tag"]}))
+
+    assert I.batch_tag(df, call, 100, sleep=lambda s: None).count() == 5
+    for status in (401, 429):
+        assert I.batch_tag(df, lambda row, s=status: I.Answer(s), 100, sleep=lambda s: None).count() == 0
+
+
+def test_two_streams_share_a_log(spark, tmp_path):
+    schema = SCORES + ", _started bigint, _batch int"
+    for i in range(2):
+        source = str(tmp_path / f"in{i}")
+        spark.createDataFrame([("s", f"{i}", float(i), i, 1, None)], SCORES).write.parquet(source)
+        q = live.score_stream(spark.readStream.schema(SCORES).parquet(source), str(tmp_path / "log"), str(tmp_path / f"ck{i}"))
+        q.awaitTermination()
+        assert q.exception() is None
+    assert {r.image_id for r in live.stored_scores(spark, str(tmp_path / "log"), schema).collect()} == {"0", "1"}
+
+
+def test_late_event_meets_the_record(spark, tmp_path):
+    for i, row in enumerate([(1, 10, 1000, "2024-01", 500, 500), (1, 5, 1000, "2024-01", 400, 500), (2, 1, 1000, "2024-01", 3, 500)]):
+        spark.createDataFrame([row], USAGE).coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+        stream = spark.readStream.schema(USAGE).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        q = live.quota_batches(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+        q.awaitTermination()
+        assert q.exception() is None
+    got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out/outcomes")).collect()
+    assert {(r.user_id, r.seq): r.error for r in got} == {(1, 10): None, (1, 5): "QUOTA_EXCEEDED", (2, 1): None}
+    last = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out/records")).where("_batch = 2")
+    assert {(r.user_id, r.n) for r in last.collect()} == {(1, 500), (2, 3)}
+
+
+def test_first_scores_never_count_twice(spark, tmp_path):
+    for i in range(3):
+        rows = [("s", "a", i), ("s", f"{i}", i)]
+        spark.createDataFrame(rows, "session_id string, image_id string, seq int").coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+        stream = spark.readStream.schema("session_id string, image_id string, seq int").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        q = live.first_scores(stream, str(tmp_path / "log"), str(tmp_path / f"ck{i // 2}"))
+        q.awaitTermination()
+        assert q.exception() is None
+    got = [r.image_id for r in spark.read.parquet(str(tmp_path / "log")).collect()]
+    assert sorted(got) == ["0", "1", "2", "a"]
+
+
+def test_quota_stream_orders_shuffled_rows(spark, tmp_path):
+    rows = usage(4, 200)
+    spark.createDataFrame(rows[::-1], USAGE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    live.use_state_store(spark)
+    stream = spark.readStream.schema(USAGE).parquet(str(tmp_path / "in"))
+    out = []
+    q = live.quota_stream(stream).writeStream.foreachBatch(lambda b, i: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.user_id, r.seq): (r.success, r.error) for r in out} == fold(rows)
+
+
+def test_face_limit_rows_keep_their_tier(spark):
+    df = spark.createDataFrame([("1", 0.0, "A", True), ("2", 0.0, None, True), ("3", 90.0, None, False)], "image_id string, total double, tier string, exceeds_face_limit boolean")
+    assert {r.image_id: r.tier for r in assign_tiers(df).collect()} == {"1": "A", "2": "rejected", "3": "S"}
+
+
+def test_failed_detection_has_no_faces(spark):
+    from keepsift.operators.rollups import face_rollup
+
+    faces = spark.createDataFrame([("1", None, None, None, "broke"), ("2", 0.9, 0.1, "happy", None)], "image_id string, left_open double, right_open double, emotion string, error string")
+    got = {r.image_id: r for r in face_rollup(spark.createDataFrame([("1",), ("2",)], "image_id string"), faces, 1).collect()}
+    assert (got["1"].has_faces, got["1"].face_count, got["1"].eyes_open, got["1"].face_error) == (False, 0, True, "broke")
+    assert got["2"].face_count == 1 and got["2"].face_error is None
+
+
+def test_clearing_a_session_removes_what_came_before(spark):
+    from keepsift.operators.sets import session_state
+
+    rows = [("a", 1, "context", "old"), ("a", 2, "cleared", None), ("a", 3, "status", "running"), ("b", 1, "status", "x"), ("b", 2, "cleared", None)]
+    got = session_state(spark.createDataFrame(rows, "session_id string, seq bigint, field string, value string")).collect()
+    assert [(r.session_id, r.status, r.context) for r in got] == [("a", "running", None)]

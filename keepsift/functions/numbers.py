@@ -86,6 +86,15 @@ def human_bytes(n: Column) -> Column:
     )
 
 
+def duration_text(ms: Column) -> Column:
+    """Milliseconds below a second, else seconds with two decimals; exact halves go up."""
+    whole = js_round(ms).cast("bigint").cast("string")
+    s = ms / F.lit(1000.0)
+    half = (s * 8 == F.floor(s * 8)) & (F.floor(s * 8) % 2 == 1)
+    text = F.call_function("format_number", s + F.when(half, 1e-9).otherwise(0.0), F.lit("0.00"))
+    return F.when(ms >= 1000, F.concat(text, F.lit(" s"))).otherwise(F.concat(whole, F.lit(" ms")))
+
+
 def score_band(score: Column) -> Column:
     return (
         F.when(score >= 90, "excellent").when(score >= 75, "good").when(score >= 60, "fair").otherwise("low")

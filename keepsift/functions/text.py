@@ -128,79 +128,49 @@ def profile_name(genre: Column, ts: Column) -> Column:
 
 # --- prompts -----------------------------------------------------------------
 
-RUBRIC = {
-    "quality": "noise, artefacts and dynamic range",
-    "aesthetic": "mood, appeal and intent",
-    "composition": "framing, balance and lines",
-    "sharpness": "focus on the main subject, no motion blur",
-    "exposure": "no clipped highlights or blocked shadows",
-    "faceEyes": "open, sharp eyes and a fitting expression",
-}
-
-
-def _yes_no(flag: Column) -> Column:
-    return F.when(flag, "yes").otherwise("no")
-
-
-def scoring_prompt(filename, genre, context, preference, weights, faces) -> Column:
+def scoring_prompt(filename, genre, context, preference, weights, faces, task: str = "", rubric: dict[str, str] | None = None) -> Column:
     """Request text for one asset; equal inputs give equal text.
 
-    `weights` maps a dimension to a column. `faces` maps has_faces, face_count, eyes_open,
+    This is only the list of facts and of the keys to answer with; `task` and the `rubric` per dimension are the
+    caller's words. `weights` maps a dimension to a column. `faces` maps has_faces, face_count, eyes_open,
     blink_detected and expression_neutral to columns.
     """
-    face_lines = F.when(
-        faces["has_faces"],
-        F.concat_ws(
-            "\n",
-            F.lit("Face detected: yes"),
-            F.concat(F.lit("Face count: "), faces["face_count"].cast("string")),
-            F.concat(F.lit("Eyes open: "), _yes_no(faces["eyes_open"])),
-            F.concat(F.lit("Blink detected: "), _yes_no(faces["blink_detected"])),
-            F.concat(F.lit("Expression neutral: "), _yes_no(faces["expression_neutral"])),
-        ),
-    ).otherwise(F.lit("Face detected: no"))
-    rubric = [
-        F.concat(F.lit(f"- {d} (weight "), weights(d).cast("string"), F.lit(f"%): {RUBRIC[d]}"))
+
+    def stated(text):
+        told = F.trim(F.coalesce(text, F.lit("")))
+        return F.when(told == "", "-").otherwise(told)
+
+    seen = F.concat(
+        F.lit("faces: "),
+        faces["face_count"].cast("string"),
+        *[F.concat(F.lit(f", {name} "), faces[c].cast("string")) for name, c in (("eyes open", "eyes_open"), ("blink", "blink_detected"), ("neutral", "expression_neutral"))],
+    )
+    wanted = [
+        F.concat(F.lit(f"- {d}: weight "), weights(d).cast("string"), F.lit(f", {rubric[d]}" if rubric else ""))
         for d in K.DIMENSIONS
     ]
-    told = F.trim(F.coalesce(context, F.lit("")))
-    wish = F.trim(F.coalesce(preference, F.lit("")))
     keys = ", ".join(f'"{d}"' for d in K.DIMENSIONS)
     return F.concat_ws(
         "\n",
-        F.concat(F.lit("Rate one picture of a "), genre, F.lit(" shoot.")),
-        F.concat(F.lit("Image filename: "), filename),
-        F.concat(F.lit("About the shoot: "), F.when(told == "", "nothing known").otherwise(told)),
-        F.concat(F.lit("User style preference: "), F.when(wish == "", "none specified").otherwise(wish)),
-        face_lines,
-        F.lit("Rate from 0 to 100 on:"),
-        *rubric,
-        F.lit("Without faces, faceEyes is 50."),
-        F.lit(f'Answer with one JSON object only, keys {keys} (numbers) and "reasoning" (plain text).'),
+        *([F.lit(task)] if task else []),
+        F.concat(F.lit("genre: "), genre),
+        F.concat(F.lit("file: "), filename),
+        F.concat(F.lit("context: "), stated(context)),
+        F.concat(F.lit("wishes: "), stated(preference)),
+        F.when(faces["has_faces"], seen).otherwise(F.lit("faces: 0")),
+        F.lit("rate 0 to 100:"),
+        *wanted,
+        F.lit(f'reply: one JSON object with numbers {keys} and text "reasoning"'),
     )
 
 
-def discovery_prompt(genre: Column, n: Column) -> Column:
-    return F.concat(
-        n.cast("string"),
-        F.lit(" sample image"),
-        F.when(n != 1, "s").otherwise(""),
-        F.lit(" of a "),
-        genre,
-        F.lit(" shoot follow. In two or three sentences, say what the shoot shows and what its best pictures have."),
-    )
+def discovery_prompt(genre: Column, n: Column, task: str = "reply: a short description of the set") -> Column:
+    return F.concat_ws("\n", F.concat(F.lit("genre: "), genre), F.concat(F.lit("samples: "), n.cast("string")), F.lit(task))
 
 
-def tagging_prompt(filenames: Column) -> Column:
+def tagging_prompt(filenames: Column, task: str = "reply: one JSON object, file name to a list of keywords") -> Column:
     quoted = F.array_join(F.transform(filenames, lambda f: F.concat(F.lit('"'), f, F.lit('"'))), ",\n")
-    n = F.size(filenames)
-    return F.concat(
-        F.lit("Give 5 to 10 lower-case keywords for each of "),
-        n.cast("string"),
-        F.when(n > 1, " images").otherwise(" image"),
-        F.lit(". Answer with one JSON object only: these file names as keys, arrays of strings as values.\n"),
-        quoted,
-    )
+    return F.concat_ws("\n", F.concat(F.lit("files: "), F.size(filenames).cast("string")), F.lit(task), quoted)
 
 
 # --- answers -----------------------------------------------------------------

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from keepsift.session import store
 
-MAX_ROUNDS = 60
 
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node of its component.
 
     Each round hangs neighbours on their smallest neighbour (Kiveris et al. 2014), which needs
@@ -24,14 +22,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     mark = _fingerprint(now)
     if mark[0] == 0:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
+    while True:
         now = store(_small_star(_large_star(now)), "stars")
         seen, mark = mark, _fingerprint(now)
         if seen == mark:
             pairs = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return pairs.unionByName(roots)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

@@ -176,7 +176,7 @@ def _(spark, d):
     return R.resume_estimate(s).select("o_orderkey", "remaining", "remaining_minutes", "remaining_cost")
 
 
-@query("profile_limit", "users", "SELECT user_id, tier, coalesce(n, 0)::BIGINT AS profiles, tier <> 'free' OR coalesce(n, 0) < 2 AS may_add FROM users LEFT JOIN (SELECT o_custkey AS user_id, count(*) AS n FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1) USING (user_id)")
+@query("profile_limit", "users", "SELECT user_id, tier, coalesce(n, 0)::BIGINT AS profiles, tier <> 'free' OR coalesce(n, 0) < 2 AS may_add FROM users LEFT JOIN (SELECT o_custkey AS user_id, count(*) AS n FROM orders GROUP BY 1) USING (user_id)")
 def _(spark, d):
-    p = table(spark, d, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("user_id"))
+    p = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))
     return R.profile_limit(V.users(spark, d), p)

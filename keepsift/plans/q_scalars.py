@@ -8,6 +8,7 @@ from keepsift.functions import numbers as N
 from keepsift.functions import paths as P
 from keepsift.functions import text as X
 from keepsift.plans import views as V
+from keepsift.operators.sets import scores_to_map_rows
 from keepsift.plans.registry import query
 from keepsift.plans.views import js_round_sql, table, weighted_sql
 
@@ -50,11 +51,11 @@ def _(spark, d):
     return V.assets(spark, d).select("doc_id", P.is_raw(F.col("path")).alias("is_raw"))
 
 
-@query("hamming_distance", "vectors", "SELECT a.vec_id, bit_count(xor(a.fp, b.fp))::INTEGER AS distance FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1 WHERE a.fp IS NOT NULL AND b.fp IS NOT NULL")
+@query("hamming_distance", "vectors", "SELECT a.vec_id, bit_count(xor(a.fp, b.fp))::INTEGER AS distance FROM vectors a LEFT JOIN vectors b ON b.vec_id = a.vec_id + 1")
 def _(spark, d):
-    a = V.vectors(spark, d).where("fp IS NOT NULL").select("vec_id", H.to_hex(F.col("fp")).alias("a"))
+    a = V.vectors(spark, d).select("vec_id", H.to_hex(F.col("fp")).alias("a"))
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
-    return a.join(b, "vec_id").select("vec_id", H.hamming_hex(F.col("a"), F.col("b")).alias("distance"))
+    return a.join(b, "vec_id", "left").select("vec_id", H.hamming_hex(F.col("a"), F.col("b")).alias("distance"))
 
 
 @query(
@@ -165,8 +166,8 @@ def _(spark, d):
     )
 
 
-def _rubric_sql(weights):
-    return "\n".join(f"- {n} (weight {w}%): {X.RUBRIC[n]}" for n, w in zip(K.DIMENSIONS, weights)).replace("'", "''")
+def _weights_sql(weights):
+    return "\n".join(f"- {n}: weight {w}" for n, w in zip(K.DIMENSIONS, weights))
 
 
 _KEYS = ", ".join(f'"{n}"' for n in K.DIMENSIONS)
@@ -175,12 +176,11 @@ _KEYS = ", ".join(f'"{n}"' for n in K.DIMENSIONS)
 @query(
     "scoring_prompt",
     "assets rolled",
-    f"""SELECT doc_id, md5('Rate one picture of a wedding shoot.' || chr(10) || 'Image filename: ' || filename || chr(10) || 'About the shoot: ' ||
-    CASE WHEN doc_id % 2 = 0 THEN 'nothing known' ELSE 'lang ' || lang END || chr(10) || 'User style preference: ' || CASE WHEN doc_id % 3 = 0 THEN 'none specified' ELSE folder END || chr(10) ||
-    CASE WHEN has_faces THEN 'Face detected: yes' || chr(10) || 'Face count: ' || face_count || chr(10) || 'Eyes open: ' || CASE WHEN eyes_open THEN 'yes' ELSE 'no' END || chr(10) ||
-      'Blink detected: ' || CASE WHEN blink_detected THEN 'yes' ELSE 'no' END || chr(10) || 'Expression neutral: ' || CASE WHEN expression_neutral THEN 'yes' ELSE 'no' END ELSE 'Face detected: no' END
-    || chr(10) || 'Rate from 0 to 100 on:' || chr(10) || '{_rubric_sql(K.GENRE_PRESETS["wedding"])}' || chr(10) || 'Without faces, faceEyes is 50.' || chr(10) ||
-    'Answer with one JSON object only, keys {_KEYS} (numbers) and "reasoning" (plain text).') AS prompt_md5 FROM assets JOIN rolled ON rolled.image_id = assets.doc_id""",
+    f"""SELECT doc_id, md5('genre: wedding' || chr(10) || 'file: ' || filename || chr(10) || 'context: ' || CASE WHEN doc_id % 2 = 0 THEN '-' ELSE 'lang ' || lang END || chr(10) ||
+    'wishes: ' || CASE WHEN doc_id % 3 = 0 THEN '-' ELSE folder END || chr(10) ||
+    CASE WHEN has_faces THEN 'faces: ' || face_count || ', eyes open ' || eyes_open || ', blink ' || blink_detected || ', neutral ' || expression_neutral ELSE 'faces: 0' END
+    || chr(10) || 'rate 0 to 100:' || chr(10) || '{_weights_sql(K.GENRE_PRESETS["wedding"])}' || chr(10) ||
+    'reply: one JSON object with numbers {_KEYS} and text "reasoning"') AS prompt_md5 FROM assets JOIN rolled ON rolled.image_id = assets.doc_id""",
 )
 def _(spark, d):
     w = dict(zip(K.DIMENSIONS, K.GENRE_PRESETS["wedding"]))
@@ -193,12 +193,12 @@ def _(spark, d):
     return rows.select("doc_id", F.md5(prompt).alias("prompt_md5"))
 
 
-@query("discovery_prompt", "", "SELECT doc_id, (doc_id % 8 + 1) || ' sample image' || CASE WHEN doc_id % 8 <> 0 THEN 's' ELSE '' END || ' of a ' || lang || ' shoot follow. In two or three sentences, say what the shoot shows and what its best pictures have.' AS prompt FROM documents")
+@query("discovery_prompt", "", "SELECT doc_id, 'genre: ' || lang || chr(10) || 'samples: ' || (doc_id % 8 + 1) || chr(10) || 'reply: a short description of the set' AS prompt FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.discovery_prompt(F.col("lang"), F.col("doc_id") % 8 + 1).alias("prompt"))
 
 
-@query("tagging_prompt", "assets", """SELECT doc_id, 'Give 5 to 10 lower-case keywords for each of ' || CASE WHEN doc_id % 2 = 0 THEN '1 image' ELSE '2 images' END || '. Answer with one JSON object only: these file names as keys, arrays of strings as values.' || chr(10) || '"' || filename || '"' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ',' || chr(10) || '"x.jpg"' END AS prompt FROM assets""")
+@query("tagging_prompt", "assets", """SELECT doc_id, 'files: ' || CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END || chr(10) || 'reply: one JSON object, file name to a list of keywords' || chr(10) || '"' || filename || '"' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ',' || chr(10) || '"x.jpg"' END AS prompt FROM assets""")
 def _(spark, d):
     names = F.when(F.col("doc_id") % 2 == 0, F.array("filename")).otherwise(F.array("filename", F.lit("x.jpg")))
     return V.assets(spark, d).select("doc_id", X.tagging_prompt(names).alias("prompt"))
@@ -233,12 +233,12 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(t, " ").alias("tokens"), F.size(t).alias("n"))
 
 
-@query("ignore_patterns", "", r"""SELECT page_id, count(*)::INTEGER AS n, string_agg(l, '|' ORDER BY i) AS first_lines FROM (
+@query("ignore_patterns", "", r"""SELECT page_id, count(l)::INTEGER AS n, coalesce(string_agg(l, '|' ORDER BY i), '') AS first_lines FROM pages LEFT JOIN (SELECT * FROM (
 SELECT page_id, trim(l) AS l, i FROM (SELECT page_id, unnest(string_split(replace(html, '>', '>' || chr(10)), chr(10))) AS l, generate_subscripts(string_split(replace(html, '>', '>' || chr(10)), chr(10)), 1) AS i FROM pages))
-WHERE l <> '' AND NOT starts_with(l, '#') GROUP BY page_id""")
+WHERE l <> '' AND NOT starts_with(l, '#')) USING (page_id) GROUP BY page_id""")
 def _(spark, d):
     lines = P.ignore_patterns(F.replace(F.col("html"), F.lit(">"), F.lit(">\n")))
-    return table(spark, d, "pages").select("page_id", F.size(lines).alias("n"), F.array_join(lines, "|").alias("first_lines")).where("n > 0")
+    return table(spark, d, "pages").select("page_id", F.size(lines).alias("n"), F.array_join(lines, "|").alias("first_lines"))
 
 
 GLOBS = ("*/src1?.example/*", "**/p*[02468].html", "*7*", "https:**[!a]", "(x+y)[")
@@ -294,6 +294,11 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", N.human_bytes(b).alias("size"))
 
 
+@query("durations", "", "SELECT event_id, CASE WHEN event_id * 7 >= 1000 THEN printf('%.2f s', s + CASE WHEN s * 8 = floor(s * 8) AND floor(s * 8) % 2 = 1 THEN 1e-9 ELSE 0 END) ELSE (event_id * 7) || ' ms' END AS text FROM (SELECT event_id, event_id * 7 / 1000.0::DOUBLE AS s FROM events)")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", N.duration_text(F.col("event_id") * 7).alias("text"))
+
+
 @query("base_url", "", r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || '/v2' ELSE regexp_replace(url, '/+$', '') || '/v1' END AS base FROM pages""")
 def _(spark, d):
     u = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/v2//"))).otherwise(F.concat(F.lit(" "), "url", F.lit("/")))
@@ -357,10 +362,10 @@ def _(spark, d):
     return V.scores(spark, d).select("doc_id", N.score_band(F.col("total")).alias("band"))
 
 
-@query("default_profile_name", "scores", "SELECT s.doc_id, upper(genre[1]) || genre[2:] || ' — ' || strftime(o_orderdate, '%B %Y') AS name FROM scores s JOIN orders ON o_orderkey = s.doc_id")
+@query("default_profile_name", "scores", "SELECT s.doc_id, upper(genre[1]) || genre[2:] || ' — ' || strftime(o_orderdate, '%B %Y') AS name FROM scores s LEFT JOIN orders ON o_orderkey = s.doc_id")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
-    return V.scores(spark, d).join(o, "doc_id").select("doc_id", X.profile_name(F.col("genre"), F.col("o_orderdate")).alias("name"))
+    return V.scores(spark, d).join(o, "doc_id", "left").select("doc_id", X.profile_name(F.col("genre"), F.col("o_orderdate")).alias("name"))
 
 
 @query("thumbnail_path", "assets", "SELECT doc_id, 'thumbnails/' || image_id || '.jpg' AS thumb FROM assets")
@@ -386,5 +391,6 @@ def _(spark, d):
     s = V.scores(spark, d)
     m = s.select("folder", F.create_map("image_id", "total").alias("m"))
     extra = s.select("folder").distinct().select("folder", F.create_map(F.lit("extra"), F.lit(-1.0)).alias("m"))
-    both = m.unionByName(extra).select("folder", F.map_from_entries(F.map_entries("m")).alias("m"))
-    return both.select("folder", F.explode("m").alias("image_id", "total"))
+    record = F.transform_values("m", lambda k, v: F.struct(v.alias("total")))
+    sessions = m.unionByName(extra).select(F.col("folder").alias("session_id"), record.alias("scores"))
+    return scores_to_map_rows(sessions).select(F.col("session_id").alias("folder"), "image_id", "total")

@@ -8,7 +8,7 @@ from keepsift.operators.ranking import newest_n
 from keepsift.plans import views as V
 from keepsift.plans.q_rollups import stored_tiers, tiered
 from keepsift.plans.q_scalars import NOW, now
-from keepsift.plans.registry import query
+from keepsift.plans.registry import positions, query
 from keepsift.plans.views import js_round_sql, table
 
 
@@ -185,14 +185,14 @@ def _(spark, d):
     return O.running(ordered, [F.col("key"), F.col("path")], number="position").select("doc_id", "position")
 
 
-@query("order_by_tier_score", "tiered", "SELECT doc_id, tier, total FROM tiered ORDER BY CASE tier WHEN 'S' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, total DESC, image_id")
+@query("order_by_tier_score", "tiered", "SELECT doc_id, tier, total, row_number() OVER (ORDER BY CASE tier WHEN 'S' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, total DESC, image_id) AS position FROM tiered")
 def _(spark, d):
-    return O.order_by_tier_score(tiered(spark, d)).select("doc_id", "tier", "total")
+    return positions(O.order_by_tier_score(tiered(spark, d)).select("doc_id", "tier", "total"))
 
 
-@query("order_by_total", "scores", "SELECT doc_id, total FROM scores ORDER BY total DESC, image_id")
+@query("order_by_total", "scores", "SELECT doc_id, total, row_number() OVER (ORDER BY total DESC, image_id) AS position FROM scores")
 def _(spark, d):
-    return O.order_by_total(V.scores(spark, d)).select("doc_id", "total")
+    return positions(O.order_by_total(V.scores(spark, d)).select("doc_id", "total"))
 
 
 @query("recent_list", "", "SELECT event_type AS kind, user_id AS value, epoch_us(last_used) AS last_us FROM (SELECT event_type, user_id, max(ts) AS last_used, row_number() OVER (PARTITION BY event_type ORDER BY max(ts) DESC, user_id) AS rn FROM events GROUP BY event_type, user_id) WHERE rn <= 10")
@@ -215,20 +215,20 @@ def _(spark, d):
     return O.trimmed_sessions(table(spark, d, "orders"), 5, ["o_custkey"])
 
 
-@query("profiles_newest", "", "SELECT c_custkey AS id, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
+@query("profiles_newest", "", "SELECT c_custkey AS id, c_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS position FROM customer")
 def _(spark, d):
     p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", F.col("c_acctbal").alias("created_at"))
-    return O.profiles_newest(p).select("id", "c_name")
+    return positions(O.profiles_newest(p).select("id", "c_name"))
 
 
-@query("rank_by_match", "catalog", "SELECT page_id, model, CASE WHEN lower(model) = 'gpt-4-1' THEN 0 WHEN starts_with(lower(model), 'gpt-4-1') THEN 1 ELSE 2 END::INTEGER AS match_rank FROM catalog WHERE contains(lower(model), 'gpt-4-1')")
+@query("rank_by_match", "catalog", "SELECT model, match_rank, row_number() OVER (ORDER BY match_rank, model) AS position FROM (SELECT model, CASE WHEN lower(model) = 'gpt-4-1' THEN 0 WHEN starts_with(lower(model), 'gpt-4-1') THEN 1 ELSE 2 END::INTEGER AS match_rank FROM catalog WHERE contains(lower(model), 'gpt-4-1'))")
 def _(spark, d):
-    return O.rank_by_match(V.catalog(spark, d), " GPT-4-1 ").select("page_id", "model", "match_rank")
+    return O.rank_by_match(V.catalog(spark, d), " GPT-4-1 ").select("model", "match_rank").transform(positions)
 
 
-@query("preferred_first", "catalog", "SELECT page_id, model, starts_with(lower(model), 'llava') OR starts_with(lower(model), 'moondream') AS preferred FROM catalog")
+@query("preferred_first", "catalog", "SELECT model, preferred, row_number() OVER (ORDER BY preferred DESC, model) AS position FROM (SELECT model, starts_with(lower(model), 'llava') OR starts_with(lower(model), 'moondream') AS preferred FROM catalog)")
 def _(spark, d):
-    return O.preferred_first(V.catalog(spark, d)).select("page_id", "model", "preferred")
+    return positions(O.preferred_first(V.catalog(spark, d)).select("model", "preferred"))
 
 
 @query("selection_check", "assets", "SELECT folder, 50::BIGINT AS requested, count(*) AS available, count(*) < 50 AS fewer_than_requested FROM assets GROUP BY folder")

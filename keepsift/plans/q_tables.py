@@ -87,12 +87,12 @@ def _(spark, d):
     return S.append_history(old, new, K.HISTORY_KEEP_ON_APPEND).select("session_id")
 
 
-@query("export_results_json", "tiered rolled", f"""SELECT filename, tier, total AS score, {_DIMS}, reasoning, coalesce(array_to_string(keywords, ';'), '') AS keywords, has_faces AS detected, face_count AS n_faces, eyes_open, blink_detected FROM tiered JOIN rolled ON rolled.image_id = tiered.doc_id""")
+@query("export_results_json", "tiered rolled", f"""SELECT filename, tier, total AS score, {_DIMS}, reasoning, coalesce(array_to_string(keywords, ';'), '') AS keywords, has_faces AS detected, face_count AS n_faces, eyes_open, blink_detected, row_number() OVER (ORDER BY CASE tier WHEN 'S' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, total DESC, tiered.image_id) AS position FROM tiered JOIN rolled ON rolled.image_id = tiered.doc_id""")
 def _(spark, d):
     f = V.rolled_faces(spark, d).drop("exceeds_face_limit").withColumnRenamed("image_id", "doc_id")
     out = X.results_rows(tiered(spark, d).join(f, "doc_id"))
-    return out.select(
-        "filename", "tier", "score", "scores.*", "reasoning", F.array_join("keywords", ";").alias("keywords"), F.col("faces.detected").alias("detected"),
+    return positions(out).select(
+        "position", "filename", "tier", "score", "scores.*", "reasoning", F.array_join("keywords", ";").alias("keywords"), F.col("faces.detected").alias("detected"),
         F.col("faces.count").alias("n_faces"), F.col("faces.eyesOpen").alias("eyes_open"), F.col("faces.blinkDetected").alias("blink_detected"),
     )
 

@@ -34,4 +34,4 @@ def positions(ordered: DataFrame) -> DataFrame:
 
 def load() -> None:
     """Import all modules that register queries."""
-    from keepsift.plans import q_cull, q_filters, q_inference, q_joins, q_rollups, q_scalars, q_selection, q_similarity, q_streaming, q_tables  # noqa: F401
+    from keepsift.plans import q_cull, q_files, q_filters, q_inference, q_joins, q_rollups, q_scalars, q_selection, q_similarity, q_streaming, q_tables  # noqa: F401

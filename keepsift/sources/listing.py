@@ -17,48 +17,56 @@ from keepsift.operators.filters import filter_extensions, filter_hidden, filter_
 from keepsift.operators.ordering import order_by_basename
 from keepsift.session import store
 
-LISTING = "path string, is_dir boolean, length bigint, modified_us bigint"
+LISTING = "path string, is_dir boolean, length bigint, modified_us bigint, error string"
 
 
-def list_files(spark: SparkSession, root: str, recursive: bool = True, tasks: int | None = None) -> DataFrame:
+def list_files(
+    spark: SparkSession, root: str, recursive: bool = True, tasks: int | None = None, errors: bool = False
+) -> DataFrame:
     """(path, length, modified_us, relative_path, filename) of all files below `root`.
 
     Folders are listed level by level, each level as one Spark job over its folders, with the
     file systems pyarrow knows (local, hdfs://, s3://, gs://). Unlike Spark's file sources this
     keeps names that start with `_`. For collections with a manifest table use `from_manifest`.
+
+    A folder that may not be read, or went meanwhile, has no files; with `errors` it comes out as a row with an
+    `error`. Any other failure, a time-out or throttling, fails the task and so is tried again or ends the job.
     """
     base = root.rstrip("/")
-    level = spark.createDataFrame([(base, True, 0, 0)], LISTING)
+    level = spark.createDataFrame([(base, True, 0, 0, None)], LISTING)
     found = []
     while True:
         dirs = level.where("is_dir").select("path")
         spread = dirs.repartition(tasks or spark.sparkContext.defaultParallelism, "path")
         level = store(spread.mapInPandas(_list_dirs, LISTING), "listing")
-        found.append(level.where("NOT is_dir"))
+        found.append(level.where("NOT is_dir" if errors else "NOT is_dir AND error IS NULL"))
         deeper = level.where("is_dir")
         if not recursive or deeper.isEmpty():
             break
         # Hidden folders are pruned before they are listed.
         level = deeper.where(~F.col("path").rlike(r"/\.[^/]*$"))
-    return from_manifest(reduce(DataFrame.unionByName, found).drop("is_dir"), base)
+    listed = reduce(DataFrame.unionByName, found).drop("is_dir", *([] if errors else ["error"]))
+    return from_manifest(listed, base)
 
 
 def _list_dirs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
+    columns = ["path", "is_dir", "length", "modified_us", "error"]
     for pdf in batches:
         for folder in pdf["path"]:
             system, local = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
             prefix = folder[: len(folder) - len(local)] if "://" in folder else ""
             try:
                 infos = system.get_file_info(fs.FileSelector(local))
-            except (OSError, PermissionError):
-                continue  # unreadable folders are passed over
+            except (PermissionError, FileNotFoundError) as e:
+                yield pd.DataFrame([(folder, False, 0, 0, f"{type(e).__name__}: {e}")], columns=columns)
+                continue
             rows = [
-                (prefix + i.path, i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) // 1000) for i in infos
+                (prefix + i.path, i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) // 1000, None) for i in infos
             ]
             for at in range(0, len(rows), 10_000):
-                yield pd.DataFrame(rows[at : at + 10_000], columns=["path", "is_dir", "length", "modified_us"])
+                yield pd.DataFrame(rows[at : at + 10_000], columns=columns)
 
 
 def from_manifest(manifest: DataFrame, root: str) -> DataFrame:
@@ -109,35 +117,34 @@ def asset_columns(files: DataFrame) -> DataFrame:
     )
 
 
-CONTENT = "image_id string, content binary, error string"
+CONTENT = [T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
 
 
 def read_contents(assets: DataFrame) -> DataFrame:
-    """(image_id, content, error) by reading each path in the tasks; one row at a time in memory."""
+    """The rows with content and error by reading each path in the tasks; one file at a time in memory.
+    The bytes go on with their row, so they are neither read again nor shuffled to meet it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
+            for at, path in enumerate(pdf["path"]):
                 content, error = None, None
                 try:
-                    system, local = (
-                        fs.FileSystem.from_uri(r.path) if "://" in r.path else (fs.LocalFileSystem(), r.path)
-                    )
+                    system, local = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
                     with system.open_input_stream(local) as f:
                         content = f.read()
                 except Exception as e:  # noqa: BLE001 - a bad file must not stop the others
                     error = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"image_id": [r.image_id], "content": [content], "error": [error]})
+                yield pdf.iloc[at : at + 1].assign(content=[content], error=[error])
 
-    return assets.select("image_id", "path").mapInPandas(run, CONTENT)
+    return assets.mapInPandas(run, T.StructType([*assets.schema.fields, *CONTENT]))
 
 
 def load_assets(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(assets with content and size, rejected with error). Bytes are read for listed rows only."""
-    rows = asset_columns(files)
-    read = rows.join(read_contents(rows), "image_id")
+    """(assets with content and size, rejected with error). Bytes are read for listed rows only, once for each
+    of the two that is used; to use both, store `read_contents(asset_columns(files))` and split it."""
+    read = read_contents(asset_columns(files))
     good = read.where("error IS NULL").drop("error")
     dims = image_dimensions(F.col("content"))
     good = good.withColumn("_d", dims).withColumns({"width": F.col("_d.width"), "height": F.col("_d.height")}).drop("_d")

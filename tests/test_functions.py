@@ -131,9 +131,9 @@ def test_prompts(spark):
     w = K.GENRE_PRESETS["wedding"]
     prompt = X.scoring_prompt(F.lit("IMG_001.jpg"), F.lit("wedding"), F.lit("A wedding shoot"), F.lit(""), lambda d: F.lit(w[K.DIMENSIONS.index(d)]), faces)
     a, b = one(spark, prompt, X.discovery_prompt(F.lit("wedding"), F.lit(6)))
-    assert "A wedding shoot" in a and "IMG_001.jpg" in a and "quality (weight 20%)" in a and "Face count: 2" in a
+    assert "A wedding shoot" in a and "IMG_001.jpg" in a and "quality: weight 20" in a and "faces: 2" in a
     assert all(d in a for d in K.DIMENSIONS)
-    assert "6 sample image" in b and "wedding" in b
+    assert "samples: 6" in b and "wedding" in b
 
 
 def test_retry_after(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsift.functions import paths as P
-from keepsift.operators.ranking import running
+from keepsift.operators.ranking import SPLIT_ROWS, groups_fit, running
 from keepsift.operators.tiers import keepers
 from keepsift.session import store
 
@@ -43,11 +43,14 @@ def dedupe_filenames(files: DataFrame, existing: DataFrame | None = None, **opti
     keeps = marked.where(F.col("_keeps")).select(*files.columns, F.col("filename").alias("out_name"))
     rest = marked.where(F.col("_keeps").isNull()).drop("_keeps")
 
-    ranked = running(rest, [F.col("path")], ["base", "ext"], number="_r", **options)
     names = rest.select("base", "ext").distinct()
-    taken = (
-        _numbered(here.union(first.select("filename"))).distinct().join(names, ["base", "ext"], "left_semi")
+    taken = store(
+        _numbered(here.union(first.select("filename"))).distinct().join(names, ["base", "ext"], "left_semi"), "taken"
     )
+    keys = rest.select("base", "ext").unionByName(taken.select("base", "ext"))
+    if "parts" not in options and groups_fit(keys, ["base", "ext"], options.get("split_rows", SPLIT_ROWS)):
+        options = {**options, "fits": True}  # files and taken suffixes of a name together, so each of them as well
+    ranked = running(rest, [F.col("path")], ["base", "ext"], number="_r", **options)
     taken = running(taken, [F.col("k")], ["base", "ext"], number="_j", **options)
     # A taken suffix k_j shifts every file with r > k_j - j.
     both = ranked.select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,27 @@ def work_dir(spark: SparkSession) -> str:
     return made
 
 
+RUN_DIR = "keepsift.run.dir"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for all tables that are stored meanwhile; it is removed at the end.
+
+    Results that read them have to be written, or collected, before that.
+    """
+    path, before = f"{work_dir(spark)}/run-{uuid.uuid4().hex}", spark.conf.get(RUN_DIR, None)
+    spark.conf.set(RUN_DIR, path)
+    try:
+        yield path
+    finally:
+        spark.conf.unset(RUN_DIR)
+        if before:
+            spark.conf.set(RUN_DIR, before)
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -47,7 +70,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     that depends on the partition (a partition id) is the same for every reader.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.conf.get(RUN_DIR, None) or work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -254,3 +254,16 @@ def test_clearing_a_session_removes_what_came_before(spark):
     rows = [("a", 1, "context", "old"), ("a", 2, "cleared", None), ("a", 3, "status", "running"), ("b", 1, "status", "x"), ("b", 2, "cleared", None)]
     got = session_state(spark.createDataFrame(rows, "session_id string, seq bigint, field string, value string")).collect()
     assert [(r.session_id, r.status, r.context) for r in got] == [("a", "running", None)]
+
+
+def test_run_folder_is_removed(spark):
+    import os
+
+    from keepsift.session import run_folder, store
+
+    with run_folder(spark) as path:
+        with run_folder(spark) as inner:
+            assert store(spark.range(3), "x").inputFiles()[0].count(inner) == 1
+        assert not os.path.exists(inner)
+        assert path in store(spark.range(3), "x").inputFiles()[0]
+    assert not os.path.exists(path) and path not in store(spark.range(1), "x").inputFiles()[0]

@@ -263,11 +263,15 @@ def _unreadable(status: Column, body: Column) -> Column:
 
 
 def summarise_sample(
-    assets: DataFrame, order: list[Column], call: Callable[[list[dict]], str], reference: dict | None = None
+    assets: DataFrame,
+    order: list[Column],
+    call: Callable[[list[dict]], str],
+    reference: dict | None = None,
+    narrow: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add `context`: one text about 5 to 8 evenly spaced assets (and an optional reference item,
     first). A failing call gives an empty text. The text reaches the rows as a scalar subquery."""
-    sample = evenly_spaced_sample(assets, order)
+    sample = evenly_spaced_sample(assets, order, narrow=narrow)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for pdf in batches for r in pdf.to_dict("records")]

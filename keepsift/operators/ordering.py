@@ -72,13 +72,19 @@ def sample_size(n: Column) -> Column:
     return F.least(F.lit(K.SAMPLE_MAX), F.greatest(F.lit(K.SAMPLE_MIN), F.ceil(n * F.lit(K.SAMPLE_SHARE))))
 
 
-def evenly_spaced_sample(assets: DataFrame, order: Sequence[Column], by: Sequence[str] = (), **options) -> DataFrame:
+def evenly_spaced_sample(
+    assets: DataFrame, order: Sequence[Column], by: Sequence[str] = (), narrow: Sequence[str] = (), **options
+) -> DataFrame:
     """5 to 8 rows at even distances, first and last included; all rows when there are fewer.
 
+    `narrow` names the columns that `order` uses, a unique id first: then only these are numbered, and the few rows
+    that are sampled look up the rest.
+
     Adds `sample_no` from 0. Only the sampled row numbers meet the rows: a row tests itself
     against the (at most 8) positions of its group.
     """
-    numbered = running(assets, order, by, number="_no", **options)
+    some = assets.select(*dict.fromkeys([*narrow, *by])) if narrow else assets
+    numbered = running(some, order, by, number="_no", **options)
     sizes = numbered.groupBy(*by).agg(F.max("_no").alias("_n"))
     k = sample_size(F.col("_n"))
     places = sizes.select(
@@ -96,7 +102,11 @@ def evenly_spaced_sample(assets: DataFrame, order: Sequence[Column], by: Sequenc
     places = places.withColumn("_no", F.col("_at") + 1).drop("_at")
     if not by:
         places = F.broadcast(places)  # at most 8 rows
-    return numbered.join(places, [*by, "_no"]).select(*assets.columns, "sample_no")
+    sampled = numbered.join(places, [*by, "_no"])
+    if not narrow:
+        return sampled.select(*assets.columns, "sample_no")
+    few = sampled.select(narrow[0], "sample_no")
+    return assets.join(few if by else F.broadcast(few), narrow[0]).select(*assets.columns, "sample_no")
 
 
 def page_of(rows: DataFrame, order: Sequence[Column], columns: int, **options) -> DataFrame:

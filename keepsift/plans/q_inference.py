@@ -134,7 +134,7 @@ def _(spark, d):
     def call(rows):
         return "+".join(r["filename"] for r in rows)
 
-    out = I.summarise_sample(V.assets(spark, d), [F.col("filename"), F.col("path")], call, {"filename": "ref", "sample_no": -1})
+    out = I.summarise_sample(V.assets(spark, d), [F.col("filename"), F.col("path")], call, {"filename": "ref", "sample_no": -1}, ("doc_id", "filename", "path"))
     return out.select("doc_id", "context")
 
 

@@ -102,12 +102,12 @@ WHERE i < k AND rn = CASE WHEN k >= n THEN i ELSE floor(i * (n - 1)::DOUBLE / (k
 
 @query("evenly_spaced_sample", "assets", _SAMPLE.format(p="1"))
 def _(spark, d):
-    return O.evenly_spaced_sample(V.assets(spark, d), [F.col("filename"), F.col("path")]).select("doc_id", "sample_no")
+    return O.evenly_spaced_sample(V.assets(spark, d), [F.col("filename"), F.col("path")], narrow=("doc_id", "filename", "path")).select("doc_id", "sample_no")
 
 
 @query("evenly_spaced_sample_by_folder", "assets", _SAMPLE.format(p="folder"))
 def _(spark, d):
-    return O.evenly_spaced_sample(V.assets(spark, d), [F.col("filename"), F.col("path")], ["folder"]).select("doc_id", "sample_no")
+    return O.evenly_spaced_sample(V.assets(spark, d), [F.col("filename"), F.col("path")], ["folder"], ("doc_id", "filename", "path")).select("doc_id", "sample_no")
 
 
 _NAMES = r"""WITH f AS (SELECT doc_id, path, CASE WHEN doc_id % 37 = 5 THEN regexp_replace(filename, '(\.[^.]*)$', '_' || (doc_id % 4 + 1) || '\1') ELSE filename END AS filename FROM assets),

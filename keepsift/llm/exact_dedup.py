@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keepsift.llm.common import integral, lower_ascii
 from keepsift.session import store
 
-#: Reducers that share the copies of one text. Map-side combining already leaves one row per text, task and salt.
+#: Reducers that share the copies of one text. Tasks combine their own copies first: one row per text and task.
 SALTS = 16
 
 
@@ -39,8 +39,9 @@ def exact_dedup(
     text = lower_ascii(df[text_col])
     rows = df.select(integral(df, id_col).alias("doc_id"), text.alias("norm")).withColumn("digest", digest(F.col("norm")))
 
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
-    merged = rows.groupBy("digest", salt.alias("salt"), "norm").agg(
+    # The rows of a task share a salt, so that all its copies of a text meet before the shuffle. Any salt is right.
+    salted = rows.withColumn("salt", F.spark_partition_id() % salts)
+    merged = salted.groupBy("digest", "salt", "norm").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
     groups = (

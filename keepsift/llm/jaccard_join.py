@@ -30,7 +30,7 @@ SEEN_BY_TASK, LEAST_COMMON = 2, 4
 #: Members of a component that stand for it before a document that shares a minimum with it.
 DELEGATES = 4
 #: Tokens that a task counts at once when it looks for common ones.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 #: Hashes that choose the first partner of a document.
 SEEDS = tuple(0x9E3779B97F4A7C15 * i & (2**64 - 1) for i in range(1, 7))
 _FOLD = np.arange(256, dtype=np.uint8)

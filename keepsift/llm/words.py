@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds a task's memory. A longer text is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 #: The bytes between words: space and 09-0D. All other bytes, of any character, belong to words.
 _IN_WORD = np.ones(256, bool)

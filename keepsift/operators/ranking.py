@@ -6,11 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepsift.session import store
 
 # Largest group a single task may sort; larger ones are split by range.
 SPLIT_ROWS = 1_000_000
+# ... and the texts and binaries it may carry along.
+SPLIT_BYTES = 512 << 20
 
 
 def running(
@@ -65,10 +68,12 @@ def running(
 
 
 def groups_fit(df: DataFrame, by: Sequence[str], split_rows: int = SPLIT_ROWS) -> bool:
-    """Whether no group of `by` (or the input, without `by`) has more than `split_rows` rows."""
-    if not by:
-        return df.count() <= split_rows
-    return (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= split_rows
+    """Whether no group of `by` (or the input, without `by`) has more than `split_rows` rows or, in its texts and
+    binaries, `SPLIT_BYTES`."""
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = sum(wide[1:], wide[0]).cast("bigint") if wide else F.lit(0).cast("bigint")
+    most = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).agg(F.max("rows"), F.max("bytes")).first()
+    return (most[0] or 0) <= split_rows and (most[1] or 0) <= SPLIT_BYTES
 
 
 def _local(df, group, order, sums, maxima, number) -> DataFrame:

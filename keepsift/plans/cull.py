@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from keepsift.operators.filters import split_face_limit
 from keepsift.operators.grouping import group_duplicates, representatives
-from keepsift.operators.joins import apply_weights, unscored_assets
+from keepsift.operators.inference import batch_tag
+from keepsift.operators.joins import apply_weights, attach_keywords, unscored_assets
+from keepsift.operators.naming import export_keepers
 from keepsift.operators.rollups import face_rollup, shortfall_reasons
 from keepsift.operators.sets import existing_plus_new
 from keepsift.operators.tiers import apply_overrides, assign_tiers, fill_shortfall
 from keepsift.session import store
 from keepsift.settings import Settings
+from keepsift.sinks.exports import sidecars
 from keepsift.sources.listing import scan_assets
 
 
@@ -81,3 +84,36 @@ def cull(
     verdicts = tiers.select("image_id", "total", "tier", "exceeds_face_limit", failed.alias("face_error"))
     labelled = members.join(verdicts, "image_id", "left")
     return Cull(members, tiers, shortfall_reasons(labelled))
+
+
+@dataclass
+class Finished:
+    scores: DataFrame  # with the keywords of the best keepers
+    sidecars: DataFrame | None  # a document per score, for `write_sidecars`
+    copies: DataFrame | None  # the copy plan of the keepers, for `copy_files`
+
+
+def finish(
+    run: Cull,
+    settings: Settings,
+    source_root: str,
+    target_root: str,
+    tag: Callable[[dict], object] | None = None,
+    existing: DataFrame | None = None,
+    **calls,
+) -> Finished:
+    """What follows the tiers: keywords for the best keepers, sidecar documents and the copy plan, as far as the
+    settings ask for them. `calls` goes to the tagger (concurrency, sleep)."""
+    scores = run.scores
+    for name, kind in (("reasoning", "string"), ("keywords", "array<string>")):
+        if name not in scores.columns:
+            scores = scores.withColumn(name, F.lit(None).cast(kind))
+    if settings.enable_auto_tagging and tag is not None:
+        tags = batch_tag(scores, tag, settings.tag_top_percent, **calls)
+        scores = store(attach_keywords(scores, tags), "tagged")
+    documents = sidecars(scores, run.members) if settings.enable_sidecars else None
+    copies = None
+    if settings.export_mode == "copyToOutput":
+        flat = not settings.preserve_subfolders
+        copies = export_keepers(scores, source_root, target_root, preserve=not flat, **({"existing": existing} if flat else {}))
+    return Finished(scores, documents, copies)

@@ -1,10 +1,12 @@
 """Whole runs over the documents."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from keepsift import constants as K
 from keepsift.plans import views as V
-from keepsift.plans.cull import cull
+from keepsift.plans.cull import cull, finish
 from keepsift.plans.q_filters import _EXT, _SUPPORTED
 from keepsift.plans.q_similarity import _components_sql
 from keepsift.plans.registry import query
@@ -50,3 +52,30 @@ def _(spark, d):
 (SELECT count(*) FROM reps WHERE NOT rep) AS burst_grouped, count(*) FILTER (tier IN ('S','A')) AS final_selected, count(*) FILTER (tier = 'S') AS selected_s FROM done""")
 def _(spark, d):
     return run(spark, d).reasons
+
+
+FINISH = replace(SETTINGS, enable_sidecars=True, enable_auto_tagging=True)
+
+
+def finished(spark, d):
+    from keepsift.plans.q_inference import mock_tags
+
+    return finish(run(spark, d), FINISH, V.ROOT, "/out", mock_tags, sleep=lambda s: None)
+
+
+_KEPT = "(SELECT done.*, path, filename FROM done JOIN cull_in USING (doc_id))"
+
+
+@query("cull_copies", "cull_in", _RUN + f"""SELECT image_id, path AS src_path, '/out/' || CASE WHEN rk = 1 THEN filename ELSE regexp_replace(filename, '(\\.[^.]*)$', '_' || (rk - 1) || '\\1') END AS dest_path
+FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY path) AS rk FROM {_KEPT} WHERE tier IN ('S','A'))""")
+def _(spark, d):
+    return finished(spark, d).copies
+
+
+@query("cull_sidecars", "cull_in", _RUN + f"""SELECT s.image_id, regexp_replace(path, '\\.[^./]*$', '') || '.xmp' AS sidecar_path, CASE tier WHEN 'S' THEN 5 WHEN 'A' THEN 4 WHEN 'B' THEN 3 ELSE 1 END AS rating, tagged AND NOT starts_with(filename, 'DSC_') AS has_keywords
+FROM (SELECT *, tier IN ('S','A') AND row_number() OVER (PARTITION BY tier IN ('S','A') ORDER BY total DESC, image_id) <= greatest(1, ceil((count(*) OVER (PARTITION BY tier IN ('S','A'))) * (20 / 100.0::DOUBLE))) AS tagged FROM {_KEPT}) s""")
+def _(spark, d):
+    xml = F.col("xml")
+    return finished(spark, d).sidecars.select(
+        "image_id", "sidecar_path", F.regexp_extract(xml, r"Rating>(\d)", 1).cast("int").alias("rating"), xml.contains("<dc:subject>").alias("has_keywords")
+    )

@@ -312,13 +312,19 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     met = store(met.join(of_class, "id").distinct(), "postings")
     held = met.groupBy("token", "group").agg(F.count(F.lit(1)).alias("rows"))
     largest = held.groupBy("token").agg(F.max_by("group", F.struct("rows", "group")).alias("largest"), F.count(F.lit(1)).alias("groups"))
-    tokens = store(met.join(largest.where("groups > 1").drop("groups"), "token"), "tokens")
+    tokens = met.join(largest.where("groups > 1").drop("groups"), "token")
+    # Tokens that nobody in another group has are gone, so `alive` bounds what may be shared before a place. Too many
+    # that are gone leave a document too few for any partner.
+    alive = F.row_number().over(W.partitionBy("id").orderBy("place")) - 1
+    tokens = tokens.withColumn("alive", alive).where(f"{DENOMINATOR} * (alive + n - place) >= {NUMERATOR} * n")
+    tokens = store(tokens, "tokens")
     x = tokens.where("group <> largest").alias("x")
     y = tokens.alias("y")
     small_first = F.expr("x.n < y.n OR (x.n = y.n AND x.id < y.id)")
     fits = F.expr(
         f"""x.token = y.token AND x.group <> y.group AND (y.group = y.largest OR x.id < y.id)
-        AND {DENOMINATOR} * least(x.n, y.n) >= {NUMERATOR} * greatest(x.n, y.n)"""
+        AND {DENOMINATOR} * least(x.n, y.n) >= {NUMERATOR} * greatest(x.n, y.n)
+        AND {NUMERATOR + DENOMINATOR} * (least(x.alive, y.alive) + least(x.n - x.place, y.n - y.place)) >= {NUMERATOR} * (x.n + y.n)"""
     )
     side = {c: [F.when(small_first, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")) for s, t in (("x", "y"), ("y", "x"))] for c in ("id", "n", "place", "need")}
     pairs = x.join(y, fits).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from keepsift.llm.passages import HOT_RUNS, Shape, covered_words, joined, texts_of, without
+from keepsift.llm.passages import HOT_RUNS, Shape, covered_words, texts_of, without
 
 #: Words of the shortest passage that counts; of the n-grams that select positions; sure to follow a selected position.
 PASSAGE, SELECT, SUFFIX = 50, 5, 20
@@ -47,8 +47,8 @@ def suffix_dedup(
         by_suffix: dict[bytes, list] = {}
         for r in rows:
             by_suffix.setdefault(prefix(r[4], suffix), []).append(r)
-        # A lone suffix stays only if its own text has the words once more.
-        return [r for first, run in by_suffix.items() for r in run if len(run) > 1 or joined(r[3], r[4]).count(first) > 1]
+        # A lone suffix stays only if its own text has the words once more; that place may overlap the first one.
+        return [r for first, run in by_suffix.items() for r in run if len(run) > 1 or r[4].find(first, 1) > 0]
 
     texts = texts_of(df, id_col, text_col)
     shape = Shape(passage, select, passage - suffix + 1, suffix)

@@ -60,6 +60,21 @@ def test_suffix(spark, seed, hot):
     assert got == [(i, *x) for i, x in enumerate(brute(texts, 10))]
 
 
+@pytest.mark.parametrize("period", [16, 17, 18, 19])
+def test_sentences_repeated_back_to_back(spark, period):
+    """Copies of a short sentence in one text overlap one another within the words of a suffix."""
+    texts = []
+    for i in range(60):
+        sentence = [f"s{i}_{j}" for j in range(period)]
+        before, after = ([f"{side}{i}_{j}" for j in range(30)] for side in "ba")
+        texts.append(" ".join([*before, *(sentence * 4)[: period * 4 - i % 2 * (period // 2)], *after]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute(texts, 50)
+    # 64 words of period 16 hold no window of 50 twice; 68 of period 17 do.
+    assert any(x[1] for x in want) == (period > 16)
+    assert rows_of(suffix_dedup(df)) == [(i, *x) for i, x in enumerate(want)]
+
+
 def test_repeated_ids_and_clashing_columns(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(1, long, "x"), (1, long, "y"), (None, long + " tail", "z"), (None, "short", None), (2, None, None)]

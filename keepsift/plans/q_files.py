@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from keepsift.plans.registry import query
 from keepsift.plans.views import table
-from keepsift.session import work_dir
+from keepsift.session import store, work_dir
 from keepsift.sources import listing as L
 from keepsift.sources import sessions as S
 
+#: Documents of one session file, on average at most.
+SESSION_ROWS = 1000
+
 
 def folder(spark, name):
     return f"{work_dir(spark)}/files-{name}-{uuid.uuid4().hex}"
@@ -38,7 +41,9 @@ def write_files(rows, root):
 def _(spark, d):
     # Every fiftieth file is listed but gone.
     root, i = folder(spark, "assets"), F.col("doc_id")
-    docs = table(spark, d, "documents").select(F.concat(F.lit("f"), (i % 7).cast("string"), F.lit("/"), i.cast("string"), F.lit(".jpg")).alias("path"), F.col("text").alias("body"), i)
+    # A thousand ids a folder and a thousand folders in one above them.
+    place = [F.concat(F.lit("f"), F.floor(i / n).cast("string"), F.lit("/")) for n in (1_000_000, 1_000)]
+    docs = table(spark, d, "documents").select(F.concat(*place, i.cast("string"), F.lit(".jpg")).alias("path"), F.col("text").alias("body"), i)
     write_files(docs.where(i % 50 != 7).select("path", "body"), root)
     gone = docs.where(i % 50 == 7).select(F.concat(F.lit(root + "/"), "path").alias("path"), F.lit(0).cast("bigint").alias("length"), F.lit(0).cast("bigint").alias("modified_us"))
     good, bad = L.load_assets(L.list_files(spark, root).unionByName(L.from_manifest(gone, root)))
@@ -51,16 +56,24 @@ def _(spark, d):
 
 @query("read_session", "", "SELECT source AS session_id, doc_id::VARCHAR AS image_id, (doc_id % 101)::DOUBLE AS total FROM documents")
 def _(spark, d):
-    # One document per source; every third main file is broken and its backup counts.
+    # Sessions of some SESSION_ROWS documents of one source; every third main file is broken and its backup counts.
+    # An id is held once by a session, so further rows with it go to sessions of their own; "" stands for no id.
     root, i = folder(spark, "sessions"), F.col("doc_id")
+    ids = store(table(spark, d, "documents").groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("times")), "session-ids")
+    sources = store(ids.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / SESSION_ROWS).alias("sessions")), "session-counts")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("sessions")).alias("part")
+    rows = ids.join(sources, "source").select("source", i, part, F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
     score = F.struct(F.concat(i.cast("string"), F.lit(".jpg")).alias("filename"), (i % 101).cast("double").alias("total"))
-    per = table(spark, d, "documents").groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(i.cast("string"), score))).alias("scores"))
+    entry = F.struct(F.coalesce(i.cast("string"), F.lit("")), score)
+    # Dealt by session, also where the join has dealt by source.
+    per = rows.repartition("source", "part", "copy").groupBy("source", "part", "copy").agg(F.map_from_entries(F.collect_list(entry)).alias("scores"))
     body = F.to_json(F.struct(F.col("source").alias("sessionId"), F.lit("done").alias("status"), "scores"))
-    broken = F.pmod(F.xxhash64("source"), F.lit(3)) == 0
-    main = per.select(F.concat("source", F.lit("/session.json")).alias("path"), F.when(broken, F.lit("{broken")).otherwise(body).alias("body"))
-    backup = per.select(F.concat("source", F.lit("/session.backup.json")).alias("path"), F.when(broken, body).otherwise(F.lit('{"sessionId": "old"}')).alias("body"))
-    write_files(main.unionByName(backup), root)
-    return S.session_scores(S.read_session(spark, root)).select("session_id", "image_id", "total")
+    broken = F.pmod(F.xxhash64("source", "part", "copy"), F.lit(3)) == 0
+    path = F.concat("source", F.lit("/"), F.col("part").cast("string"), F.lit("-"), F.col("copy").cast("string"))
+    main = F.struct(F.concat(path, F.lit("/session.json")).alias("path"), F.when(broken, F.lit("{broken")).otherwise(body).alias("body"))
+    backup = F.struct(F.concat(path, F.lit("/session.backup.json")).alias("path"), F.when(broken, body).otherwise(F.lit('{"sessionId": "old"}')).alias("body"))
+    write_files(per.select(F.inline(F.array(main, backup))), root)
+    return S.session_scores(S.read_session(spark, root)).select("session_id", F.nullif("image_id", F.lit("")).alias("image_id"), "total")
 
 
 @query("read_ignore_file", "", "SELECT trim(line) AS pattern, count(*) AS n FROM (SELECT unnest(['# ' || source, '', '  ' || lang || '/* ', source || '/**']) AS line FROM documents) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') GROUP BY ALL")

@@ -2,6 +2,8 @@
 
 import json
 import struct
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from keepsift import constants as K
 from keepsift.operators.naming import dedupe_filenames, export_keepers
 from keepsift.operators.tiers import assign_tiers
+from keepsift.plans import registry
+from keepsift.session import work_dir
 from keepsift.sinks import exports as X
 from keepsift.sources import listing as L
 from keepsift.sources import sessions as S
@@ -167,3 +171,33 @@ def test_profiles_and_history(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps({"sessionId": "s", "imageCount": 3, "topScore": 91.5}) + "\n")
     assert S.read_profiles(spark, str(tmp_path / "p.json")).first().weights.quality == 10
     assert S.read_history(spark, str(tmp_path / "h.json")).first().topScore == 91.5
+
+
+def stored(spark, d, name):
+    """The rows of a registered query and the folder that it wrote."""
+    before = set(Path(work_dir(spark)).glob("files-*"))
+    rows = registry.QUERIES[name](spark, str(d)).collect()
+    (root,) = set(Path(work_dir(spark)).glob("files-*")) - before
+    return rows, root
+
+
+def test_stored_sessions_are_bounded(spark, tmp_path):
+    registry.load()
+    ids = [*range(3500), 7, 7, 3000, None, None]
+    docs = [(i, "a") for i in ids] + [(i, "b") for i in range(3500, 3510)]
+    spark.createDataFrame(docs, "doc_id long, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows, root = stored(spark, tmp_path, "read_session")
+    want = [(s, None if i is None else str(i), None if i is None else float(i % 101)) for i, s in docs]
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
+    sizes = [len(json.loads(p.read_text()).get("scores", ())) for p in root.rglob("*.json") if p.read_text() != "{broken"]
+    assert sum(sizes) == len(docs) and max(sizes) < 1300
+
+
+def test_stored_assets_are_spread(spark, tmp_path):
+    registry.load()
+    docs = [(i, f"text {i}") for i in range(2500)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows, root = stored(spark, tmp_path, "load_assets")
+    assert sorted(r.doc_id for r in rows) == list(range(2500)) and sum(r.loaded for r in rows) == 2450
+    held = Counter(p.parent for p in root.rglob("*.jpg"))
+    assert len(held) == 3 and max(held.values()) <= 1000

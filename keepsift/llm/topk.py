@@ -20,8 +20,10 @@ CANDIDATES, QUERIES, AT_ONCE = 8192, 4096, 256
 BITS = 8
 
 
-def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, dim, q): components as little-endian 64-bit integers, floor(scale * x); unusable vectors are left out."""
+def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int, k: int) -> DataFrame:
+    """(vec_id, dim, q): components as little-endian 64-bit integers, floor(scale * x); unusable vectors are left out.
+
+    Of equal rows k stay: the k best cannot hold more of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -38,7 +40,8 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
 
     usable = df.select(integral(df, id_col).alias("vec_id"), df[vector_col].alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     rows = usable.mapInArrow(run, "vec_id long, dim int, q binary")
-    return rows.groupBy("vec_id").agg(F.max_by("dim", F.struct("dim", "q")).alias("dim"), F.max_by("q", F.struct("dim", "q")).alias("q"))
+    copies = F.sequence(F.lit(1), F.least(F.count(F.lit(1)), F.lit(k)))
+    return rows.groupBy("vec_id", "dim", "q").agg(copies.alias("copies")).withColumn("mark", F.explode("copies")).select("vec_id", "dim", "q")
 
 
 def _blocks(rows: DataFrame, count: int, most: int, extra: list[str]) -> DataFrame:
@@ -63,7 +66,7 @@ def _blocks(rows: DataFrame, count: int, most: int, extra: list[str]) -> DataFra
         if held:
             yield packed()
 
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count))).select("block", "dim", "vec_id", "q", *extra)
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(count))).select("block", "dim", "vec_id", "q", *extra)
     dealt = placed.repartition("block").sortWithinPartitions("block", "dim", "vec_id")
     return dealt.mapInArrow(run, "block long, dim int, ids binary, q binary" + "".join(f", {c} binary" for c in extra))
 
@@ -112,10 +115,14 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
     top down to their own k-th score only: lower ones cannot hold the global k-th.
 
     Defined cases: vectors that are NULL or hold NULL or non-finite components, and rows with NULL ids, take no part.
-    Of rows that repeat an id the one with the largest components counts. Vectors meet vectors of their own length.
+    Every row is a candidate, also where rows repeat an id, except for queries with that id; of rows that repeat a
+    query's id the one with the largest components asks. Vectors meet vectors of their own length.
     Queries with fewer than k candidates get all; empty tables give no rows; other columns are ignored.
     """
-    rows = store(quantised(df, id_col, vector_col, scale), "vectors")
+    rows = store(quantised(df, id_col, vector_col, scale, k), "vectors")
+    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(
+        F.max_by("dim", F.struct("dim", "q")).alias("dim"), F.max_by("q", F.struct("dim", "q")).alias("q")
+    )
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,7 +137,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", ve
 
     c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))
     candidates = store(_blocks(rows, c_blocks, CANDIDATES, []), "candidate-blocks")
-    state = rows.where(F.col("vec_id") % every == 0).select("vec_id", "dim", "q", F.lit(-bound).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
+    state = asking.select("vec_id", "dim", "q", F.lit(-bound).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
 
     for shift in range(bits - BITS, -1, -BITS):
         wide = 1 << BITS

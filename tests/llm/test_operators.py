@@ -149,6 +149,20 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_takes_every_row(spark):
+    """Rows that repeat an id are candidates of their own; k = 5 of eight equal ones can be among the best."""
+    r = random.Random(6)
+    rows = [(i % 90, [r.choice([-1.0, 0.5, 0.25, 3.0]) for _ in range(4)]) for i in range(300) if i < 90 or i % 90 % 50]
+    rows += [(7, [3.0, 3.0, 3.0, 3.0])] * 8 + [(7, [3.0, 3.0, 3.0, 0.5])] * 2
+    ask = {i: v for i, v in rows if i % 50 == 0}
+    want = []
+    for i, x in ask.items():
+        scored = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(x, y, strict=True)), j) for j, y in rows if j != i)
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert result(topk.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def ranks(name):
     with open(public_tokenizers.path(name), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

@@ -41,6 +41,18 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 
+_BREAK = r"(?:\s|\\[rn])"
+#: A private key from its header to its END line, or without one to the end of the base64 lines; of any length.
+#: Repeats are possessive, which Java matches without recursion.
+_WHOLE_KEY = (
+    MORE[0].pattern
+    + r"(?:[^-]*+(?:-{1,4}(?!-)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    + rf"|(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{20,}}+={{0,2}}+)++"
+    + r"""(?:(?:[ \t]*+\r?+\n|(?:\\r)?+\\n)[A-Za-z0-9+/]++={0,2}+(?![^\s"'\\]))?+)?+"""
+)
+#: What is masked: the same rules, with the body of a private key.
+MASKED = (*BASE, Rule("private_key", _WHOLE_KEY), *MORE[1:])
+
 
 def _strings(op, arg) -> set[str] | None:
     """The lower-cased strings that one element of a parsed pattern matches, or None if there are too many."""
@@ -238,11 +250,12 @@ def scan_secrets(
 
 
 def redact_secrets(
-    df: DataFrame, rules: Sequence[Rule] = (*BASE, *MORE), mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, rules: Sequence[Rule] = MASKED, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The input rows with `mask` in the text for every stretch that spans of any rule cover; other columns as they are.
 
-    Texts without spans stay as they are, NULL included. Spans that overlap are one stretch.
+    Texts without spans stay as they are, NULL included. Spans that overlap are one stretch. A private key is masked
+    as a whole, while `scan_secrets` lists its header.
     """
     rows = _spotted(df, rules, id_col, text_col)
     spans = F.array_sort(F.concat(*[F.col(f"_{r.kind}") for r in rules]))

@@ -118,6 +118,28 @@ def test_secrets_redacted(odd):
     assert result(got, "doc_id", "text") == sorted(((i, brute.redacted(t)) for i, t in odd[0]), key=repr)
 
 
+def test_whole_private_keys_are_masked(spark):
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3/+x9Z" * 6] * 25
+    body = "\n".join([*lines, "Zm9vYmFy"])
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123"
+    cases = [
+        (f"see {head}\n{body}\n{end} after", "see [secret] after"),
+        (f"see {head}\n{body}\nThe text goes on", "see [secret]\nThe text goes on"),
+        (f"{head}\n{info}\n\n{body}==", "[secret]"),
+        (f"{head}\n{info}\n\n{body}\n{end}", "[secret]"),
+        (f'"{head}\\n{body}\n'.replace("\n", "\\n") + f'{end}\\n"', '"[secret]\\n"'),
+        (f"{head} {' '.join(lines)} {end}", "[secret]"),
+        (f"{head}\r\n" + "\r\n".join(lines * 4000) + f"\r\n{end}.", "[secret]."),
+        (f"{head}\n" + "\n".join(lines * 4000) + "\n", "[secret]\n"),
+        (f"a {head} b {head}\n{body}\n{end} c", "a [secret] b [secret] c"),
+        (f"the line {head} starts a key", "the line [secret] starts a key"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    assert [got[i][:200] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_trigram_queries():
     queries = {r.kind: secrets.trigram_query(r.pattern) for r in (*secrets.BASE, *secrets.MORE)}
     assert queries["hex"] == [] and queries["access"] == [[frozenset({"aki", "kia"})]]

@@ -34,10 +34,11 @@ def suffix_dedup(
     Removed are all words of passages of `passage` or more words that occur more than once, in one text or several.
     The suffix array is sparse: of the words among which a passage must begin to match, only the position with the
     smallest hash of `select` words is retained, the same one in every copy, and a passage has at least `suffix` words
-    from there on. Suffixes are dealt by their first words and sorted; neighbours that do not share their first
-    `suffix` words are dropped, and the rest are extended to the left and to the right until the passage ends.
-    A suffix carries its passages' text on both sides, so extending needs no look-up. Suffixes whose first words
-    occur once in all texts are left out before any text moves.
+    from there on. Suffixes are dealt by their first words; one that shares its first `suffix` words with no other is
+    dropped. What is left is not compared with its sorted neighbours and extended: as in substring_dedup, all windows
+    of `passage` words are counted, and those that occur more than once decide. A suffix carries its passages' text on
+    both sides, so this needs no look-up. Suffixes whose first words occur once in all texts are left out before any
+    text moves; where more than `hot_runs` share them, windows are counted over all tasks.
 
     Defined cases: as for substring_dedup. Words are separated by space and 09-0D only; a NULL text has none; rows
     that repeat an id or have none are texts of their own. Empty tables give no rows; other columns are ignored.

@@ -259,7 +259,8 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     """One row per input row: doc_id, n_shingles, class_id (smallest id with the same set), component_id.
 
     Two documents link when the Jaccard similarity of their sets of word shingles is 3/4 or more; a component is what
-    links reach. Equal sets are one class. Three steps find all links that matter:
+    links reach. Equal sets are one class. The result is components, not links: links between different sets within
+    one component of step 1 are neither listed nor counted. Three steps find all links that join components:
 
     1. Every class is paired with the smallest id that shares one of six minima; what does not link with the largest
        component around it is paired with four more of its members. The pairs that link join dense groups of near

@@ -9,7 +9,21 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from keepsift.llm import bpe, exact_dedup, jaccard_join, packing, quality, secrets, sharding, substring_dedup, suffix_dedup, topk
+from keepsift.llm import (
+    bpe,
+    divergence,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    merkle,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    topk,
+)
 from keepsift.llm.sql import ORACLE  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +94,20 @@ def op9_secret_scan(spark, sf_dir):
 @query
 def op10_top_k(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+@query
+def op12_html_extraction(spark, sf_dir):
+    return html_text.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    docs, columns = documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"]
+    out = merkle.merkle_manifest(docs, columns, claimed=merkle.tampered(docs, columns, "doc_id", "text"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")

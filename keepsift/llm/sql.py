@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from keepsift.llm.divergence import LEAST, RANKS, SCALE
+from keepsift.llm.merkle import RUN
 from keepsift.llm.secrets import BASE, MORE
 from keepsift.llm.substring_dedup import WINDOW
 from keepsift.llm.suffix_dedup import PASSAGE
@@ -88,3 +90,87 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGIN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLE["op11_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+l AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= {LEAST}),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN l USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS total FROM l GROUP BY lang),
+p AS (SELECT s.lang, s.source, l.term, coalesce(c.n, 0) AS n, 1 + {SCALE}::HUGEINT * (coalesce(c.n, 0) + 1) // (s.total + v.v) AS p,
+  1 + {SCALE}::HUGEINT * (l.total + 1) // (v.total + v.v) AS q
+  FROM s JOIN v USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = l.term),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+b AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+t AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM b UNION ALL SELECT * FROM t))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= {RANKS}
+"""
+
+#: White space, also beyond ASCII.
+_SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Holds for pages that mark their article, as all pages of the given tables do.
+ORACLE["op12_html_extraction"] = f"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM a),
+x AS (SELECT page_id, url, trim(regexp_replace(t, '{_SPACES}', ' ', 'g'), ' ') AS text FROM d)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM x
+"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || ({c}::VARCHAR), '-')"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a decimal number, bit by bit: a byte goes in before eight steps."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(acc, x) >> 1, (xor(acc, x) & 1) * 3988292384)"
+    return f"xor(list_reduce({steps}, lambda acc, x: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _levels(low: str, way: str, runs: str, group: str, k: int) -> str:
+    """Level k + 1 of a tree from level k (`low`), and the ways of all leaves to it (`way`)."""
+    place = f"i % {RUN}"
+    before, after = f"array_to_string(ds[1:{place}], '')", f"array_to_string(ds[{place} + 2:], '')"
+    return f"""
+{runs}{k} AS (SELECT g, pos // {RUN} AS run, list(digest ORDER BY pos) AS ds, max(n) AS n FROM {low}{k} GROUP BY ALL),
+{low}{k + 1} AS (SELECT g, run AS pos, CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS digest, (n + {RUN - 1}) // {RUN} AS n FROM {runs}{k}),
+{way}{k + 1} AS (SELECT y.* REPLACE (
+  CASE WHEN r.n > 1 THEN sha256({before} || fold || {after}) ELSE fold END AS fold,
+  CASE WHEN r.n > 1 THEN proof || {before} || {after} ELSE proof END AS proof, i // {RUN} AS i)
+  FROM {way}{k} y JOIN {runs}{k} r ON r.g = {group} AND r.run = y.i // {RUN})"""
+
+
+def _merkle(levels: int, groups: int) -> str:
+    """Trees of up to `levels` levels over the leaves of a source, one of up to `groups` levels over the sources."""
+    fields = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    parts = [
+        f"""
+d AS (SELECT *, CASE WHEN {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low FROM documents),
+h AS (SELECT doc_id, source, sha256({" || ".join([*fields, _field("text")])}) AS leaf, sha256({" || ".join([*fields, _field("low")])}) AS claimed FROM d),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) AS n FROM h GROUP BY source),
+x AS (SELECT doc_id, g, leaf, claimed, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS pos, n FROM h JOIN s ON h.source IS NOT DISTINCT FROM s.source),
+l0 AS (SELECT g, pos, leaf AS digest, n FROM x),
+y0 AS (SELECT *, claimed AS fold, '' AS proof, pos AS i FROM x)"""
+    ]
+    parts += [_levels("l", "y", "a", "y.g", k) for k in range(levels)]
+    parts.append(f"""
+m0 AS (SELECT 0 AS g, g AS pos, digest, count(*) OVER () AS n FROM l{levels}),
+z0 AS (SELECT y.* REPLACE (y.g AS i), l.digest AS subroot FROM y{levels} y JOIN l{levels} l USING (g))""")
+    parts += [_levels("m", "z", "b", "0", k) for k in range(groups)]
+    # Each level is read twice, so it is worth keeping.
+    return f"""
+WITH {",".join(parts).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")}
+SELECT z.doc_id, z.leaf, z.subroot, m.digest AS root, sha256(z.proof) AS proof_sha256, z.fold AS folded_root, z.fold = m.digest AS verified
+FROM z{groups} z JOIN m{groups} m ON m.g = 0
+"""
+
+
+#: Room for 16^6 rows of a source and 16^3 sources.
+ORACLE["op13_merkle_manifest"] = _merkle(6, 3)

@@ -156,7 +156,7 @@ def test_page(html, text):
 def test_deep_and_long_pages():
     deep = "<div>" * 50_000 + "core" + "<p>x" * 50_000
     assert html_text.main_text(html_text.page_lines(deep)).startswith("core x x")
-    assert len(html_text.main_text(html_text.page_lines("<" * 20_000 + "a" * 1_000_000))) >= 1_000_000
+    assert len(html_text.main_text(html_text.page_lines("< " * 20_000 + "a" * 1_000_000))) >= 1_000_000
 
 
 def brute_pages(rows):

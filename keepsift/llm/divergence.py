@@ -17,6 +17,8 @@ from keepsift.session import store
 LEAST, RANKS, SCALE = 3, 200, 1_000_000_000
 #: Bytes of text whose terms a task counts at once; pairs of sources that it compares at once.
 COUNTED, PAIRS = 2_000_000, 1_000_000
+#: Counts and names that a task holds before it gives them away.
+HELD = 2_000_000
 #: The bytes of terms: letters A-Z and a-z, and all bytes of characters beyond 7F.
 _IN_TERM = np.zeros(256, bool)
 _IN_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -35,37 +37,60 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(group, digest, count, docs) with one row for each group and digest."""
+    group, of, count, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((of, group))
+    group, of, count, docs = (x[order] for x in (group, of, count, docs))
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (group[1:] != group[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return group, of, count, docs
+    return group[first], of[first], np.add.reduceat(count, first), np.add.reduceat(docs, first)
+
+
 def _count(digest: Digest):
-    """(lang, source, text) -> (lang, source, digest, count, docs): occurrences and documents, added up within a chunk."""
+    """(lang, source, text) -> (lang, source, digest, count, docs): occurrences and documents, added up within the task.
+
+    What a task holds is bounded by HELD rows; beyond, it gives them away and starts again.
+    """
     names = ["lang", "source", "digest", "count", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, int] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            group, of, count, docs = _added(held)
+            lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+            for i in range(0, len(of), 100_000):
+                part = pa.array(group[i : i + 100_000])
+                rest = [pa.array(x[i : i + 100_000]) for x in (of.view(np.int64), count, docs)]
+                yield pa.RecordBatch.from_arrays([lang.take(part), source.take(part), *rest], names)
+            held.clear()
+
         for b in batches:
-            langs, lang_names = _codes(b.column(0))
-            sources, source_names = _codes(b.column(1))
-            group = langs * len(source_names) + sources
+            named = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            group = np.array([groups.setdefault(g, len(groups)) for g in named], np.int64)
             for i, _, data, offsets in chunks(b.column(2), COUNTED):
                 words = Words(_FOLD[data], offsets, _IN_TERM)
                 if not len(words):
                     continue
                 of, text = digest(words), words.text
-                order = np.lexsort((text, of, group[text + i]))
-                of, text, at = of[order], text[order], group[text[order] + i]
-                new_term = np.ones(len(of), bool)
-                new_term[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1])
-                new_doc = new_term.copy()
-                new_doc[1:] |= text[1:] != text[:-1]
-                first = np.flatnonzero(new_term)
-                count, docs = np.diff(np.append(first, len(of))), np.add.reduceat(new_doc.astype(np.int64), first)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        lang_names.take(pa.array(at // len(source_names))),
-                        source_names.take(pa.array(at % len(source_names))),
-                        *[pa.array(x) for x in (of[first].view(np.int64), count, docs)],
-                    ],
-                    names,
-                )
+                order = np.lexsort((text, of))  # documents of a term first, then terms of a group
+                of, text = of[order], text[order]
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (text[1:] != text[:-1])
+                first = np.flatnonzero(new)
+                count = np.diff(np.append(first, len(of)))
+                held.append(_added([(group[text[first] + i], of[first], count, np.ones(len(first), np.int64))]))
+            if sum(len(h[1]) for h in held) > HELD:
+                held[:] = [_added(held)]
+                if len(held[0][1]) > HELD // 2:
+                    yield from out()
+        if held:
+            yield from out()
 
     return run, "lang string, source string, digest long, count long, docs long"
 
@@ -96,9 +121,10 @@ def _texts(found: list[bytes]) -> pa.Array:
 
 
 def _name(digest: Digest):
-    """(lang, source, text) -> (digest, term): the terms of each digest, once in a chunk or more."""
+    """(lang, source, text) -> (digest, term): the terms of each digest, once in a task or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()
         for b in batches:
             for _, _, data, offsets in chunks(b.column(2), COUNTED):
                 folded = _FOLD[data]
@@ -108,10 +134,13 @@ def _name(digest: Digest):
                 of = digest(words)
                 _, first, place = np.unique(of, return_index=True, return_inverse=True)
                 differ = np.flatnonzero(_differ(folded, words.starts, words.ends, first[place]))
-                more = {(int(of[k].view(np.int64)), t) for k, t in zip(differ, _strings(folded, words, differ), strict=True)}
-                digests = np.concatenate([of[first].view(np.int64), np.array([m[0] for m in more], np.int64)])
-                terms = _strings(folded, words, first) + [m[1] for m in more]
-                yield pa.RecordBatch.from_arrays([pa.array(digests), _texts(terms)], ["digest", "term"])
+                which = np.concatenate([first, differ])
+                found = set(zip(of[which].view(np.int64).tolist(), _strings(folded, words, which), strict=True)) - seen
+                seen |= found
+                digests, terms = [f[0] for f in found], [f[1] for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), _texts(terms)], ["digest", "term"])
+                if len(seen) > HELD // 8:
+                    seen.clear()
 
     return run, "digest long, term string"
 
@@ -140,7 +169,9 @@ def _spell(digest: Digest):
 
 def _share(count: str, n: str, v: str) -> str:
     """1 + floor(SCALE * (count + 1) / (n + v)), exact for any counts; NULL without terms."""
-    return f"CASE WHEN {v} > 0 THEN 1 + ({SCALE} * CAST({count} + 1 AS DECIMAL(20,0))) div ({n} + {v}) END"
+    small = f"({SCALE}L * ({count} + 1)) div ({n} + {v})"  # fits while the count lies below 2^63 / SCALE - 1
+    large = f"({SCALE} * CAST({count} + 1 AS DECIMAL(20,0))) div ({n} + {v})"
+    return f"CASE WHEN {v} > 0 THEN 1 + IF({count} < {2**63 // SCALE - 1}L, {small}, {large}) END"
 
 
 def _excess(p: str, q: str) -> str:
@@ -149,7 +180,7 @@ def _excess(p: str, q: str) -> str:
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, term key, source, p, p0) ordered by the first two -> (lang, source, item, value).
+    """Rows (lang, digest, term, source, p, p0) ordered by the first three -> (lang, source, item, value).
 
     The value is what a pair of sources that share terms adds to the sum in which every term counts as if only one
     of the two had it. It is summed up within the task, so that a term's pairs never leave it.
@@ -161,8 +192,8 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
         langs, lang_names = _codes(table.column(0).combine_chunks())
-        sources, source_names = _codes(table.column(2).combine_chunks())
-        p, none = (table.column(c).to_numpy() for c in (3, 4))
+        sources, source_names = _codes(table.column(3).combine_chunks())
+        p, none = (table.column(c).to_numpy() for c in (4, 5))
         starts = np.flatnonzero(_news(table))
         sizes = np.diff(np.append(starts, table.num_rows))
         size, start = np.repeat(sizes, sizes), np.repeat(starts, sizes)
@@ -208,11 +239,11 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _news(table: pa.Table) -> np.ndarray:
-    """Where a row has another (lang, term key) than the one before."""
+    """Where a row has another (lang, digest, term) than the one before."""
     new = np.zeros(table.num_rows, bool)
     new[0] = True
-    for c in (0, 1):
-        codes, _ = _codes(table.column(c).combine_chunks())
+    for c in (0, 1, 2):
+        codes = table.column(c).to_numpy() if c == 1 else _codes(table.column(c).combine_chunks())[0]
         new[1:] |= codes[1:] != codes[:-1]
     return new
 
@@ -325,10 +356,10 @@ def _paired(kept: DataFrame, groups: DataFrame) -> DataFrame:
     second = second.withColumn("value", F.expr(f"times * ({_excess('none', 'p')})"))
 
     shares = kept.join(groups, ["lang", "source"]).select(
-        "lang", F.struct("digest", "term").alias("key"), "source", F.expr(_share("count", "n", "v")).alias("p"), "none"
+        "lang", "digest", F.coalesce("term", F.lit("")).alias("term"), "source", F.expr(_share("count", "n", "v")).alias("p"), "none"
     )
-    shares = shares.withColumn("key", F.concat_ws(" ", F.col("key.digest").cast("string"), F.col("key.term")))
-    dealt = shares.repartition("lang", "key").sortWithinPartitions("lang", "key")
+    key = ["lang", "digest", "term"]
+    dealt = shares.repartition(*key).sortWithinPartitions("digest", "lang", "term")
     both = dealt.mapInArrow(_together, "lang string, source string, item string, value long")
 
     parts = neither.select(*out).unionByName(first.select(*out)).unionByName(second.select(*out)).unionByName(both)

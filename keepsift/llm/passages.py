@@ -7,7 +7,8 @@ anchor) form a run. Four steps follow:
 1. every run reports its key; keys are counted over all texts, and runs whose key occurs once are done: none of
    their windows occurs elsewhere;
 2. the other runs are cut from their texts, as one string each;
-3. strings meet in the bucket of their key, where their windows are compared;
+3. strings meet in the bucket of their key, where they are compared (windows by substring dedup, suffixes by
+   suffix-array dedup);
 4. covered words come back to their texts as intervals.
 """
 
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsift.llm.common import integral, same, small_batches
+from keepsift.llm.common import integral, same
 from keepsift.llm.words import Words, chunks, ngrams, sliding_min
 from keepsift.session import store
 
-#: Strings of one key that a bucket compares in memory; keys with more compare window by window (same result).
-HOT_RUNS = 50_000
+#: Strings of one key that a bucket compares in memory, and words in them; keys with more compare window by window
+#: (same result).
+HOT_RUNS, HOT_WORDS = 50_000, 4_000_000
 #: Bytes of strings compared at once.
 AT_ONCE = 1_000_000
 _PLACE = np.uint64(0xFFFFFFFF)
@@ -84,7 +86,7 @@ def _report(shape: Shape):
 
 
 def _cut(k: int):
-    names = [*ID, "key", "start", "total", "head", "tail"]
+    names = [*ID, "key", "start", "hot", "head", "tail"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,31 +97,54 @@ def _cut(k: int):
                 for r in runs:
                     s, p = r["start"], r["start"] + r["lead"]
                     head, tail = words[s:p], words[p : s + r["windows"] - 1 + k]
-                    for column, value in zip(made, (doc_id, mark, r["key"], s, r["total"], b" ".join(head), b" ".join(tail)), strict=True):
+                    for column, value in zip(made, (doc_id, mark, r["key"], s, r["hot"], b" ".join(head), b" ".join(tail)), strict=True):
                         column.append(value)
-                kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+                kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, kinds, strict=True)], names)
 
-    return run, "doc_id long, mark long, key long, start long, total long, head binary, tail binary"
+    return run, "doc_id long, mark long, key long, start long, hot boolean, head binary, tail binary"
 
 
 def joined(head: bytes, tail: bytes) -> bytes:
     return head + b" " + tail if head else tail
 
 
-def repeated(strings: list[bytes], k: int) -> list[list[tuple[int, int]]]:
-    """For each string, the word intervals that are covered by windows which occur more than once among all strings.
+Row = tuple[int, int, int, bytes, bytes]
+Spans = list[list[tuple[int, int]]]
 
-    Windows are sorted by hash; equal hashes are compared by their words.
-    """
-    buffer = b"\n".join(strings)
-    sizes = np.array([len(s) for s in strings]) + 1
+
+def laid_out(strings: list[bytes]) -> tuple[bytes, Words]:
+    """The strings one after another, and their words."""
+    sizes = np.array([len(s) for s in strings], np.int64) + 1
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     offsets[-1] -= 1
-    words = Words(np.frombuffer(buffer, np.uint8), offsets)
-    found: list[list[tuple[int, int]]] = [[] for _ in strings]
-    if len(words) < k:
+    buffer = b"\n".join(strings)
+    return buffer, Words(np.frombuffer(buffer, np.uint8), offsets)
+
+
+def spans_of(words: Words, hit: np.ndarray, k: int, n: int) -> Spans:
+    """For each of n strings, the word intervals that windows of k words cover which begin at the words `hit`."""
+    found: Spans = [[] for _ in range(n)]
+    if not len(hit):
         return found
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(words.text[hit]) != 0)]))
+    ends = np.append(cut[1:], len(hit)) - 1
+    for a, e in zip(hit[cut], hit[ends], strict=True):
+        t = words.text[a]
+        found[t].append((int(a - words.low[t]), int(e - words.low[t] + k)))
+    return found
+
+
+def repeated(rows: list[Row], k: int) -> Spans:
+    """For each string, the word intervals that are covered by windows which occur more than once among all strings.
+
+    Windows are sorted by hash; equal hashes are compared by their words. No strings: no intervals.
+    """
+    if not rows:
+        return []
+    buffer, words = laid_out([joined(r[3], r[4]) for r in rows])
+    if len(words) < k:
+        return [[] for _ in rows]
     at = np.flatnonzero(np.arange(len(words)) + k <= words.high[words.text])
     hashes = ngrams(words.hashes(), k)[at]
     order = np.argsort(hashes, kind="stable")
@@ -132,42 +157,26 @@ def repeated(strings: list[bytes], k: int) -> list[list[tuple[int, int]]]:
         for same_words in by_words.values():
             if len(same_words) > 1:
                 twice[same_words] = True
-    hit = at[twice]
-    if not len(hit):
-        return found
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(words.text[hit]) != 0)]))
-    ends = np.append(cut[1:], len(hit)) - 1
-    for a, e in zip(hit[cut], hit[ends], strict=True):
-        t = words.text[a]
-        found[t].append((int(a - words.low[t]), int(e - words.low[t] + k)))
-    return found
+    return spans_of(words, at[twice], k, len(rows))
 
 
-def _meet(k: int, neighbours: Callable[[list[tuple]], list[tuple]] | None):
+def _meet(compared: Callable[[list[Row]], Spans]):
     """Compare the strings of a bucket; rows come ordered by key and string, so equal strings follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        groups: list[tuple] = []  # (doc_id, mark, start, head, tail), one for each different string of whole keys
-        held = 0
-        group: list[tuple] = []
+        held: list[Row] = []  # one for each different string of whole keys
+        size = 0
         key, last, emitted = None, None, False
 
         def covered(row):
             out.append((row[0], row[1], row[2], row[2] + joined(row[3], row[4]).count(b" ") + 1))
 
-        def close():
-            nonlocal group, held
-            kept = neighbours(group) if neighbours else group
-            groups.extend(kept)
-            held += sum(len(r[3]) + len(r[4]) for r in kept)
-            group = []
-
         def compare():
-            nonlocal groups, held
-            for r, spans in zip(groups, repeated([joined(r[3], r[4]) for r in groups], k), strict=True):
+            nonlocal held, size
+            for r, spans in zip(held, compared(held), strict=True):
                 out.extend((r[0], r[1], r[2] + s, r[2] + e) for s, e in spans)
-            groups, held = [], 0
+            held, size = [], 0
 
         def batch():
             columns = list(zip(*out, strict=True))
@@ -178,8 +187,7 @@ def _meet(k: int, neighbours: Callable[[list[tuple]], list[tuple]] | None):
             for doc_id, mark, new, start, head, tail in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 row = (doc_id, mark, start, head, tail)
                 if new != key:
-                    close()
-                    if held > AT_ONCE:
+                    if size > AT_ONCE:
                         compare()
                     key, last = new, None
                 if last is not None and last[3] == head and last[4] == tail:
@@ -189,11 +197,11 @@ def _meet(k: int, neighbours: Callable[[list[tuple]], list[tuple]] | None):
                         emitted = True
                     covered(row)
                 else:
-                    group.append(row)
+                    held.append(row)
+                    size += len(head) + len(tail)
                     last, emitted = row, False
                 if len(out) >= 10_000:
                     yield batch()
-        close()
         compare()
         if out:
             yield batch()
@@ -222,28 +230,32 @@ def _windows(k: int):
 
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, mark, text): the mark is a hash of the text, so rows that share an id or have none stay apart."""
-    small_batches(df)
     text = F.coalesce(df[text_col], F.lit(""))
     return df.select(integral(df, id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def covered_words(texts: DataFrame, shape: Shape, neighbours=None, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(doc_id, mark, begin, end): word intervals of every text that are covered by repeated windows."""
+def covered_words(texts: DataFrame, shape: Shape, compared: Callable[[list[Row]], Spans], hot_runs: int = HOT_RUNS) -> DataFrame:
+    """(doc_id, mark, begin, end): word intervals of every text that are covered by repeated windows.
+
+    `compared` gives the intervals of the strings of whole keys, all of which it gets at once.
+    """
     reported = store(texts.mapInArrow(*_report(shape)), "runs")
-    counts = reported.groupBy("key").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("total"))
+    words = F.sum(F.col("windows") + shape.k - 1)
+    counts = reported.groupBy("key").agg(
+        F.sum("weight").alias("weight"), ((F.count(F.lit(1)) > hot_runs) | (words > HOT_WORDS)).alias("hot")
+    )
     shared = reported.join(counts.where("weight > 1"), "key")
     # Runs of one text: no more than it has words.
-    by_text = shared.groupBy(*ID).agg(F.collect_set(F.struct("key", "start", "windows", "lead", "total")).alias("runs"))
+    by_text = shared.groupBy(*ID).agg(F.collect_set(F.struct("key", "start", "windows", "lead", "hot")).alias("runs"))
     by_text = by_text.hint("shuffle_hash")
     met = texts.join(by_text, same(texts, by_text, *ID)).select(*[texts[c] for c in texts.columns], "runs")
     strings = met.mapInArrow(*_cut(shape.k))
 
-    hot = F.col("total") > hot_runs
-    dealt = strings.where(~hot).select(*ID, "key", "start", "head", "tail").repartition("key").sortWithinPartitions("key", "tail", "head")
-    intervals = dealt.mapInArrow(*_meet(shape.k, neighbours))
-    if counts.where((F.col("weight") > 1) & hot).isEmpty():
+    dealt = strings.where("NOT hot").select(*ID, "key", "start", "head", "tail").repartition("key").sortWithinPartitions("key", "tail", "head")
+    intervals = dealt.mapInArrow(*_meet(compared))
+    if counts.where("weight > 1 AND hot").isEmpty():
         return intervals
-    windows = strings.where(hot).select(*ID, "start", "head", "tail").mapInArrow(*_windows(shape.k))
+    windows = strings.where("hot").select(*ID, "start", "head", "tail").mapInArrow(*_windows(shape.k))
     twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     return intervals.unionByName(
         windows.join(twice, "window").select(*ID, "begin", (F.col("begin") + shape.k).alias("end"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from keepsift.llm.passages import HOT_RUNS, Shape, covered_words, texts_of, without
+from keepsift.llm.passages import HOT_RUNS, Shape, covered_words, repeated, texts_of, without
 
 WINDOW, MINIMISER = 35, 5
 
@@ -24,7 +24,7 @@ def substring_dedup(
     words, travel as one string (a super-k-mer) to the minimiser's bucket. There equal strings follow one another and
     are settled at once; the windows of the others are sorted and compared by their words. Super-k-mers whose
     minimiser occurs once in all texts stay at home, as nothing can equal their windows.
-    Minimisers with more than `hot_runs` super-k-mers send each window on its own, which spreads over all tasks.
+    Minimisers with more than `hot_runs` super-k-mers (or HOT_WORDS words in them) send each window on its own, which spreads over all tasks.
 
     Defined cases: words are separated by space and 09-0D only. A NULL text has no words. Rows that repeat an id or
     have none are texts of their own, and repeated rows are copies of one another. Texts shorter than a window keep
@@ -32,4 +32,4 @@ def substring_dedup(
     """
     texts = texts_of(df, id_col, text_col)
     shape = Shape(window, minimiser, window - minimiser + 1, minimiser)
-    return without(texts, covered_words(texts, shape, hot_runs=hot_runs))
+    return without(texts, covered_words(texts, shape, lambda rows: repeated(rows, window), hot_runs))

@@ -6,9 +6,11 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from keepsift.llm.passages import joined, repeated
 from keepsift.llm.substring_dedup import substring_dedup
-from keepsift.llm.suffix_dedup import suffix_dedup
+from keepsift.llm.suffix_dedup import extended, suffix_dedup
 
 
 def brute(texts, k):
@@ -78,15 +80,74 @@ def test_sentences_repeated_back_to_back(spark, period):
 def test_repeated_ids_and_clashing_columns(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(1, long, "x"), (1, long, "y"), (None, long + " tail", "z"), (None, "short", None), (2, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumn("runs", df_lit())
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumn("runs", F.lit(1))
     got = sorted(((r.doc_id or 0), r.n_words, r.n_removed) for r in substring_dedup(df).collect())
     assert got == [(0, 1, 0), (0, 41, 40), (1, 40, 40), (1, 40, 40), (2, 0, 0)]
 
 
-def df_lit():
-    from pyspark.sql import functions as F
-
-    return F.lit(1)
+SETTINGS = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+
+
+@pytest.fixture(params=[("true", "4"), ("false", "16")])
+def partitions(spark, request):
+    """Few partitions that are merged, and more of them than keys, so that some stay empty."""
+    before = [spark.conf.get(s) for s in SETTINGS]
+    for s, v in zip(SETTINGS, request.param, strict=True):
+        spark.conf.set(s, v)
+    yield
+    for s, v in zip(SETTINGS, before, strict=True):
+        spark.conf.set(s, v)
+
+
+OPERATORS = [(substring_dedup, 35), (suffix_dedup, 50)]
+
+
+@pytest.mark.parametrize("operator, k", OPERATORS)
+def test_two_equal_documents_alone(spark, partitions, operator, k):
+    text = " ".join(f"w{i}" for i in range(60))
+    for texts in ([text, text], [text, text, "short one"], [text, "short one"], [text]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+        assert rows_of(operator(df)) == [(i, *x) for i, x in enumerate(brute(texts, k))]
+
+
+@pytest.mark.parametrize("operator, k", OPERATORS)
+def test_odd_rows(spark, operator, k):
+    """NULL and repeated ids, columns named like those of the operator, a text of a million words."""
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(70))
+    long = " ".join(r.choices([f"v{i}" for i in range(5000)], k=500_000) + [passage] + r.choices([f"v{i}" for i in range(5000)], k=500_000))
+    rows = [(1, passage, "x"), (1, passage, "y"), (None, passage + " tail", "z"), (None, "short", None), (2, None, None), (3, "", "e"), (4, long, "l")]
+    rows += [(5, "same " * 3000, "s"), (6, "a b c " * 1000, "s")]
+    columns = "runs key start windows lead weight hot head tail begin end window intervals total"
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string").select("*", *[F.lit(1).alias(c) for c in columns.split()])
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in operator(df.repartition(3)).collect()]
+    want = [(x[0], *y) for x, y in zip(rows, brute([x[1] for x in rows], k), strict=True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_suffixes_in_memory():
+    """What the bucket of a key finds, against all windows of its strings."""
+    r = random.Random(11)
+    for _ in range(400):
+        k, suffix = r.choice([(8, 3), (6, 6), (10, 4), (5, 1)])
+        first = r.choices("ab", k=suffix)
+        rows = []
+        for i in range(r.randint(0, 12)):
+            head = r.choices("ab", k=r.randint(0, k - suffix))
+            tail = first + (r.choices("ab", k=r.randint(0, 12)) if r.random() < 0.7 else first * 2)
+            rows.append((i, 0, 0, " ".join(head).encode(), " ".join(tail).encode()))
+        texts = [joined(x[3], x[4]).decode().split() for x in rows]
+        # Windows that hold the first words at a place from the tail's beginning on, as those of the bucket's runs do.
+        places = []
+        for x, t in zip(rows, texts, strict=True):
+            h = len(x[3].split())
+            held = [p for p in range(h, len(t) - suffix + 1) if t[p : p + suffix] == first]
+            places.append({(p - n, n) for p in held for n in range(k - suffix + 1) if p - n >= 0 and p - n + k <= len(t)})
+        counts = Counter((n, tuple(t[s : s + k])) for t, found in zip(texts, places, strict=True) for s, n in found)
+        want = [{w for s, n in found if counts[n, tuple(t[s : s + k])] > 1 for w in range(s, s + k)} for t, found in zip(texts, places, strict=True)]
+        got = [{w for s, e in spans for w in range(s, e)} for spans in extended(rows, k, suffix)]
+        assert got == want
+    assert extended([], 50, 20) == [] and repeated([], 50) == []
 
 
 def test_empty(spark):

@@ -73,10 +73,11 @@ def exact_dedup(
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, all columns as they are; of rows that repeat id and text one stays."""
     kept = store(exact_dedup(df, id_col, text_col).where("kept").select("doc_id", "text_sha256"), "kept")
-    marked = df.withColumn("_id", integral(df, id_col)).withColumn("_sha", sha256(lower_ascii(df[text_col])))
+    # The row as one column, so that no column of its own can be mistaken for those added here.
+    marked = df.select(F.struct(*df.columns).alias("row"), integral(df, id_col).alias("id"), sha256(lower_ascii(df[text_col])).alias("sha"))
     repeated = kept.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
-        marked = marked.dropDuplicates(["_id", "_sha"])
+        marked = marked.dropDuplicates(["id", "sha"])
         kept = kept.distinct()
-    wanted = marked["_id"].eqNullSafe(kept["doc_id"]) & (marked["_sha"] == kept["text_sha256"])
-    return marked.join(kept, wanted, "left_semi").select(*df.columns)
+    wanted = marked["id"].eqNullSafe(kept["doc_id"]) & (marked["sha"] == kept["text_sha256"])
+    return marked.join(kept, wanted, "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re._parser as sre
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -15,6 +15,8 @@ from keepsift.session import store
 
 #: Strings that one stretch of a pattern may stand for before it counts as unknown text.
 MOST_STRINGS = 64
+#: Numbers that are added up in one go.
+PART = 256
 _SPANS = "array<struct<start:int,place:int,end:int>>"
 
 
@@ -153,6 +155,32 @@ def candidates(df: DataFrame, rules: Sequence[Rule], id_col: str, text_col: str)
     return held.where("n = clauses").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _before(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array what `both`, from 0 on, makes of all before it.
+
+    An array grows by copying, so the numbers are taken in parts of PART: the work grows with their count, not its square.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def fold(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            start,
+            lambda acc, x: F.struct(both(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        )
+
+    def whole(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda i: F.slice(x, i * PART + 1, F.lit(PART)))
+        return F.transform(F.array(F.transform(parts, fold)), joined)[0]
+
+    def joined(parts: Column) -> Column:
+        bases = fold(F.transform(parts, lambda p: p["at"]))["out"]
+        return F.flatten(F.zip_with(parts, bases, lambda p, b: F.transform(p["out"], lambda v: both(v, b))))
+
+    one = F.transform(F.array(values), lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(F.array().cast("array<int>")))
+    return one[0]
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans of a rule as array<struct<start, place, end>> in code points.
 
@@ -160,26 +188,25 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     """
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    tested = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+    tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
     between = F.split(text, rule.pattern, -1)
+    lengths = F.zip_with(matches, tested, lambda m, t: F.struct(F.char_length(m).alias("long"), F.char_length(t).alias("tested")))
     steps = F.zip_with(
-        F.arrays_zip(matches.alias("whole"), tested.alias("tested")),
+        lengths,
         F.slice(between, 1, F.size(matches)),
-        lambda m, b: F.struct(
-            F.char_length(b).alias("gap"), F.char_length(m["whole"]).alias("long"), F.char_length(m["tested"]).alias("tested")
-        ),
+        lambda m, b: F.struct(F.char_length(b).alias("gap"), m["long"].alias("long"), m["tested"].alias("tested")),
     )
-    none = F.array().cast(_SPANS)
 
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["long"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("place"), end.alias("end"))
-        kept = F.when(x["tested"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+    def placed(x: Column) -> Column:
+        ends = _before(F.transform(x, lambda s: s["gap"] + s["long"]), lambda a, b: a + b)
+        every = F.zip_with(
+            x, ends, lambda s, at: F.struct(s["tested"].alias("tested"), (at + s["gap"]).alias("start"), (at + s["gap"] + s["long"]).alias("end"))
+        )
+        held = F.filter(every, lambda s: s["tested"] >= rule.least)
+        return F.transform(held, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("place"), s["end"].alias("end")))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, folded).otherwise(none)
+    found = F.transform(F.array(steps), placed)[0]
+    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPANS))
 
 
 def _listed(spans: Column, kinds: Sequence[str]) -> Column:
@@ -260,15 +287,22 @@ def redact_secrets(
     rows = _spotted(df, rules, id_col, text_col)
     spans = F.array_sort(F.concat(*[F.col(f"_{r.kind}") for r in rules]))
 
-    def hide(acc, s):
-        after = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(after, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def shown(found: Column) -> Column:
+        # A stretch begins at a span behind the ends of all before it; `at` is where the text before it begins.
+        ends = _before(F.transform(found, lambda s: s["end"]), F.greatest)
+        begun = F.filter(F.zip_with(found, ends, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"))), lambda g: g["start"] >= g["at"])
+        last = F.array_max(F.transform(found, lambda s: s["end"]))
+        # Taking a part of a text reads it from its beginning; many parts are cut from its characters.
+        few = F.array_join(F.transform(begun, lambda g: F.concat(F.substring(F.col("text"), g["at"] + 1, g["start"] - g["at"]), F.lit(mask))), "")
+        few = F.concat(few, F.substring(F.col("text"), last + 1, F.char_length("text")))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    shown = F.aggregate(
-        spans, begin, hide, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    )
-    text = F.when(F.size(spans) > 0, shown).otherwise(F.col(f"row.`{text_col}`"))
+        def cut(c: Column) -> Column:
+            parts = F.transform(begun, lambda g: F.concat(F.array_join(F.slice(c, g["at"] + 1, g["start"] - g["at"]), ""), F.lit(mask)))
+            return F.concat(F.array_join(parts, ""), F.array_join(F.slice(c, last + 1, F.size(c)), ""))
+
+        characters = F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))
+        return F.when(F.size(found) <= PART, few).otherwise(F.transform(F.array(characters), cut)[0])
+
+    hidden = F.transform(F.array(spans), shown)[0]
+    text = F.when(F.size(spans) > 0, hidden).otherwise(F.col(f"row.`{text_col}`"))
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])

@@ -51,14 +51,3 @@ def numbered(df: DataFrame, name: str, order: list[str], group: list[str] | None
 def integral(df: DataFrame, column: str) -> Column:
     """The id column as BIGINT."""
     return df[column].cast(T.LongType())
-
-
-def small_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Send at most `rows` rows at once to Python workers from now on, unless the session asks for fewer.
-
-    Spark bounds Arrow batches by rows only; whole texts in batches of the usual 10,000 rows would take too much memory.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))

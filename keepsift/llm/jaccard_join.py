@@ -29,6 +29,10 @@ MOST_COMMON = 1 << 18
 SEEN_BY_TASK, LEAST_COMMON = 2, 4
 #: Members of a component that stand for it before a document that shares a minimum with it.
 DELEGATES = 4
+#: Links that one task may join to components; more go through rounds over all tasks.
+FEW_LINKS = 100_000
+#: 64-bit words of a sketch in which every token turns one bit over.
+SKETCH = 8
 #: Tokens that a task counts at once when it looks for common ones.
 COUNTED = 1_000_000
 #: Hashes that choose the first partner of a document.
@@ -72,6 +76,13 @@ def signature(tokens: np.ndarray) -> bytes:
     return np.packbits(row, bitorder="little").tobytes()
 
 
+def odd_sketch(tokens: np.ndarray) -> np.ndarray:
+    """64 * SKETCH bits, each the parity of the tokens that hash to it: two sketches differ in no more bits than their sets in tokens."""
+    # Not the low bits, which place tokens in the bit map.
+    count = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def most_overlap(n_a: int, a: bytes, n_b: int, b: bytes) -> int:
     """An upper bound of the overlap: a bit of one map that the other lacks stands for a token that the other lacks."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -85,9 +96,9 @@ def linked(overlap: int, n_a: int, n_b: int) -> bool:
 
 
 def _profiles(size: int):
-    """Per text: size, digest of the set, minima and bit map; and the tokens common in what a task has counted."""
-    names = ["kind", "id", "n", "digest", "minima", "bits"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    """Per text: size, digest of the set, minima, bit map and sketch; and the tokens common in what a task has counted."""
+    names = ["kind", "id", "n", "digest", "minima", "bits", "odd"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -98,7 +109,7 @@ def _profiles(size: int):
             often = n >= SEEN_BY_TASK
             k = int(often.sum())
             none = [None] * k
-            data = [[1] * k, token[often].view(np.int64), n[often], none, none, none]
+            data = [[1] * k, token[often].view(np.int64), n[often], none, none, none, none]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, kinds, strict=True)], names)
 
         for b in batches:
@@ -112,14 +123,15 @@ def _profiles(size: int):
                     minima = [[]] * len(n)
                     for t, m in zip(full.tolist(), mins.tolist(), strict=True):
                         minima[t] = m
-                digests, bits, fresh = [], [], []
+                digests, bits, odd, fresh = [], [], [], []
                 for s, e in zip(ends[:-1], ends[1:], strict=True):
                     digests.append(hashlib.blake2b(token[s:e].tobytes(), digest_size=16).digest())
                     bits.append(signature(token[s:e]) if e > s else b"")
+                    odd.append(odd_sketch(token[s:e]))
                     if digests[-1] not in seen:  # equal sets count once
                         seen.add(digests[-1])
                         fresh.append(token[s:e])
-                arrays = [pa.array([0] * len(n), pa.int32()), b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *[pa.array(x, t) for x, t in zip((digests, minima, bits), kinds[3:], strict=True)]]
+                arrays = [pa.array([0] * len(n), pa.int32()), b.column(0).slice(i, j - i), pa.array(n, pa.int64()), *[pa.array(x, t) for x, t in zip((digests, minima, bits, odd), kinds[3:], strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, names)
                 held += fresh
                 if sum(map(len, held)) >= COUNTED:
@@ -127,7 +139,7 @@ def _profiles(size: int):
                     held, seen = [], set()
         yield common()
 
-    return run, "kind int, id long, n long, digest binary, minima array<long>, bits binary"
+    return run, "kind int, id long, n long, digest binary, minima array<long>, bits binary, odd array<long>"
 
 
 def _postings(size: int, common: np.ndarray, times: np.ndarray):
@@ -225,11 +237,16 @@ def _verify(size: int):
     return run, "a long, b long"
 
 
+def _alike(n_a: str, n_b: str) -> str:
+    """Sizes that do not rule a link out."""
+    return f"{DENOMINATOR} * least({n_a}, {n_b}) >= {NUMERATOR} * greatest({n_a}, {n_b})"
+
+
 def _links(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: bit maps rule most others out, whole sets decide."""
     left = sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     right = sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    with_bits = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    with_bits = pairs.join(left, "a").join(right, "b").where(_alike("n_a", "n_b")).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     close = store(with_bits.mapInArrow(_prune, "a long, b long"), "close")
     first = texts.join(close.select(F.col("a").alias("id")).distinct(), "id", "left_semi").mapInArrow(*_token_sets(size))
     carried = close.join(first.withColumnRenamed("id", "a"), "a")
@@ -237,22 +254,52 @@ def _links(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, size: int) -> D
     return store(met.mapInArrow(*_verify(size)), "links")
 
 
-def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, group): the component of every class by the links so far."""
-    joined = connected_components(links).withColumnRenamed("node", "id")
-    return classes.select("id").distinct().join(joined, "id", "left").select("id", F.coalesce("root", "id").alias("group"))
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) -> (node, root), the root being the smallest node that is reached."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(x), root(y)))
+            above[high] = low
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes that have links: in one task while these are few, else in rounds over all tasks."""
+    if links.limit(FEW_LINKS + 1).count() <= FEW_LINKS:
+        return links.select("a", "b").coalesce(1).mapInArrow(_union, "node long, root long")
+    return connected_components(links)
 
 
-def _strays(keys: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): documents outside the largest component that shares a minimum with them, and delegates of that component."""
-    placed = store(keys.join(groups, "id"), "minima")
-    sizes = placed.groupBy("seed", "minimum", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("seed", "minimum").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.count(F.lit(1)).alias("groups"))
-    placed = placed.join(largest.where("groups > 1"), ["seed", "minimum"])
-    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id"))["id"] for i in range(DELEGATES)]
-    delegates = placed.where("group = largest").groupBy("seed", "minimum").agg(F.array_distinct(F.array(*chosen)).alias("delegates"))
-    met = placed.where("group <> largest").join(delegates, ["seed", "minimum"])
-    return met.select(F.explode("delegates").alias("a"), F.col("id").alias("b")).distinct()
+def _strays(keys: DataFrame, star_links: DataFrame) -> DataFrame:
+    """(a, b): a document outside the largest star that shares a minimum with it, and some delegates of that star.
+
+    A document's star is the smallest document that it links with. Of the stars around it a document takes the one
+    that it meets under most minima.
+    """
+    star = star_links.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("star"))
+    placed = keys.join(star, "id", "left").withColumn("star", F.coalesce("star", "id"))
+    placed = store(placed, "minima")
+    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", "n")) for i in range(DELEGATES)]
+    by_star = placed.groupBy("seed", "minimum", "star").agg(F.count(F.lit(1)).alias("members"), *[c.alias(f"d{i}") for i, c in enumerate(chosen)])
+    delegates = F.array_distinct(F.array(*[F.struct(F.col(f"d{i}.id").alias("id"), F.col(f"d{i}.n").alias("n")) for i in range(DELEGATES)]))
+    largest = by_star.groupBy("seed", "minimum").agg(
+        F.max_by(F.struct("star", delegates.alias("delegates")), F.struct("members", "star")).alias("largest"), F.count(F.lit(1)).alias("stars")
+    )
+    largest = largest.where("stars > 1").select("seed", "minimum", "largest.star", "largest.delegates").withColumnRenamed("star", "near")
+    met = placed.join(largest, ["seed", "minimum"]).where("star <> near")
+    met = met.groupBy("id", "n", "near").agg(F.count(F.lit(1)).alias("seeds"), F.first("delegates").alias("delegates"))
+    best = met.groupBy("id", "n").agg(F.max_by("delegates", F.struct("seeds", "near")).alias("delegates"))
+    pairs = best.select("id", "n", F.explode("delegates").alias("d"))
+    return pairs.where(_alike("n", "d.n")).select(F.col("d.id").alias("a"), F.col("id").alias("b"))
 
 
 def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", most_common: int = MOST_COMMON) -> DataFrame:
@@ -262,14 +309,16 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     links reach. Equal sets are one class. The result is components, not links: links between different sets within
     one component of step 1 are neither listed nor counted. Three steps find all links that join components:
 
-    1. Every class is paired with the smallest id that shares one of six minima; what does not link with the largest
-       component around it is paired with four more of its members. The pairs that link join dense groups of near
-       copies without listing their pairs.
+    1. Every class is paired with the smallest id that shares one of six minima. What does not link with the largest
+       of the stars around it is paired with four more of its members, those of the one star that it meets most. The
+       pairs that link join dense groups of near copies without listing their pairs; any pair may be left out here,
+       as step 2 finds all links between groups.
     2. Prefixes: tokens are ordered rare first; tasks count the tokens of all texts, and the most frequent ones, a
        bounded number, are known to all. The order is the same for all and any order is right. A prefix is
        lengthened to that number of matches, up to four, for which reading its postings and verifying the candidates
        is estimated to cost least; a candidate must share as many prefix tokens, and its places of the last shared
-       one must leave room for enough others. Only documents of different
+       one must leave room for enough others, and
+       sketches of both sets must not differ in more bits than the sets may in tokens. Only documents of different
        components of step 1 meet, and a token's largest component meets the others but not itself.
     3. Candidates are ruled out by bit maps where these prove too little overlap, and verified on whole sets.
 
@@ -283,19 +332,20 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     classes = store(
         documents.where("n > 0 AND id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bits").alias("bits")),
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bits").alias("bits"), F.first("odd").alias("odd")),
         "classes",
     )
     texts = rows.where("id IS NOT NULL")
 
     # Step 1.
-    keys = classes.select("id", F.posexplode("minima").alias("seed", "minimum"))
-    centres = keys.groupBy("seed", "minimum").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("met")).where("met > 1")
-    stars = keys.join(centres, ["seed", "minimum"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    keys = classes.select("id", "n", F.posexplode("minima").alias("seed", "minimum"))
+    centres = keys.groupBy("seed", "minimum").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("met")).where("met > 1")
+    centres = centres.select("seed", "minimum", F.col("c.id").alias("a"), F.col("c.n").alias("n_a"))
+    stars = keys.join(centres, ["seed", "minimum"]).where("id <> a").where(_alike("n", "n_a")).select("a", F.col("id").alias("b")).distinct()
     star_links = _links(texts, classes, stars, size)
-    strays = _strays(keys, _grouped(classes, star_links))
-    star_links = star_links.unionByName(_links(texts, classes, strays, size))
-    of_class = store(_grouped(classes, star_links), "groups")
+    star_links = star_links.unionByName(_links(texts, classes, _strays(keys, star_links), size))
+    joined = store(_components(star_links), "groups").select(F.col("node").alias("id"), F.col("root").alias("group"))
+    of_class = classes.select("id").join(joined, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
     # Step 2.
     counted = profiled.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COMMON)
@@ -317,13 +367,16 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     # that are gone leave a document too few for any partner.
     alive = F.row_number().over(W.partitionBy("id").orderBy("place")) - 1
     tokens = tokens.withColumn("alive", alive).where(f"{DENOMINATOR} * (alive + n - place) >= {NUMERATOR} * n")
-    tokens = store(tokens, "tokens")
+    sketches = classes.select("id", *[F.col("odd")[i].alias(f"odd{i}") for i in range(SKETCH)])
+    tokens = store(tokens.join(sketches, "id"), "tokens")
     x = tokens.where("group <> largest").alias("x")
     y = tokens.alias("y")
+    differ = " + ".join(f"bit_count(x.odd{i} ^ y.odd{i})" for i in range(SKETCH))
     small_first = F.expr("x.n < y.n OR (x.n = y.n AND x.id < y.id)")
     fits = F.expr(
         f"""x.token = y.token AND x.group <> y.group AND (y.group = y.largest OR x.id < y.id)
-        AND {DENOMINATOR} * least(x.n, y.n) >= {NUMERATOR} * greatest(x.n, y.n)
+        AND {_alike("x.n", "y.n")}
+        AND {NUMERATOR + DENOMINATOR} * ({differ}) <= {DENOMINATOR - NUMERATOR} * (x.n + y.n)
         AND {NUMERATOR + DENOMINATOR} * (least(x.alive, y.alive) + least(x.n - x.place, y.n - y.place)) >= {NUMERATOR} * (x.n + y.n)"""
     )
     side = {c: [F.when(small_first, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")) for s, t in (("x", "y"), ("y", "x"))] for c in ("id", "n", "place", "need")}
@@ -340,7 +393,13 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     pairs = pairs.where(f"matches >= need AND {enough}").select("a", "b")
     # Step 3.
     cross = _links(texts, classes, pairs, size)
-    components = connected_components(star_links.unionByName(cross)).withColumnRenamed("node", "class_id")
+    of_group = joined.withColumnRenamed("group", "root")
+    ends = [F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c) for c in ("a", "b")]
+    for c in ("a", "b"):
+        cross = cross.join(of_group.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    between = store(cross.select(*ends).where("a <> b").distinct(), "between")
+    merged = _components(between).select(F.col("node").alias("group"), F.col("root").alias("merged"))
+    components = of_class.join(merged, "group", "left").select(F.col("id").alias("class_id"), F.coalesce("merged", "group").alias("root"))
     class_of = classes.select(F.col("digest").alias("of"), F.col("id").alias("class_id"))
     out = documents.select("id", "n", "digest").join(class_of, (F.col("digest") == F.col("of")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
     out = out.join(components, "class_id", "left")

@@ -73,6 +73,8 @@ TAG_TOP_PERCENT = 20
 MAX_SERVER_RETRIES = 3
 SERVER_BACKOFF_SECONDS = 1
 DEFAULT_RETRY_AFTER = 60
+#: Seconds that a scoring call, a call for several files and a detection may take.
+CALL_LIMIT_S, BLOCK_LIMIT_S, DETECT_LIMIT_S = 30, 60, 30
 TOKENS_PER_ITEM = (800, 200)
 UNKNOWN_ITEM_MS = 5000
 CLOCK_TOLERANCE_SECONDS = 3600

@@ -96,7 +96,7 @@ def glob_to_regex(pattern: str) -> str:
         else:
             parts.append("\\" + piece if piece in ".+^${}()|[\\" else piece)
     body = "".join(parts)
-    return f"(?i)^{body}$" if "/" in text else f"(?i)(?:^|/){body}$"
+    return f"(?iu)^{body}$" if "/" in text else f"(?iu)(?:^|/){body}$"
 
 
 def ignore_regex(patterns: list[str]) -> str:

@@ -4,100 +4,21 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keepsift import constants as K
 from keepsift.functions import text as X
 from keepsift.functions.numbers import weighted_total
+from keepsift.operators.calls import Answer, Watched, ask, batch_call, once  # noqa: F401 - part of this interface
 from keepsift.operators.joins import unscored_assets
 from keepsift.operators.ordering import blocks_of, evenly_spaced_sample
 from keepsift.operators.tiers import keepers, top_percent
 from keepsift.session import store
 
 
-@dataclass
-class Answer:
-    """What a plug-in returns for one request: an HTTP-like status (0 = timed out) and a text."""
-
-    status: int
-    body: str = ""
-    tokens_in: int = 0
-    tokens_out: int = 0
-    retry_after: int = K.DEFAULT_RETRY_AFTER
-
-
-ANSWER_FIELDS = [
-    T.StructField("status", T.IntegerType()),
-    T.StructField("body", T.StringType()),
-    T.StructField("tokens_in", T.LongType()),
-    T.StructField("tokens_out", T.LongType()),
-    T.StructField("retries", T.IntegerType()),
-    T.StructField("waited_s", T.LongType()),
-]
-
-
-def ask(call: Callable[[dict], Answer], row: dict, sleep: Callable[[float], None]) -> tuple[Answer, int, int]:
-    """One request with the retry policy: wait on 429 without end, three back-offs on 5xx, one
-    more try after a timeout, nothing on other statuses."""
-    retries = server = timeouts = waited = 0
-    while True:
-        got = call(row)
-        if got.status == 429:
-            pause = max(1, got.retry_after)
-        elif got.status >= 500 and server < K.MAX_SERVER_RETRIES:
-            pause = K.SERVER_BACKOFF_SECONDS * 2**server
-            server += 1
-        elif got.status == 0 and timeouts == 0:
-            pause, timeouts = 0, 1
-        else:
-            return got, retries, waited
-        retries += 1
-        waited += pause
-        sleep(pause)
-
-
-def once(call: Callable[[dict], Answer], row: dict, sleep: Callable[[float], None]) -> tuple[Answer, int, int]:
-    """One request without any retry."""
-    return call(row), 0, 0
-
-
-def batch_call(
-    requests: DataFrame,
-    call: Callable[[dict], Answer],
-    concurrency: int | None = None,
-    sleep=time.sleep,
-    policy=ask,
-    stops: tuple[int, ...] = (401,),
-) -> DataFrame:
-    """Add the answer columns to every request row. `concurrency` bounds the tasks that call out
-    at once; rows are spread by their first column, so a repeated task sees the same rows. They
-    pass through batch by batch; after a status in `stops` a task makes no further calls and its
-    other rows get that status."""
-    spread = requests.repartition(concurrency, requests.columns[0]) if concurrency else requests
-    schema = T.StructType(requests.schema.fields + ANSWER_FIELDS)
-    names = [f.name for f in ANSWER_FIELDS]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stopped = None
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                if stopped is not None:
-                    out.append((stopped, "", 0, 0, 0, 0))
-                    continue
-                got, retries, waited = policy(call, row, sleep)
-                stopped = got.status if got.status in stops else None
-                out.append((got.status, got.body, got.tokens_in, got.tokens_out, retries, waited))
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
-
-    return spread.mapInPandas(run, schema)
-
-
 def scores_from_answers(answers: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Score columns, total, reasoning and tokens from (image_id, status, body, ...). A failed
     request or a bad answer becomes a zero row with the reason. A refused key gives no row at all,
@@ -133,11 +54,12 @@ def batch_score(
     weights: dict[str, float],
     concurrency: int | None = None,
     sleep=time.sleep,
+    **options,
 ) -> DataFrame:
-    """Score every asset that has no score yet. Answers are stored before anything else reads
-    them, so no later retry repeats a call."""
+    """Score every asset that has no score yet. Answers are stored one by one, so no later retry
+    repeats a call; a refused key ends the run for all tasks."""
     todo = unscored_assets(assets, scored) if scored is not None else assets
-    return scores_from_answers(store(batch_call(todo, call, concurrency, sleep), "answers"), weights)
+    return scores_from_answers(batch_call(todo, call, concurrency, sleep, **options), weights)
 
 
 def resolve_attempts(attempts: DataFrame) -> DataFrame:
@@ -231,16 +153,16 @@ def tag_requests(scores: DataFrame, percent: float | None = None, **options) ->
 
 
 def batch_tag(
-    scores: DataFrame, call: Callable[[dict], Answer], percent: float | None = None, concurrency=None, sleep=time.sleep
+    scores: DataFrame, call: Callable[[dict], Answer], percent: float | None = None, concurrency=None, sleep=time.sleep, **options
 ) -> DataFrame:
     """(image_id, keywords) for the best keepers.
 
-    A block that fails is asked again file by file. After an auth or rate-limit error a task asks
-    no more and what there is so far counts. Nothing waits. Answers are stored first.
+    A block that fails is asked again file by file. An auth or rate-limit error ends the run for
+    all tasks, and what there is so far counts. Nothing waits. Answers are stored first.
     """
     stops = (401, 429)
     requests = tag_requests(scores, percent)
-    first = store(batch_call(requests, call, concurrency, sleep, once, stops), "tag-answers")
+    first = batch_call(requests, call, concurrency, sleep, once, stops, **{"limit_s": K.BLOCK_LIMIT_S, **options})
     failed = (~F.col("status").isin(200, *stops)) | _unreadable(F.col("status"), F.col("body"))
     retry = (
         first.where(failed)
@@ -248,8 +170,9 @@ def batch_tag(
         .select("block_no", F.array("_i").alias("items"))
         .withColumn("prompt", X.tagging_prompt(F.col("items.filename")))
     )
-    singles = store(batch_call(retry, call, concurrency, sleep, once, stops), "tag-singles")
-    answers = first.unionByName(singles).where("status = 200")
+    ended = not first.where(F.col("status").isin(*stops)).isEmpty()
+    answers = first if ended else first.unionByName(batch_call(retry, call, concurrency, sleep, once, stops, **options))
+    answers = answers.where("status = 200")
     tags = answers.select(
         F.explode("items").alias("i"), X.parse_tag_answer(F.col("body"), F.col("items.filename")).alias("tags")
     )
@@ -293,25 +216,27 @@ FACE_SCHEMA = (
 )
 
 
-def detect_faces(assets: DataFrame, detect: Callable[[bytes], list[dict]]) -> DataFrame:
+def detect_faces(assets: DataFrame, detect: Callable[[bytes], list[dict]], limit_s: float = K.DETECT_LIMIT_S) -> DataFrame:
     """One row per face from assets(image_id, content, width, height). Images with a known side
-    below 64 px have none. A failing detector gives one row that holds only the error."""
+    below 64 px have none. A detector that fails, ends its process or takes longer than `limit_s`
+    gives one row that holds only the error."""
     side = F.least("width", "height")
     usable = assets.where(~((F.col("width") > 0) & (F.col("height") > 0) & (side < K.MIN_FACE_IMAGE_PX)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["image_id", "face_no", "left_open", "right_open", "emotion", "box", "image_width", "image_height", "error"]
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    for i, f in enumerate(detect(bytes(r.content))):
-                        out.append(
-                            (r.image_id, i, f.get("left_open"), f.get("right_open"), f.get("emotion"), f.get("box"),
-                             r.width, r.height, None)
-                        )
-                except Exception as e:  # noqa: BLE001 - counted downstream by its error column
-                    out.append((r.image_id, None, None, None, None, None, r.width, r.height, str(e)))
-            yield pd.DataFrame(out, columns=names)
+        with Watched(detect, limit_s) as watched:
+            for pdf in batches:
+                out = []
+                for r in pdf.itertuples(index=False):
+                    try:
+                        for i, f in enumerate(watched(bytes(r.content))):
+                            out.append(
+                                (r.image_id, i, f.get("left_open"), f.get("right_open"), f.get("emotion"), f.get("box"),
+                                 r.width, r.height, None)
+                            )
+                    except Exception as e:  # noqa: BLE001 - counted downstream by its error column
+                        out.append((r.image_id, None, None, None, None, None, r.width, r.height, str(e)))
+                yield pd.DataFrame(out, columns=names)
 
     return usable.select("image_id", "content", "width", "height").mapInPandas(run, FACE_SCHEMA)

@@ -98,6 +98,42 @@ def _(spark, d):
     return first.unionByName(second).select("doc_id", "total")
 
 
+_HANGS = "doc_id % 400 = 11"
+
+
+@query("batch_score_hanging", "named", f"""SELECT doc_id, CASE WHEN {_HANGS} THEN 0 ELSE total END::DOUBLE AS total, CASE WHEN {_HANGS} THEN 'Scoring failed: Request timed out twice' ELSE 'Scored ' || filename END AS reasoning, CASE WHEN {_HANGS} THEN 1 ELSE 0 END AS retries
+FROM (SELECT *, {weighted_sql(K.GENRE_PRESETS['general'])} AS total FROM (SELECT *, {_SCORED} FROM named))""")
+def _(spark, d):
+    # Some calls never return; their process ends at the deadline, and again at the second try.
+    def hanging(row):
+        import time
+
+        while row["doc_id"] % 400 == 11:
+            time.sleep(60)
+        return mock_call({**row, "fate": 0})
+
+    out = I.batch_score(named(spark, d), None, hanging, GENERAL, concurrency=8, sleep=lambda s: None, limit_s=2)
+    return out.select("doc_id", "total", "reasoning", "retries")
+
+
+@query("batch_score_stopped", "", "SELECT 0::BIGINT AS refused_scored, true AS stopped_early, count(*) AS scored_in_the_end FROM documents")
+def _(spark, d):
+    # A refused key ends the run for all tasks: no further round begins, and a second run asks for what is left.
+    def refused(row):
+        return I.Answer(401) if row["doc_id"] % 10 == 9 else mock_call(row)
+
+    assets = named(spark, d)
+    first = store(I.batch_score(assets, None, refused, GENERAL, concurrency=4, sleep=lambda s: None), "first")
+    second = I.batch_score(assets, first, mock_call, GENERAL, concurrency=4, sleep=lambda s: None)
+    n = assets.count()
+    both = first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+    return both.agg(
+        F.count_if((F.col("run") == 1) & (F.col("doc_id") % 10 == 9)).alias("refused_scored"),
+        (4 * F.count_if(F.col("run") == 1) <= 3 * n).alias("stopped_early"),
+        F.count_distinct("doc_id").alias("scored_in_the_end"),
+    )
+
+
 @query("resolve_attempts", "attempts", """WITH c AS (SELECT *, CASE WHEN status = 0 THEN 'timeout' WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 401 THEN 'auth' WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' ELSE 'other' END AS cls FROM attempts),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY attempt_no) AS nth FROM c),
 e AS (SELECT image_id, min(attempt_no) AS fin FROM r WHERE cls IN ('ok','auth','other') OR (cls = 'server' AND nth = 4) OR (cls = 'timeout' AND nth = 2) GROUP BY image_id)
@@ -129,6 +165,18 @@ def _(spark, d):
     return out.select("image_id", F.array_join("keywords", ";").alias("keywords"))
 
 
+@query("batch_tag_stopped", "tiered", """SELECT image_id, 'tag' AS keywords FROM (SELECT image_id, row_number() OVER (ORDER BY total DESC, image_id) AS rn, count(*) OVER () AS n FROM tiered WHERE tier IN ('S','A')) WHERE rn <= greatest(1, ceil(n * (50 / 100.0::DOUBLE))) AND rn <= 10""")
+def _(spark, d):
+    # One task asks for one block, then for two, then for four: a rate limit at the third block ends the run.
+    def limited(row):
+        import json
+
+        return I.Answer(429) if row["block_no"] >= 2 else I.Answer(200, json.dumps({i["filename"]: ["tag"] for i in row["items"]}))
+
+    out = I.batch_tag(stored_tiers(spark, d), limited, 50, concurrency=1, sleep=lambda s: None, first_round=1)
+    return out.select("image_id", F.array_join("keywords", ";").alias("keywords"))
+
+
 @query("summarise_sample", "assets", """SELECT doc_id, (SELECT 'ref+' || string_agg(filename, '+' ORDER BY i) FROM (SELECT filename, i, rn, k, n FROM (SELECT *, least(8, greatest(5, ceil(n * 0.05::DOUBLE)))::BIGINT AS k FROM (SELECT filename, row_number() OVER (ORDER BY filename, path) - 1 AS rn, count(*) OVER () AS n FROM assets)), (SELECT unnest(range(8)) AS i)) WHERE i < k AND rn = floor(i * (n - 1)::DOUBLE / (k - 1))::BIGINT) AS context FROM assets""")
 def _(spark, d):
     def call(rows):
@@ -138,6 +186,18 @@ def _(spark, d):
     return out.select("doc_id", "context")
 
 
+@query("detect_faces_hanging", "", "SELECT doc_id::VARCHAR AS image_id, CASE WHEN doc_id % 400 <> 11 THEN 0 END AS face_no, CASE WHEN doc_id % 400 = 11 THEN 'timed out after 2 s' END AS error FROM documents")
+def _(spark, d):
+    def detect(content):
+        import time
+
+        while int(content[:12]) % 400 == 11:
+            time.sleep(60)
+        return [{"left_open": 0.9}]
+
+    return I.detect_faces(_pictures(spark, d).withColumn("width", F.lit(600)), detect, limit_s=2).select("image_id", "face_no", "error")
+
+
 _DETECTED = "SELECT doc_id, CASE WHEN n_chars % 100 + 1 < 64 THEN 0 WHEN doc_id % 10 = 9 THEN 0 ELSE doc_id % 3 END AS faces, n_chars % 100 + 1 >= 64 AND doc_id % 10 = 9 AS failed FROM documents"
 
 
@@ -160,12 +220,15 @@ def _detected(spark, d):
             raise ValueError("bad")
         return [{"left_open": 0.9, "right_open": 0.1, "emotion": "happy"}] * (i % 3)
 
+    return I.detect_faces(_pictures(spark, d), detect)
+
+
+def _pictures(spark, d):
     i = F.col("doc_id")
-    rows = table(spark, d, "documents").select(
+    return table(spark, d, "documents").select(
         i.cast("string").alias("image_id"), F.encode(F.concat(F.lpad(i.cast("string"), 12, "0"), "text"), "utf-8").alias("content"),
         (F.col("n_chars") % 100 + 1).cast("int").alias("width"), F.lit(600).alias("height"),
     )
-    return I.detect_faces(rows, detect)
 
 
 @query("rescore_images", "scores", f"""WITH m AS (SELECT s.doc_id, image_id, exceeds_face_limit, CASE WHEN l.doc_id IS NOT NULL THEN 60.0 ELSE total END::DOUBLE AS total FROM scores s LEFT JOIN (SELECT * FROM labels WHERE toxic = 0) l ON l.doc_id = s.doc_id),

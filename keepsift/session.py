@@ -59,8 +59,24 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         spark.conf.unset(RUN_DIR)
         if before:
             spark.conf.set(RUN_DIR, before)
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        delete(spark, path)
+
+
+def run_dir(spark: SparkSession) -> str:
+    """Where tables go now: the run folder, or the shared folder itself."""
+    return spark.conf.get(RUN_DIR, None) or work_dir(spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark would take for it, so that tasks reach the same place."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -70,7 +86,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     that depends on the partition (a partition id) is the same for every reader.
     """
     spark = df.sparkSession
-    path = f"{spark.conf.get(RUN_DIR, None) or work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -165,7 +165,8 @@ def test_refused_key_leaves_the_rest_unscored(spark):
     def call(row):
         return I.Answer(401) if row["image_id"] >= "01" else I.Answer(404)
 
-    scored = I.batch_score(df, None, call, general, sleep=lambda s: None)
+    # One task, as a refusal now ends the calls of all tasks.
+    scored = I.batch_score(df, None, call, general, concurrency=1, sleep=lambda s: None)
     assert [r.image_id for r in scored.collect()] == ["00"]
     assert unscored_assets(df, scored).count() == 5
 

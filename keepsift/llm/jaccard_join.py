@@ -29,6 +29,8 @@ MOST_COMMON = 1 << 18
 SEEN_BY_TASK, LEAST_COMMON = 2, 4
 #: Members of a component that stand for it before a document that shares a minimum with it.
 DELEGATES = 4
+#: Times that strays meet delegates, other ones each time.
+STRAY_TURNS = 3
 #: Links that one task may join to components; more go through rounds over all tasks.
 FEW_LINKS = 100_000
 #: 64-bit words of a sketch in which every token turns one bit over.
@@ -279,16 +281,20 @@ def _components(links: DataFrame) -> DataFrame:
     return connected_components(links)
 
 
-def _strays(keys: DataFrame, star_links: DataFrame) -> DataFrame:
+def _joined(links: DataFrame) -> DataFrame:
+    """(id, group) of what links join."""
+    return store(_components(links), "groups").select(F.col("node").alias("id"), F.col("root").alias("group"))
+
+
+def _strays(keys: DataFrame, star: DataFrame, turn: int) -> DataFrame:
     """(a, b): a document outside the largest star that shares a minimum with it, and some delegates of that star.
 
-    A document's star is the smallest document that it links with. Of the stars around it a document takes the one
-    that it meets under most minima.
+    `star` (id, star) names groups of documents that links join. Of the stars around it a document takes the one
+    that it meets under most minima. Each `turn` has other delegates.
     """
-    star = star_links.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("star"))
     placed = keys.join(star, "id", "left").withColumn("star", F.coalesce("star", "id"))
     placed = store(placed, "minima")
-    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", "n")) for i in range(DELEGATES)]
+    chosen = [F.min(F.struct(F.xxhash64("id", F.lit(turn * DELEGATES + i)), "id", "n")) for i in range(DELEGATES)]
     by_star = placed.groupBy("seed", "minimum", "star").agg(F.count(F.lit(1)).alias("members"), *[c.alias(f"d{i}") for i, c in enumerate(chosen)])
     delegates = F.array_distinct(F.array(*[F.struct(F.col(f"d{i}.id").alias("id"), F.col(f"d{i}.n").alias("n")) for i in range(DELEGATES)]))
     largest = by_star.groupBy("seed", "minimum").agg(
@@ -302,6 +308,24 @@ def _strays(keys: DataFrame, star_links: DataFrame) -> DataFrame:
     return pairs.where(_alike("n", "d.n")).select(F.col("d.id").alias("a"), F.col("id").alias("b"))
 
 
+def _meeting(tokens: DataFrame) -> DataFrame:
+    """Pairs of postings of a token, of documents in different groups that may link: the smaller set (s) and the larger (r)."""
+    x = tokens.where("group <> largest").alias("x")
+    y = tokens.alias("y")
+    differ = " + ".join(f"bit_count(x.odd{i} ^ y.odd{i})" for i in range(SKETCH))
+    small_first = F.expr("x.n < y.n OR (x.n = y.n AND x.id < y.id)")
+    fits = F.expr(
+        f"""x.token = y.token AND x.group <> y.group AND (y.group = y.largest OR x.id < y.id)
+        AND {_alike("x.n", "y.n")}
+        AND {NUMERATOR + DENOMINATOR} * ({differ}) <= {DENOMINATOR - NUMERATOR} * (x.n + y.n)
+        AND {NUMERATOR + DENOMINATOR} * (least(x.alive, y.alive) + least(x.n - x.place, y.n - y.place)) >= {NUMERATOR} * (x.n + y.n)"""
+    )
+    side = {c: [F.when(small_first, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")) for s, t in (("x", "y"), ("y", "x"))] for c in ("id", "n", "place", "need")}
+    return x.join(y, fits).select(
+        *[v[0].alias(f"{c}_s") for c, v in side.items()], *[v[1].alias(f"{c}_r") for c, v in side.items()]
+    )
+
+
 def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", most_common: int = MOST_COMMON) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id (smallest id with the same set), component_id.
 
@@ -310,8 +334,8 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     one component of step 1 are neither listed nor counted. Three steps find all links that join components:
 
     1. Every class is paired with the smallest id that shares one of six minima. What does not link with the largest
-       of the stars around it is paired with four more of its members, those of the one star that it meets most. The
-       pairs that link join dense groups of near copies without listing their pairs; any pair may be left out here,
+       of the groups around it is paired with four more of its members, those of the one group that it meets most,
+       and this up to three times. The pairs that link join dense groups of near copies without listing their pairs; any pair may be left out here,
        as step 2 finds all links between groups.
     2. Prefixes: tokens are ordered rare first; tasks count the tokens of all texts, and the most frequent ones, a
        bounded number, are known to all. The order is the same for all and any order is right. A prefix is
@@ -343,8 +367,13 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     centres = centres.select("seed", "minimum", F.col("c.id").alias("a"), F.col("c.n").alias("n_a"))
     stars = keys.join(centres, ["seed", "minimum"]).where("id <> a").where(_alike("n", "n_a")).select("a", F.col("id").alias("b")).distinct()
     star_links = _links(texts, classes, stars, size)
-    star_links = star_links.unionByName(_links(texts, classes, _strays(keys, star_links), size))
-    joined = store(_components(star_links), "groups").select(F.col("node").alias("id"), F.col("root").alias("group"))
+    joined = _joined(star_links)
+    for turn in range(STRAY_TURNS):
+        more = _links(texts, classes, _strays(keys, joined.withColumnRenamed("group", "star"), turn), size)
+        if more.isEmpty():
+            break
+        star_links = star_links.unionByName(more)
+        joined = _joined(star_links)
     of_class = classes.select("id").join(joined, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
     # Step 2.
@@ -369,20 +398,7 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     tokens = tokens.withColumn("alive", alive).where(f"{DENOMINATOR} * (alive + n - place) >= {NUMERATOR} * n")
     sketches = classes.select("id", *[F.col("odd")[i].alias(f"odd{i}") for i in range(SKETCH)])
     tokens = store(tokens.join(sketches, "id"), "tokens")
-    x = tokens.where("group <> largest").alias("x")
-    y = tokens.alias("y")
-    differ = " + ".join(f"bit_count(x.odd{i} ^ y.odd{i})" for i in range(SKETCH))
-    small_first = F.expr("x.n < y.n OR (x.n = y.n AND x.id < y.id)")
-    fits = F.expr(
-        f"""x.token = y.token AND x.group <> y.group AND (y.group = y.largest OR x.id < y.id)
-        AND {_alike("x.n", "y.n")}
-        AND {NUMERATOR + DENOMINATOR} * ({differ}) <= {DENOMINATOR - NUMERATOR} * (x.n + y.n)
-        AND {NUMERATOR + DENOMINATOR} * (least(x.alive, y.alive) + least(x.n - x.place, y.n - y.place)) >= {NUMERATOR} * (x.n + y.n)"""
-    )
-    side = {c: [F.when(small_first, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")) for s, t in (("x", "y"), ("y", "x"))] for c in ("id", "n", "place", "need")}
-    pairs = x.join(y, fits).select(
-        *[v[0].alias(f"{c}_s") for c, v in side.items()], *[v[1].alias(f"{c}_r") for c, v in side.items()]
-    )
+    pairs = _meeting(tokens)
     probe = f"n_r - ceil({NUMERATOR} * n_r / {DENOMINATOR}) + need_r"
     index = f"n_s - ceil({2 * NUMERATOR} * n_s / {NUMERATOR + DENOMINATOR}) + need_r"
     pairs = pairs.where(f"place_r < {probe} AND place_s < {index}").groupBy(

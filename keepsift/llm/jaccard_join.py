@@ -252,7 +252,9 @@ def _links(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, size: int) -> D
     close = store(with_bits.mapInArrow(_prune, "a long, b long"), "close")
     first = texts.join(close.select(F.col("a").alias("id")).distinct(), "id", "left_semi").mapInArrow(*_token_sets(size))
     carried = close.join(first.withColumnRenamed("id", "a"), "a")
-    met = texts.join(carried.withColumnRenamed("b", "id"), "id").select("id", "text", "a", "tokens")
+    # Only the texts of pairs travel; where the pairs are few, Spark sends these to the texts instead.
+    asked = texts.join(close.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+    met = asked.join(carried.withColumnRenamed("b", "id"), "id").select("id", "text", "a", "tokens")
     return store(met.mapInArrow(*_verify(size)), "links")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -48,6 +51,27 @@ def numbered(df: DataFrame, name: str, order: list[str], group: list[str] | None
     return out.select(*df.columns, (F.col("_rank") + F.col("_before")).cast("long").alias(name))
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most this many bytes (a longer row is a batch of its own) for what is run meanwhile.
+
+    The session has its own setting back afterwards. A smaller one of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_before = spark.conf.get(key, None)
+    own = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(set_before)) if set_before else most
+    if 0 < own < most:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+        if set_before and spark.conf.get(key, None) != set_before:
+            spark.conf.set(key, set_before)
+
+
 def integral(df: DataFrame, column: str) -> Column:
     """The id column as BIGINT."""
     return df[column].cast(T.LongType())

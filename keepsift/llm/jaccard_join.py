@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from keepsift.llm.common import integral
+from keepsift.llm.common import batch_bytes, integral
 from keepsift.llm.words import Words, chunks, mixed, ngrams, powers
 from keepsift.operators.components import connected_components
 from keepsift.session import store
@@ -37,6 +37,8 @@ FEW_LINKS = 100_000
 SKETCH = 8
 #: Tokens that a task counts at once when it looks for common ones.
 COUNTED = 1_000_000
+#: Bytes of an Arrow batch: texts, bit maps and token sets are handled a few at a time, so small batches cost no work.
+BATCH_BYTES = 4_000_000
 #: Hashes that choose the first partner of a document.
 SEEDS = tuple(0x9E3779B97F4A7C15 * i & (2**64 - 1) for i in range(1, 7))
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -352,6 +354,11 @@ def jaccard_groups(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", t
     ids have component NULL and link with nothing. Rows that repeat an id are one document for links. Empty tables
     give no rows; other columns are ignored. Tokens are 64-bit hashes of shingles.
     """
+    with batch_bytes(df.sparkSession, BATCH_BYTES):
+        return _grouped(df, size, id_col, text_col, most_common)
+
+
+def _grouped(df: DataFrame, size: int, id_col: str, text_col: str, most_common: int) -> DataFrame:
     rows = df.select(integral(df, id_col).alias("id"), df[text_col].cast("string").alias("text"))
     profiled = store(rows.mapInArrow(*_profiles(size)), "profiles")
     documents = profiled.where("kind = 0")

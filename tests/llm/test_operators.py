@@ -8,6 +8,7 @@ from collections import Counter
 
 import brute
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -338,3 +339,22 @@ def test_empty_tables(spark):
         topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ):
         assert out.count() == 0
+
+
+def test_batches_are_bounded_only_meanwhile(spark):
+    from keepsift.llm.common import batch_bytes
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    with batch_bytes(spark, 100_000):
+        most = rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    assert most < 110 and spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), batch_bytes(spark, 100_000):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(key) == before

@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsift.session import store
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Distinct edges that one task joins; more go through rounds over all tasks.
+FEW_EDGES = 100_000
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of one task -> (node, root) by union-find."""
+    above: dict = {}
+    kind = None
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for b in batches:
+        kind = b.schema.field(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            low, high = sorted((top(u), top(v)))
+            above[high] = low
+    if above:
+        nodes = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], ["node", "root"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for every node of the edges; root is the smallest node of its component.
 
+    Up to `few` edges, once repeated ones are gone, are joined in one task; more go through rounds.
+
     Each round hangs neighbours on their smallest neighbour (Kiveris et al. 2014), which needs
     about log n rounds on long chains too. A round is written to the shared folder before the
     next starts. Minima combine on the map side; a hub only meets one row of minima in the join,
@@ -20,8 +50,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
     mark = _fingerprint(now)
-    if mark[0] == 0:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if mark[0] <= few:
+        kind = now.schema["u"].dataType.simpleString()
+        return store(now.coalesce(1).mapInArrow(_union, f"node {kind}, root {kind}"), "components")
     while True:
         now = store(_small_star(_large_star(now)), "stars")
         seen, mark = mark, _fingerprint(now)

@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 
 from keepsift import constants as K
 from keepsift.functions.fingerprints import to_hex
+from keepsift.operators.blocks import BLOCK_ROWS, block_forest, block_pairs, choose_bands, scope_sizes
 from keepsift.operators.components import connected_components
 from keepsift.session import store
 
-MAX_THRESHOLD = 20
+BITS = 64
 # Rows of one probe key beyond which the key is split by further slices, and comparisons per key.
 SPLIT_KEY_ROWS = 30_000
 SPLIT_KEY_WORK = SPLIT_KEY_ROWS**2
 
 
+def _check(threshold: int) -> None:
+    if not 0 <= threshold <= BITS:
+        raise ValueError(f"threshold must be within 0..{BITS}")
+
+
 def distinct_fingerprints(df: DataFrame, fp: str = "fp", by: Sequence[str] = ()) -> DataFrame:
     """One row per fingerprint (and scope). Copies collapse before any comparison."""
     return df.where(F.col(fp).isNotNull()).groupBy(*by, F.col(fp).alias("fp")).agg(F.count(F.lit(1)).alias("copies"))
@@ -30,12 +36,17 @@ def similar_pairs(
     threshold: int = K.DEFAULT_DUPLICATE_THRESHOLD,
     fp: str = "fp",
     by: Sequence[str] = (),
-    bands: int = 4,
+    bands: int | None = None,
     split_rows: int = SPLIT_KEY_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(by, fp_a, fp_b, distance) for all pairs of different fingerprints with distance <= threshold.
+    """(by, fp_a, fp_b, distance) for all pairs of different fingerprints with distance <= threshold (0 to 64).
+
+    The number of rows and the threshold decide how pairs are found: `blocks.choose_bands` estimates what probing with
+    3 to 8 slices costs, and what comparing all rows of a scope in pairs of blocks costs. `bands` asks for so many
+    slices. Without it small tables and wide thresholds are compared by blocks, large tables and narrow ones probe.
 
-    Multi-index hashing with the general pigeonhole bound: of `bands` slices of the 64 bits with
+    Probing is multi-index hashing with the general pigeonhole bound: of `bands` slices of the 64 bits with
     radii that add up to threshold - bands + 1, at least one differs by no more than its radius.
     Both sides probe with half of the radius, so the join is an equi-join on (slice, value) with
     few probes per row. A pair can meet under several keys; the join condition accepts it only
@@ -46,11 +57,15 @@ def similar_pairs(
     the remaining slices, level by level. Fingerprints are distinct, so what agrees on all but
     one slice is bounded by the values of that slice.
     """
-    if not 0 <= threshold <= MAX_THRESHOLD:
-        raise ValueError(f"threshold must be within 0..{MAX_THRESHOLD}")
+    _check(threshold)
     by = list(by)
     # Stored once: every probe reads the short list, not what it was derived from.
     nodes = store(distinct_fingerprints(df, fp, by).select(*by, "fp"), "fingerprints")
+    if not bands:
+        rows, squares, largest = scope_sizes(nodes, by)
+        bands = choose_bands(rows, squares, threshold)
+        if not bands:
+            return block_pairs(nodes, threshold, by, squares, largest, block_rows)
     plan = _Bands(threshold, bands)
     left = right = nodes.withColumn("used", F.lit(0))
     found, keys = [], list(by)
@@ -94,12 +109,14 @@ def fingerprint_clusters(
     threshold: int = K.DEFAULT_DUPLICATE_THRESHOLD,
     fp: str = "fp",
     by: Sequence[str] = (),
-    bands: int = 4,
+    bands: int | None = None,
     split_work: int = SPLIT_KEY_WORK,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(node, root) for every distinct fingerprint: root is the smallest node of its transitive group.
 
-    The groups of `similar_pairs`, without listing the pairs of a dense group:
+    The groups of `similar_pairs`, found by blocks or by probing as there, without listing the pairs of a dense group.
+    By blocks, each pair of blocks gives a spanning forest. Probing goes on as follows:
     - Stars first. Fingerprints that share a slice are compared with the smallest and the largest
       one of the slice only. These few true pairs already join most of a dense group.
     - Then only pairs between different groups matter. Per probe key the largest group is set
@@ -108,13 +125,24 @@ def fingerprint_clusters(
     - A key on which that is still more than `split_work` comparisons probes again with its other
       slices, as in `similar_pairs`.
     """
-    if not 0 <= threshold <= MAX_THRESHOLD:
-        raise ValueError(f"threshold must be within 0..{MAX_THRESHOLD}")
+    _check(threshold)
     by = list(by)
-    plan = _Bands(threshold, bands)
     df = df.withColumns(dict(zip(by, scope_texts(by), strict=True))) if by else df
     node = F.concat_ws("/", *by, to_hex(F.col("fp")))
     nodes = store(distinct_fingerprints(df, fp, by).select(*by, "fp", node.alias("node")), "fingerprints")
+    if not bands:
+        rows, squares, largest = scope_sizes(nodes, by)
+        bands = choose_bands(rows, squares, threshold)
+        if not bands:
+            edges = block_forest(nodes.drop("node"), threshold, by, squares, largest, block_rows)
+            ends = [F.concat_ws("/", *by, to_hex(F.col(c))).alias(c) for c in ("root", "member")]
+            edges = edges.select(*ends)
+            if largest > block_rows:
+                roots = connected_components(edges, "root", "member")
+            else:  # one block: its trees are the groups
+                roots = store(edges.select(F.col("member").alias("node"), "root"), "trees")
+            return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    plan = _Bands(threshold, bands)
 
     stars = connected_components(plan.stars(nodes, by))
     rows = store(

@@ -40,6 +40,16 @@ def _(spark, d):
     return _hex_pairs(similar_pairs(V.vectors(spark, d), 20))
 
 
+@query("similar_pairs_beyond", "vectors", _out(_pairs_sql("vectors", 24)))
+def _(spark, d):
+    return _hex_pairs(similar_pairs(V.vectors(spark, d), 24))
+
+
+@query("similar_pairs_probed", "vectors", _out(_pairs_sql("vectors", 18)))
+def _(spark, d):
+    return _hex_pairs(similar_pairs(V.vectors(spark, d), 18, bands=4))
+
+
 @query("similar_pairs_in_folder", "vectors", _out(_pairs_sql("vectors", 20, "folder"), "folder,"))
 def _(spark, d):
     return _hex_pairs(similar_pairs(V.vectors(spark, d), 20, by=["folder"]), "folder")
@@ -71,6 +81,16 @@ def _(spark, d):
     return G.group_duplicates(V.vectors(spark, d), 18).select("vec_id", "cluster_id", "is_representative")
 
 
+@query("group_duplicates_beyond", "vectors", _components_sql("vectors", 22, "image_id", "folder") + " SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY filename, path) = 1 AS is_representative FROM m")
+def _(spark, d):
+    return G.group_duplicates(V.vectors(spark, d), 22, by=["folder"]).select("vec_id", "cluster_id", "is_representative")
+
+
+@query("group_duplicates_probed", "vectors", _components_sql("vectors", 18, "image_id") + " SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY filename, path) = 1 AS is_representative FROM m")
+def _(spark, d):
+    return G.group_duplicates(V.vectors(spark, d), 18, bands=4).select("vec_id", "cluster_id", "is_representative")
+
+
 @query("group_duplicates_in_folder", "vectors", _components_sql("vectors", 20, "image_id", "folder") + " SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY filename, path) = 1 AS is_representative FROM m")
 def _(spark, d):
     return G.group_duplicates(V.vectors(spark, d), 20, by=["folder"]).select("vec_id", "cluster_id", "is_representative")

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from keepsift.operators.components import connected_components
+from keepsift.operators.blocks import choose_bands
+from keepsift.operators.components import FEW_EDGES, connected_components
 from keepsift.operators.grouping import cluster_rows, group_duplicates
 from keepsift.operators.similarity import fingerprint_clusters, similar_pairs
 
@@ -38,18 +39,50 @@ def brute(fps, t):
 def test_pairs_equal_brute_force(spark, threshold, split):
     fps = prints()
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    got = similar_pairs(df, threshold, split_rows=split).collect()
+    got = similar_pairs(df, threshold, split_rows=split, bands=4).collect()
     assert sorted((r.fp_a, r.fp_b) for r in got) == brute(fps, threshold)
 
 
+@pytest.mark.parametrize("threshold, block", [(0, 4096), (10, 4096), (20, 50), (21, 4096), (28, 40), (33, 4096), (64, 60)])
+def test_pairs_by_blocks_equal_brute_force(spark, threshold, block):
+    fps = prints(3)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    got = similar_pairs(df, threshold, block_rows=block).collect()
+    assert sorted((r.fp_a, r.fp_b, r.distance) for r in got) == [
+        (a, b, bin((a ^ b) & MASK).count("1")) for a, b in brute(fps, threshold)
+    ]
+
+
+def test_the_cheaper_way_is_taken():
+    assert choose_bands(1000, 1000**2, 10) == 0  # few rows: blocks
+    assert choose_bands(10**6, 10**12, 10) > 0  # many rows and a narrow threshold: probes
+    assert choose_bands(10**8, 10**16, 3) > 0
+    assert choose_bands(10**8, 10**16, 40) == 0  # slices tell nothing apart
+    assert choose_bands(10**6, 10**6 * 100, 10) == 0  # many small scopes
+
+
+def test_blocks_stay_in_their_scope(spark):
+    fps = prints(4)
+    df = spark.createDataFrame([(f"s{i % 3}" if i % 7 else None, x) for i, x in enumerate(fps)], "scope string, fp long")
+    got = sorted((r.scope, r.fp_a, r.fp_b) for r in similar_pairs(df, 24, by=["scope"], block_rows=30).collect())
+    want = []
+    for s in ("s0", "s1", "s2"):
+        want += [(s, a, b) for a, b in brute([x for i, x in enumerate(fps) if i % 7 and f"s{i % 3}" == s], 24)]
+    assert got == sorted(want)
+
+
 def test_pairs_stay_in_their_folder(spark):
     df = spark.createDataFrame([("x", 1), ("x", 3), ("y", 1), ("y", 5)], "folder string, fp long")
     got = similar_pairs(df, 3, by=["folder"]).collect()
     assert sorted((r.folder, r.fp_a, r.fp_b) for r in got) == [("x", 1, 3), ("y", 1, 5)]
 
 
-@pytest.mark.parametrize("threshold, work", [(0, 10**9), (3, 10**9), (10, 10**9), (10, 400), (6, 100), (18, 10**9)])
-def test_clusters_equal_the_pairs(spark, threshold, work):
+PROBES = [(t, {"split_work": w, "bands": 4}) for t, w in [(0, 10**9), (3, 10**9), (10, 10**9), (10, 400), (6, 100), (18, 10**9)]]
+BLOCKS = [(t, {"block_rows": r}) for t, r in [(0, 4096), (10, 4096), (10, 40), (22, 50), (26, 4096), (40, 30), (64, 4096)]]
+
+
+@pytest.mark.parametrize("threshold, options", [*PROBES, *BLOCKS])
+def test_clusters_equal_the_pairs(spark, threshold, options):
     fps = prints(2)
     root = {x: x for x in fps}
 
@@ -63,7 +96,7 @@ def test_clusters_equal_the_pairs(spark, threshold, work):
         if ra != rb:
             root[ra] = rb
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    got = {r.node: r.root for r in fingerprint_clusters(df, threshold, split_work=work).collect()}
+    got = {r.node: r.root for r in fingerprint_clusters(df, threshold, **options).collect()}
     name = {x: f"{x & MASK:016x}" for x in fps}
     groups = {}
     for x in fps:
@@ -86,8 +119,11 @@ def test_components_equal_union_find(spark):
         ra, rb = find(a), find(b)
         parent[max(ra, rb)] = min(ra, rb)
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == want
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (FEW_EDGES, 0):
+        assert {r.node: r.root for r in connected_components(df, few=few).collect()} == want
+    texts = connected_components(df.selectExpr("lpad(a, 4, '0') AS a", "lpad(b, 4, '0') AS b"))
+    assert {int(r.node): int(r.root) for r in texts.collect()} == want
 
 
 def test_no_edges(spark):
@@ -118,8 +154,9 @@ def test_threshold_zero_missing_and_empty(spark):
 
 
 def test_threshold_range(spark):
-    with pytest.raises(ValueError):
-        similar_pairs(spark.createDataFrame([(1,)], "fp long"), 21)
+    for t in (-1, 65):
+        with pytest.raises(ValueError):
+            similar_pairs(spark.createDataFrame([(1,)], "fp long"), t)
 
 
 def test_fingerprint_may_be_a_function(spark):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -109,6 +108,20 @@ def block_pairs(nodes: DataFrame, threshold: int, by: Sequence[str], squares: in
     )
 
 
+def _meeting(fps: np.ndarray, second: np.ndarray, threshold: int, within: bool) -> np.ndarray:
+    """Rows that have another one within the threshold; most have none."""
+    out = np.zeros(len(fps), bool)
+    one, other = (np.arange(len(fps)),) * 2 if within else (np.flatnonzero(~second), np.flatnonzero(second))
+    for i in range(0, len(one), STRIP):
+        some = one[i : i + STRIP]
+        near = np.bitwise_count(fps[some][:, None] ^ fps[other][None, :]) <= threshold
+        # Within a block a row meets itself as well.
+        out[some] |= near.sum(1) > int(within)
+        if not within:
+            out[other] |= near.any(0)
+    return out
+
+
 def forest(fps: np.ndarray, second: np.ndarray, threshold: int, within: bool) -> list[tuple[int, int]]:
     """(root, member) places of a spanning forest of the pairs within `threshold`; a root comes first in its tree.
 
@@ -116,8 +129,8 @@ def forest(fps: np.ndarray, second: np.ndarray, threshold: int, within: bool) ->
     yet, so a dense group costs little and its pairs are never listed.
     """
     out: list[tuple[int, int]] = []
-    waiting = np.ones(len(fps), bool)
-    for start in range(len(fps)):
+    waiting = _meeting(fps, second, threshold, within)
+    for start in np.flatnonzero(waiting).tolist():
         if not waiting[start]:
             continue
         waiting[start] = False

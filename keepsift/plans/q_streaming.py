@@ -5,12 +5,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from keepsift.functions.text import micros
+from keepsift.operators.ranking import latest
 from keepsift.plans import views as V
 from keepsift.plans.q_selection import _QUOTA_SQL
 from keepsift.plans.registry import query
 from keepsift.plans.views import js_round_sql, table
 from keepsift.session import work_dir
 from keepsift.streaming import live
+from keepsift.streaming.retier import retier_changes
 
 
 def run_dir(spark, name):
@@ -23,8 +25,12 @@ def event_stream(spark, d, name="events"):
 
 
 def score_events(spark, d):
+    return score_columns(event_stream(spark, d))
+
+
+def score_columns(events):
     i = F.col("event_id")
-    return event_stream(spark, d).select(
+    return events.select(
         F.col("event_type").alias("session_id"), F.col("user_id").cast("string").alias("image_id"), (i % 101).cast("double").alias("total"),
         i.alias("seq"), (i % 500).alias("tokens_in"), F.when(i % 3 > 0, i % 70).alias("tokens_out"),
     )
@@ -62,8 +68,6 @@ def _to_parquet(stream, out, mode):
 
 @query("live_progress", "", "SELECT event_type AS session_id, count(*) AS scored_count, sum(event_id % 500)::BIGINT AS tokens_in, sum(CASE WHEN event_id % 3 > 0 THEN event_id % 70 ELSE 0 END)::BIGINT AS tokens_out FROM events GROUP BY event_type")
 def _(spark, d):
-    from keepsift.operators.ranking import latest
-
     rows = _to_parquet(live.live_progress(score_events(spark, d)), run_dir(spark, "progress"), "update")
     return latest(rows, ["session_id"], ["_batch"]).drop("_batch")
 
@@ -76,8 +80,6 @@ def _(spark, d):
     progress = event_stream(spark, d).select(
         F.col("event_type").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), (i * 0.5).alias("elapsed_s"), (i % 900 + 1).alias("done"), F.lit(1000).alias("total")
     )
-    from keepsift.operators.ranking import latest
-
     rows = _to_parquet(live.throttled_eta(progress), run_dir(spark, "eta"), "update")
     return latest(rows, ["session_id", "at"], ["_batch"]).select("session_id", F.floor(micros(F.col("at").cast("timestamp_ntz")) / 1000000).alias("at_s"), "done", "eta_seconds")
 
@@ -90,9 +92,12 @@ def _(spark, d):
     return spark.read.parquet(out + "/log").select("session_id", "image_id")
 
 
-@query("retier_per_batch", "", """WITH s AS (SELECT event_type AS session_id, user_id::VARCHAR AS image_id, arg_max(event_id % 101, event_id)::DOUBLE AS total FROM events GROUP BY ALL),
+_TIER_SQL = """WITH s AS (SELECT event_type AS session_id, user_id::VARCHAR AS image_id, arg_max(event_id % 101, event_id)::DOUBLE AS total FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY total DESC, image_id) AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM s)
-SELECT session_id, image_id, total, CASE WHEN total < 30 THEN 'rejected' WHEN rn <= greatest(1, ceil(n * 0.1::DOUBLE)) THEN 'S' WHEN rn <= greatest(1, ceil(n * 0.1::DOUBLE)) + ceil(n * 0.3::DOUBLE) THEN 'A' WHEN rn <= greatest(1, ceil(n * 0.1::DOUBLE)) + 2 * ceil(n * 0.3::DOUBLE) THEN 'B' ELSE 'rejected' END AS tier FROM r""")
+SELECT session_id, image_id, total, CASE WHEN total < 30 THEN 'rejected' WHEN rn <= greatest(1, ceil(n * 0.1::DOUBLE)) THEN 'S' WHEN rn <= greatest(1, ceil(n * 0.1::DOUBLE)) + ceil(n * 0.3::DOUBLE) THEN 'A' WHEN rn <= greatest(1, ceil(n * 0.1::DOUBLE)) + 2 * ceil(n * 0.3::DOUBLE) THEN 'B' ELSE 'rejected' END AS tier FROM r"""
+
+
+@query("retier_per_batch", "", _TIER_SQL)
 def _(spark, d):
     out = run_dir(spark, "retier")
     done = []
@@ -105,6 +110,25 @@ def _(spark, d):
     return spark.read.parquet(f"{out}/tiers/batch={max(done)}")
 
 
+@query("retier_changes", "", _TIER_SQL)
+def _(spark, d):
+    """Scores arrive in about four batches; the newest change of an asset is its tier. All scores of an asset are in
+    one file, as the order of the files is not fixed."""
+    out, key = run_dir(spark, "changes"), ["session_id", "image_id"]
+    scores = score_columns(table(spark, d, "events"))
+    scores.repartition(*key).write.parquet(out + "/in")
+    files = len(spark.read.schema(scores.schema).parquet(out + "/in").inputFiles())
+
+    def sink(changes, batch_id):
+        changes.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/tiers/batch={batch_id}")
+
+    live.use_state_store(spark)
+    arriving = live.read_scores(spark, out + "/in", scores.schema, max(1, -(-files // 4)))
+    finish(retier_changes(arriving, out + "/state", out + "/checkpoint", sink, key, ["session_id"]))
+    changes = spark.read.option("recursiveFileLookup", True).parquet(out + "/tiers")
+    return latest(changes, key, ["_batch"]).select(*key, "total", "tier")
+
+
 @query("batch_events", "scores", "SELECT folder, dense_rank() OVER (ORDER BY folder) AS batch_no, total, scored, CASE WHEN scored >= total THEN 'batch-complete' WHEN scored > 0 THEN 'batch-started' ELSE 'batch-waiting' END AS event FROM (SELECT folder, count(*) AS total, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS scored FROM scores GROUP BY folder)")
 def _(spark, d):
     from keepsift.operators.ranking import running

@@ -7,7 +7,6 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +48,14 @@ class BatchLog:
         first = spark.read.text(f"{self.checkpoint}/metadata").first()[0]
         return f"{self.path}/run={json.loads(first)['id']}/batch={batch_id}"
 
+    def other_runs(self, spark: SparkSession, batch_id: int) -> list[str]:
+        """Folders of the streams with other checkpoints."""
+        own = self.folder(spark, batch_id).rsplit("/", 1)[0]
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/run=*")
+        found = there.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(there) or []
+        paths = [status.getPath().toString() for status in found]
+        return [p for p in paths if p.rsplit("/", 1)[1] != own.rsplit("/", 1)[1]]
+
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """Rows with the start of their stream and their batch, by which later batches are newer."""
         rows = batch.withColumn("_started", F.lit(self.started_us)).withColumn("_batch", F.lit(batch_id))
@@ -109,23 +116,22 @@ def throttled_eta(progress: DataFrame, delay: str = "10 seconds") -> DataFrame:
 def first_scores(scores: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
     """Append each asset once per session, however often and however late its score arrives again.
 
-    A batch drops what the log holds already, itself aside, so a repeated batch gives the same rows. Only the keys
-    of the log are read.
+    What the stream itself has appended is in its state, so a batch looks up its own keys only (best in the RocksDB
+    state store, `use_state_store`). Of the log it reads the keys that streams with other checkpoints appended. A
+    repeated batch gives the same rows.
     """
     log, key = BatchLog(log_path, checkpoint), ["session_id", "image_id"]
-    keys = T.StructType([*scores.select(*key).schema.fields, T.StructField("_batch", T.IntegerType()), T.StructField("run", T.StringType())])
+    keys = T.StructType([scores.schema[c] for c in key])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        run = log.folder(spark, batch_id).rsplit("/run=", 1)[1].split("/")[0]
-        try:
-            seen = spark.read.schema(keys).parquet(log_path).where(~((F.col("run") == run) & (F.col("_batch") == batch_id)))
-        except AnalysisException:  # nothing stored yet
-            seen = spark.createDataFrame([], keys)
-        new = batch.dropDuplicates(key).join(seen.select(*key), key, "left_anti")
-        log.write(store(new, "first"), batch_id)
-
-    return scores.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        others = log.other_runs(batch.sparkSession, batch_id)
+        if others:
+            seen = batch.sparkSession.read.schema(keys).option("recursiveFileLookup", True).parquet(*others)
+            batch = store(batch.join(seen, key, "left_anti"), "first")
+        log.write(batch, batch_id)
+
+    once = scores.dropDuplicates(key)
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def retier_per_batch(

@@ -268,3 +268,74 @@ def test_run_folder_is_removed(spark):
         assert not os.path.exists(inner)
         assert path in store(spark.range(3), "x").inputFiles()[0]
     assert not os.path.exists(path) and path not in store(spark.range(1), "x").inputFiles()[0]
+
+
+def _retier_run(spark, tmp_path, batches, **kw):
+    """Feed batches of rows one by one; what each handed on."""
+    from keepsift.streaming.retier import retier_changes
+
+    schema = "session_id string, image_id string, total double, seq bigint, exceeds_face_limit boolean, tier string"
+    live.use_state_store(spark)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part{i:03d}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    given = []
+    q = retier_changes(stream, str(tmp_path / "state"), str(tmp_path / "ck"), lambda df, n: given.append((n, df.collect())), **kw)
+    q.awaitTermination()
+    assert q.exception() is None
+    return given, schema
+
+
+def test_retier_changes_equals_tiers_of_all(spark, tmp_path):
+    import random
+
+    rnd = random.Random(5)
+    batches = []
+    for b in range(8):
+        rows = {}
+        for j in range(60):  # ties, new scores of old assets, rows over the limit, an asset twice in a batch
+            i = rnd.randrange(200)
+            rows[j] = (f"s{i % 3 // 2}", f"{i:03d}", float(rnd.choice([20, 50, 50, 50, rnd.randrange(101)])), b * 100 + j, rnd.random() < 0.05, rnd.choice([None, "B"]))
+        batches.append(list(rows.values()))
+    given, schema = _retier_run(spark, tmp_path, batches, by=["session_id"], piece_rows=10)
+    assert [n for n, _ in given] == list(range(8))
+    tiers, seen = {}, {}
+    # Files are read in the order in which they were written.
+    for (_, changed), rows in zip(given, batches):
+        for r in sorted(rows, key=lambda r: r[3]):
+            seen[r[:2]] = r
+        assert len({(r.session_id, r.image_id) for r in changed}) == len(changed)
+        tiers.update({(r.session_id, r.image_id): (r.total, r.tier) for r in changed})
+        want = assign_tiers(spark.createDataFrame(list(seen.values()), schema), by=["session_id"]).collect()
+        assert tiers == {(r.session_id, r.image_id): (r.total, r.tier) for r in want}
+
+
+def test_retier_changes_reads_no_more_as_the_log_grows(spark, tmp_path):
+    import json
+
+    from keepsift.streaming import retier
+
+    n, size = 20, 40
+    batches = [[("s", f"{b:03d}{j:03d}", float((b * 7 + j * 13) % 100), j, False, None) for j in range(size)] for b in range(n)]
+    given, schema = _retier_run(spark, tmp_path, batches, piece_rows=50)
+    tiers = {r.image_id: r.tier for _, changed in given for r in changed}
+    want = assign_tiers(spark.createDataFrame([r for b in batches for r in b], schema)).collect()
+    assert tiers == {r.image_id: r.tier for r in want}
+    run = next((tmp_path / "state").glob("run=*"))
+    near = []
+    for b in range(n):
+        lines = [json.loads(x) for f in (run / f"batch={b}/state").glob("part-*") for x in f.read_text().splitlines()]
+        pieces = sorted((p for p in lines if "cuts" not in p), key=lambda p: p["start"])
+        state = retier._Pieces({"": [{**p, "start": tuple(p["start"])} for p in pieces]}, {})
+        assert sum(p["n"] for p in pieces) == (b + 1) * size
+        assert all(p["n"] <= 4 * 50 and len(p["paths"]) <= retier.PIECE_FILES + 1 for p in pieces)
+        near.append(sum(p["n"] for p in state.touched(state.places())))
+    # Three cuts, each in one piece, however many rows there are.
+    assert max(near) <= 3 * 2 * 50 + 3 * size and max(len(c) for _, c in given) < 6 * size
+
+
+def test_retier_changes_without_scores_or_totals(spark, tmp_path):
+    given, _ = _retier_run(spark, tmp_path, [[("s", "a", None, 1, False, None), ("s", "b", float("nan"), 1, False, None), ("s", "c", 80.0, None, True, "A")]])
+    assert {(r.image_id, r.tier) for r in given[0][1]} == {("a", "rejected"), ("b", "rejected"), ("c", "A")}
+    given, _ = _retier_run(spark, tmp_path / "none", [[]])
+    assert all(not rows for _, rows in given)
